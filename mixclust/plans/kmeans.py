@@ -8,6 +8,7 @@ must be persisted by the caller (they are scanned once per iteration).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -27,6 +28,7 @@ class KMeansResult:
     centroids: list[dict]            # scaled space, sorted by cluster_id
     iterations: int
     movements: list[dict[int, float]] = field(default_factory=list)
+    seconds: list[float] = field(default_factory=list)
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -69,9 +71,11 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
     dictionaries = build_dictionaries(points, geom, plan, n_points)
     centroids = sorted(seeds, key=lambda c: c["cluster_id"])
     movements: list[dict[int, float]] = []
+    seconds: list[float] = []
     it = 1
     try:
         while True:
+            t0 = time.perf_counter()
             assigned = assign(points, centroids, geom, dictionaries, distance_col=None)
             if mode == "Standard":
                 new = update_standard(assigned, geom, order_cols)
@@ -81,6 +85,7 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
             rows = _rows(with_movement(new, old, geom))
             moves = {r["cluster_id"]: r["movement"] for r in rows}
             movements.append(moves)
+            seconds.append(time.perf_counter() - t0)
             centroids = [{k: v for k, v in r.items() if k not in ("movement", "n")} for r in rows]
             for c in centroids:
                 for name in geom.categorical_columns:
@@ -89,7 +94,7 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
             if moved and it < max_iter:
                 it += 1
                 continue
-            return KMeansResult(centroids, it, movements)
+            return KMeansResult(centroids, it, movements, seconds)
     finally:
         for td in dictionaries.values():
             td.release()

@@ -3,7 +3,6 @@ parsed), PERMISSIVE mode, malformed lines returned as a second DataFrame."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,15 +23,14 @@ SPAM_SCHEMA = T.StructType([
 ])
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = SPAM_SCHEMA,
-                    persist: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects). `rejects` holds the raw text of lines that are not JSON."""
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = SPAM_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects): lines read as text and parsed with `from_json`, so a
+    malformed line keeps its raw text in `_corrupt_record` and lands in `rejects`
+    instead of failing the job. Only the declared keys are materialised."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    if persist:
-        # Spark refuses queries on the corrupt column alone over an un-materialised scan
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = spark.read.text(path).select(
+        F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    df = parsed.select("r.*")
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
     return good, bad
