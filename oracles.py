@@ -258,8 +258,8 @@ def oracle_sql() -> dict[str, str]:
         "o AS (SELECT o_orderkey, o_totalprice / 1000 AS x, CAST(o_custkey AS DOUBLE) AS y, o_totalprice FROM orders)",
         "p AS (SELECT a.*, b.x AS b_x, b.y AS b_y FROM o a JOIN o b ON b.o_orderkey = a.o_orderkey + 1)",
     ], f"SELECT o_orderkey, round(x + b_x, {R}) AS add_x, round(y + b_y, {R}) AS add_y, round(x - b_x, {R}) AS sub_x, "
-       f"round(y - b_y, {R}) AS sub_y, round(-x, {R}) AS neg_x, round(-y, {R}) AS neg_y, round(x / 4.0, {R}) AS div_x, "
-       f"round(y / 4.0, {R}) AS div_y, round(sqrt(x * x + y * y), {R}) AS magnitude, "
+       f"round(y - b_y, {R}) AS sub_y, round(-x + 0.0, {R}) AS neg_x, round(-y + 0.0, {R}) AS neg_y, round(x / 4.0, 9) AS div_x, "
+       f"round(y / 4.0, 9) AS div_y, round(sqrt(x * x + y * y), {R}) AS magnitude, "
        f"round(sqrt((b_x - x) * (b_x - x) + (b_y - y) * (b_y - y)), {R}) AS distance, "
        "printf('(%.2f - %.2f)', o_totalprice, y) AS text FROM p")
 

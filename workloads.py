@@ -251,7 +251,8 @@ def q_point_algebra(spark, d):
     dx, dy = MF.point_div("x", "y", 4.0)
     return p.select(
         "o_orderkey", rnd(ax).alias("add_x"), rnd(ay).alias("add_y"), rnd(sx).alias("sub_x"), rnd(sy).alias("sub_y"),
-        rnd(nx).alias("neg_x"), rnd(ny).alias("neg_y"), rnd(dx).alias("div_x"), rnd(dy).alias("div_y"),
+        rnd(nx + 0.0).alias("neg_x"), rnd(ny + 0.0).alias("neg_y"),  # + 0.0 turns -0.0 into 0.0
+        rnd(dx, 9).alias("div_x"), rnd(dy, 9).alias("div_y"),
         rnd(MF.point_magnitude("x", "y")).alias("magnitude"),
         rnd(MF.point_distance("x", "y", "bx", "by")).alias("distance"),
         MF.render_point("o_totalprice", "y").alias("text"))  # cents are exact in %.2f
