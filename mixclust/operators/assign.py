@@ -94,15 +94,19 @@ def assign(points: DataFrame, centroids: list[dict], geom: Geometry,
         if td is None:
             per_feature.append([geom.weighted(f, geom.feature_distance(f, cols(), literals(c))) for c in centroids])
             continue
-        tcol, dcol = f"__t_{f.column}", f"__d_{f.column}"
+        tcol = f"__t_{f.column}"
+        dcols = [f"__d{j}_{f.column}" for j in range(k)]
         term_side = lambda _name, _t=tcol: F.col(_t)
-        dists = [geom.weighted(f, geom.feature_distance(f, term_side, literals(c))) for c in centroids]
-        table = td.terms.select(F.col("__term").alias(tcol)).select(tcol, F.array(*dists).alias(dcol))
+        dists = [geom.weighted(f, geom.feature_distance(f, term_side, literals(c))).alias(dc)
+                 for c, dc in zip(centroids, dcols)]
+        # one double column per centroid: plain column reads in the arg-min keep the
+        # projection small enough for whole-stage codegen (an array + element_at does not)
+        table = td.terms.select(F.col("__term").alias(tcol)).select(tcol, *dists)
         if td.broadcastable(k):
             table = F.broadcast(table)
         df = df.join(table, df[f.column].eqNullSafe(table[tcol]), "left")
-        helper_cols += [tcol, dcol]
-        per_feature.append([F.element_at(F.col(dcol), j + 1) for j in range(k)])
+        helper_cols += [tcol, *dcols]
+        per_feature.append([F.col(dc) for dc in dcols])
     candidates = [
         (geom.combine([terms[j] for terms in per_feature]), int(c["cluster_id"]))
         for j, c in enumerate(centroids)

@@ -12,6 +12,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +44,17 @@ def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[st
     return means.join(medoids(assigned, geom, geom.samples_for_medoid, order_cols), "cluster_id", "left")
 
 
-def update_partial_sums(assigned: DataFrame, geom: Geometry) -> DataFrame:
+def update_partial_sums(assigned: DataFrame, geom: Geometry, keep: list | None = None) -> DataFrame:
     """K4 update: one grouped pass over (cluster, terms) feeds both the numeric means
-    and the byte means; both read the same shuffle (exchange reuse)."""
+    and the byte means. With categoricals, that partial aggregate (at most one row per
+    cluster and distinct term combination) is persisted, so the assignment -- the
+    expensive n*k part -- runs once per iteration; `keep` collects it for unpersist."""
     cats = geom.categorical_columns if geom.use_categoricals else []
     sums = cluster_sums(assigned, geom.numeric_columns, cats)
+    if cats:
+        sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
+        if keep is not None:
+            keep.append(sums)
     out = mean_centroids(sums, geom.numeric_columns)
     for c in cats:
         out = out.join(byte_means(sums.select("cluster_id", c, "__n"), c), "cluster_id", "left")
@@ -77,12 +84,15 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
         while True:
             t0 = time.perf_counter()
             assigned = assign(points, centroids, geom, dictionaries, distance_col=None)
+            scratch: list[DataFrame] = []
             if mode == "Standard":
                 new = update_standard(assigned, geom, order_cols)
             else:
-                new = update_partial_sums(assigned, geom)
+                new = update_partial_sums(assigned, geom, scratch)
             old = centroids_frame(spark, centroids, geom, prefix="o_")
             rows = _rows(with_movement(new, old, geom))
+            for df in scratch:
+                df.unpersist()
             moves = {r["cluster_id"]: r["movement"] for r in rows}
             movements.append(moves)
             seconds.append(time.perf_counter() - t0)

@@ -17,6 +17,11 @@ JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The arg-min over k centroids is one wide expression. Above ~8000 bytes of bytecode
+    # the JVM does not JIT a method, so such a fused stage would run interpreted; with
+    # this limit Spark itself drops whole-stage fusion for that subtree instead and keeps
+    # expression-level codegen (measured 16 s -> 2 s for 600k rows, k = 20).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -27,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in JOB_CONF.items():
         builder = builder.config(k, v)
