@@ -37,11 +37,21 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str]) -> DataFrame:
-    """K3 update: means over all points + medoids over the first m points."""
-    means = mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
+    """K3 update: means over all points + medoids over the first m points (by id, then
+    terms). With m = 1 the medoid is the first point's term itself, so it rides along in
+    the means aggregation as min(struct(id, terms)) and the iteration is a single pass."""
     if not geom.use_categoricals or not geom.categoricals:
-        return means
-    return means.join(medoids(assigned, geom, geom.samples_for_medoid, order_cols), "cluster_id", "left")
+        return mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
+    cats = geom.categorical_columns
+    if geom.samples_for_medoid == 1:
+        first = F.min(F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in cats])).alias("__first")
+        agg = assigned.groupBy("cluster_id").agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"__s_{c}") for c in geom.numeric_columns], first)
+        return agg.select("cluster_id", "n", *[(F.col(f"__s_{c}") / F.col("n")).alias(c) for c in geom.numeric_columns],
+                          *[F.col(f"__first.{c}").alias(c) for c in cats])
+    means = mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
+    sample_order = list(dict.fromkeys([*order_cols, *cats]))
+    return means.join(medoids(assigned, geom, geom.samples_for_medoid, sample_order), "cluster_id", "left")
 
 
 def update_partial_sums(assigned: DataFrame, geom: Geometry, keep: list | None = None) -> DataFrame:
