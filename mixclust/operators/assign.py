@@ -63,19 +63,23 @@ class TermDictionary:
 def build_dictionaries(points: DataFrame, geom: Geometry, plan: str = "auto", n_points: int | None = None,
                        broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> dict[str, TermDictionary]:
     """Term dictionaries for the active categorical columns, per the plan:
-    'inline' -> none; 'dictionary' -> all; 'auto' -> where distinct terms are few."""
+    'inline' -> none; 'dictionary' -> all; 'auto' -> where distinct terms are few.
+
+    'auto' decides from one pass of HyperLogLog sketches (`approx_count_distinct`, merged
+    map-side, a few KB per task), so a high-cardinality column never pays for an exact
+    distinct -- a full shuffle of its values -- only to be rejected."""
     if plan not in ("auto", "inline", "dictionary"):
         raise ValueError(f"unknown assignment plan {plan!r}")
-    out: dict[str, TermDictionary] = {}
-    if plan == "inline":
-        return out
-    for f in geom.active_categoricals:
-        td = TermDictionary.build(points, f.column, broadcast_max_bytes)
-        if plan == "dictionary" or (n_points and td.n_terms <= DICTIONARY_MAX_SHARE * n_points):
-            out[f.column] = td
-        else:
-            td.release()
-    return out
+    cats = [f.column for f in geom.active_categoricals]
+    if plan == "inline" or not cats:
+        return {}
+    chosen = cats
+    if plan == "auto":
+        row = points.agg(F.count(F.lit(1)).alias("__n"),
+                         *[F.approx_count_distinct(c, 0.05).alias(c) for c in cats]).first()
+        n = n_points or row["__n"]
+        chosen = [c for c in cats if row[c] <= DICTIONARY_MAX_SHARE * n]
+    return {c: TermDictionary.build(points, c, broadcast_max_bytes) for c in chosen}
 
 
 def assign(points: DataFrame, centroids: list[dict], geom: Geometry,

@@ -302,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
                                    "SELECT id, cluster_id FROM a")
 
     q["kmeans_standard"] = kmeans_mixed_sql(part_pts_ctes(), PART, PART_WEIGHTS, 3, "Standard", PART_K, ITERATIONS)
+    q["kmeans_standard_first"] = kmeans_mixed_sql(part_pts_ctes(), PART, PART_WEIGHTS, 1, "Standard", PART_K, ITERATIONS)
     q["kmeans_partialsums"] = kmeans_mixed_sql(part_pts_ctes(), PART, PART_WEIGHTS, 1, "PartialSums", PART_K, ITERATIONS)
     q["kmeans_numeric_only"] = kmeans_mixed_sql(orders_pts_ctes(), ORDERS, ORDERS_WEIGHTS, 0, "Standard", 5, ITERATIONS)
     q["kmeans2d_step"] = kmeans_2d_sql(line_2d_ctes(), fixed_init(INIT_2D), 1)

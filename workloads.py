@@ -358,6 +358,11 @@ def q_kmeans_partialsums(spark, d):
     return _part_kmeans(spark, d, "PartialSums", 1)
 
 
+def q_kmeans_standard_first(spark, d):
+    """Standard with one medoid sample: the medoid is the first point of the cluster."""
+    return _part_kmeans(spark, d, "Standard", 1)
+
+
 def q_kmeans_numeric_only(spark, d):
     pts = orders_points(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     g = Geometry(ORDERS_FEATURES, ORDERS_WEIGHTS, 0)
@@ -495,6 +500,7 @@ QUERIES: dict[str, Query] = {
     "assign_nearest": q_assign_nearest,
     "assign_nearest_2d": q_assign_nearest_2d,
     "kmeans_standard": q_kmeans_standard,
+    "kmeans_standard_first": q_kmeans_standard_first,
     "kmeans_partialsums": q_kmeans_partialsums,
     "kmeans_numeric_only": q_kmeans_numeric_only,
     "kmeans2d_step": q_kmeans2d_step,
