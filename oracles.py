@@ -214,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
     q["json_defaults"] = (
         "SELECT CASE WHEN event_id % 3 = 0 THEN '0' ELSE json_extract_string(props, '$.k') END AS id_text, "
         "CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS time, "
-        "0.0 AS long, 0.0 AS lat FROM events")
+        "CAST(0.0 AS DOUBLE) AS long, CAST(0.0 AS DOUBLE) AS lat FROM events")
 
     ipa = orders_ip("o_orderkey", "o_custkey")
     q["ip_to_long"] = (
@@ -243,10 +243,10 @@ def oracle_sql() -> dict[str, str]:
                         f"round({_list_sum('v[i] - w[i]', N)}, {R}) AS sum_sub, "
                         f"round(list_sum(list_transform(v, lambda x: x / 2.0)), {R}) AS sum_half, "
                         f"round({dot}, {R}) AS dot, round({norm('v')}, {R}) AS norm, "
-                        f"round(list_sum(list_transform(v, lambda x: abs(x))), {R}) AS sum_abs, len(v) AS dim, "
+                        f"round(list_sum(list_transform(v, lambda x: abs(x))), {R}) AS sum_abs, CAST(len(v) AS INTEGER) AS dim, "
                         f"round({_list_sum('CASE WHEN v[i] > w[i] THEN v[i] ELSE w[i] END', N)}, {R}) AS sum_max, "
                         f"round({_list_sum('CASE WHEN v[i] < w[i] THEN v[i] ELSE w[i] END', N)}, {R}) AS sum_min, "
-                        f"{N} AS zip_len FROM pr")
+                        f"CAST({N} AS INTEGER) AS zip_len FROM pr")
     q["vec_weighted_dot"] = (f"WITH {EMB} SELECT vec_id, "
                              f"round({_list_sum('v[i] * CAST((i - 1) % 2 AS DOUBLE) * w[i]', N)}, {R}) AS wdot FROM pr")
     diff2 = _list_sum("(v[i] - w[i]) * (v[i] - w[i])", N)
@@ -263,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
        f"round(sqrt((b_x - x) * (b_x - x) + (b_y - y) * (b_y - y)), {R}) AS distance, "
        "printf('(%.2f - %.2f)', o_totalprice, y) AS text FROM p")
 
-    q["lev"] = "SELECT p_partkey, levenshtein(p_type, p_name) AS lev FROM part"
+    q["lev"] = "SELECT p_partkey, CAST(levenshtein(p_type, p_name) AS INTEGER) AS lev FROM part"
     q["lev_norm"] = (f"SELECT p_partkey, round({feature_dist('categorical', ['x'], 'p_type_', 'p_name_')}, 9) "
                      "AS lev_norm FROM (SELECT p_partkey, p_type AS p_type_x, p_name AS p_name_x FROM part)")
     q["longest_term"] = (
