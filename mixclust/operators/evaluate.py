@@ -55,7 +55,11 @@ def evaluate(points: DataFrame, centroids: list[dict], geom: Geometry, iteration
     totals = stats.agg(
         F.sum("n").alias("num_points"),
         (F.sum(F.col("radius") * F.col("n")) / F.sum("n")).alias("intra_avg_distance"))
-    quality = totals.crossJoin(inter).select(
+    # two one-row results side by side: stack them and fold with max (no join needed)
+    both = totals.unionByName(inter, allowMissingColumns=True).agg(
+        F.max("num_points").alias("num_points"), F.max("intra_avg_distance").alias("intra_avg_distance"),
+        F.max("inter_avg_distance").alias("inter_avg_distance"))
+    quality = both.select(
         F.lit(len(centroids)).cast("int").alias("num_centroids"),
         F.col("num_points").cast("bigint").alias("num_points"),
         F.lit(int(iterations)).cast("int").alias("num_iterations"),

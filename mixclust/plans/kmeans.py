@@ -67,7 +67,8 @@ def update_partial_sums(assigned: DataFrame, geom: Geometry, keep: list | None =
             keep.append(sums)
     out = mean_centroids(sums, geom.numeric_columns)
     for c in cats:
-        out = out.join(byte_means(sums.select("cluster_id", c, "__n"), c), "cluster_id", "left")
+        out = out.join(byte_means(sums.select("cluster_id", c, "__n"), c, distinct_terms=len(cats) == 1),
+                       "cluster_id", "left")
     return out
 
 

@@ -31,6 +31,7 @@ def test_byte_mean(spark, terms, expected):
 def test_byte_mean_counts_duplicates(spark):
     df = spark.createDataFrame([(0, "a", 3), (0, "c", 1)], "cluster_id int, t string, __n long")
     assert byte_means(df, "t").first()["t"] == chr((97 * 3 + 99) // 4)
+    assert byte_means(df, "t", distinct_terms=True).first()["t"] == chr((97 * 3 + 99) // 4)
 
 
 def test_medoid_first_m_by_id_ties_to_later(spark):
