@@ -6,10 +6,10 @@ The library never creates a cluster session on its own: `spark-submit` owns that
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on (all public Spark SQL options).
 JOB_CONF = {
@@ -55,17 +55,18 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this job")
         base = tempfile.mkdtemp(prefix="mixclust-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    if sub is None:
-        return base
-    return base.rstrip("/") + "/" + sub
+    return base if sub is None else base.rstrip("/") + "/" + sub
 
 
 def fresh_dir(spark: SparkSession, stem: str) -> str:
     """A new, unused path below the shared folder (never reused between runs)."""
-    import uuid
+    return shared_dir(spark, f"{stem}-{uuid.uuid4().hex[:12]}")
 
-    path = shared_dir(spark, f"{stem}-{uuid.uuid4().hex[:12]}")
-    if path.startswith("/") and not os.path.exists(path):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: its lineage is one scan, which
+    any executor can repeat after another is lost."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, stem)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
