@@ -15,6 +15,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.sentencepiece_bpe import tokenise
+
+    return tokenise(table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}

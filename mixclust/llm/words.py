@@ -45,7 +45,7 @@ def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         col = pc.fill_null(col, "")
     if not len(col):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    wide = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    wide = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     bufs = col.buffers()
     offs = np.frombuffer(bufs[1], wide, len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.empty(0, np.uint8)
