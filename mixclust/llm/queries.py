@@ -15,12 +15,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.sharding import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixclust.llm.sentencepiece_bpe import tokenise
 
     return tokenise(table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op6_sharding, op7_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}
