@@ -21,6 +21,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.quality import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixclust.llm.sharding import shard_rows
 
@@ -33,6 +40,6 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise(table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op6_sharding, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op5_quality, op6_sharding, op7_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}
