@@ -1,6 +1,7 @@
-"""Quality classifier: naive Bayes support vectors on byte n-grams.
+"""Quality classifier: naive Bayes support vectors on n-grams.
 
-The indicators of a text's hashed byte 2- and 3-grams are scaled by their class log-count ratios, and
+The indicators of a text's hashed byte 2- and 3-grams, of 1- to 3-grams over whether a word repeats the
+one before, and of the steps of its number of words and its share of repeats are scaled by their class log-count ratios, and
 a linear hinge-loss model (L2-regularised, dual coordinate descent) is fitted on the scaled vectors of
 length 1. A logistic curve fitted to margins out of fold turns margins into scores from 0 to 1.
 
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixclust.llm.words import flat, mix, row_blocks
+from mixclust.llm.words import Words, flat, inside, mix, row_blocks
 
 DIMS = 1 << 17
+SHAPES = 38
 SAMPLE = 3000
 FOLDS = 5
 THRESHOLD = 0.3
@@ -37,20 +39,43 @@ def fold(doc_id: str = "doc_id") -> F.Column:
 
 
 def feature_rows(col: pa.Array) -> Iterator[np.ndarray]:
-    """The distinct hashed byte 2- and 3-grams of each text, sorted."""
+    """The distinct features of each text, sorted: hashed byte 2- and 3-grams, and SHAPES for its words."""
     data, offs = flat(col)
+    shapes = word_shapes(col)
     wide = data.astype(np.uint64)
     two = wide[:-1] * np.uint64(256) + wide[1:]
     three = two[:-1] * np.uint64(256) + wide[2:]
-    two = (mix(two) % np.uint64(DIMS)).astype(np.int32)
-    three = (mix(three + np.uint64(1 << 32)) % np.uint64(DIMS)).astype(np.int32)
+    two = (mix(two) % np.uint64(DIMS - SHAPES)).astype(np.int32)
+    three = (mix(three + np.uint64(1 << 32)) % np.uint64(DIMS - SHAPES)).astype(np.int32)
     seen = np.zeros(DIMS, bool)
-    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+    for a, b, shape in zip(offs[:-1].tolist(), offs[1:].tolist(), shapes, strict=True):
         seen[two[a : max(a, b - 1)]] = True
         seen[three[a : max(a, b - 2)]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
-        yield found
+        yield np.append(found, DIMS - SHAPES + np.flatnonzero(shape))
+
+
+def word_shapes(col: pa.Array) -> np.ndarray:
+    """For each text SHAPES indicators: 14 of the 1- to 3-grams over "this word repeats the one before", 16 of
+    the steps of the number of words (by powers of two), 8 of the share of repeats (by halves)."""
+    words = Words(col)
+    n = np.diff(words.first)
+    h = words.hashes()
+    same = np.zeros(len(words), np.int64)
+    same[1:] = (h[1:] == h[:-1]) & (words.row[1:] == words.row[:-1])
+    out = np.zeros((len(n), SHAPES), bool)
+    code = same
+    for k in (1, 2, 3):
+        at = (1 << k) - 2
+        ok = inside(words, k)
+        out[words.row[: len(ok)][ok], at + code[: len(ok)][ok]] = True
+        code = code[:-1] * 2 + same[k:]
+    repeats = np.bincount(words.row, same, minlength=len(n))
+    out[np.arange(len(n)), 14 + np.minimum(15, np.ceil(np.log2(n + 1))).astype(int)] = True
+    share = np.maximum(repeats, 0.5) / np.maximum(n, 1)
+    out[np.arange(len(n)), 30 + np.clip(np.floor(-np.log2(share)), 0, 7).astype(int)] = True
+    return out
 
 
 def log_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
