@@ -40,6 +40,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise(table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op5_quality, op6_sharding, op7_sentencepiece)}
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text)}
 
 ORACLE_SQL: dict[str, str] = {}

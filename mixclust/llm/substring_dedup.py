@@ -22,7 +22,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,8 @@ FIRST_LEVEL = 25
 ENTRIES = 1 << 21  # occurrences that a task holds before it sends them on
 
 _PACKET = "bucket int, done boolean, h binary, docs binary, tags binary, counts binary, pos binary"
-_MARK = "doc_id long, tag int, pos binary"
+_ANSWER = "bucket int, docs binary, tags binary, counts binary, pos binary"
+_MARKS = "doc_id long, marks array<struct<tag:int,pos:binary>>"
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -135,9 +136,9 @@ def _packets(held: list, last: bool, buckets: int, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-def _answers(table: pa.Table, last: bool) -> pa.Table:
+def _answers(table: pa.Table, last: bool, buckets: int) -> pa.Table:
     """Positions of one bucket whose window is in another document (at the last level: in one with a
-    smaller id)."""
+    smaller id), packed for the buckets of their documents."""
 
     def whole(rows: pa.Table, name: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(rows[name].to_pylist()), kind)
@@ -162,18 +163,41 @@ def _answers(table: pa.Table, last: bool) -> pa.Table:
             doc, tag, pos = doc[keep], tag[keep], pos[keep]
         parts.append((doc, tag, pos))
     doc, tag, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    to = (mix(doc.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((pos, tag, doc, to))
+    to, doc, tag, pos = to[order], doc[order], tag[order], pos[order]
+    out = {k: [] for k in ("bucket", "docs", "tags", "counts", "pos")}
+    for at in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1) if len(to) else []:
+        runs = at[_run_starts(doc[at], tag[at])]
+        values = (int(to[at[0]]), doc[runs].tobytes(), tag[runs].tobytes(), np.diff(np.append(runs, at[-1] + 1)).astype(np.int32).tobytes(), pos[at].tobytes())
+        for k, v in zip(out, values, strict=True):
+            out[k].append(v)
+    return pa.table({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
+
+
+def _run_starts(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])[: len(doc)])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document of a bucket, with all its answers."""
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
+    doc, tag = (np.repeat(np.frombuffer(b"".join(table[c].to_pylist()), t), counts) for c, t in (("docs", np.int64), ("tags", np.int32)))
+    pos = np.frombuffer(b"".join(table["pos"].to_pylist()), np.uint32)
     order = np.lexsort((pos, tag, doc))
     doc, tag, pos = doc[order], tag[order], pos[order]
-    runs = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.empty(0, int)
-    return pa.table({"doc_id": pa.array(doc[runs], pa.int64()), "tag": pa.array(tag[runs], pa.int32()), "pos": pa.array([x.tobytes() for x in np.split(pos, runs[1:])] if len(doc) else [], pa.binary())})
-
+    runs = _run_starts(doc, tag)
+    packed = pa.array([x.tobytes() for x in np.split(pos, runs[1:])] if len(runs) else [], pa.binary())
+    first = np.flatnonzero(np.concatenate([[True], np.diff(doc[runs]) != 0])[: len(runs)])
+    marks = pa.ListArray.from_arrays(pa.array(np.append(first, len(runs)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(tag[runs], pa.int32()), packed], ["tag", "pos"]))
+    return pa.table({"doc_id": pa.array(doc[runs[first]], pa.int64()), "marks": marks})
 
-def _repeat_answers(table: pa.Table) -> pa.Table:
-    return _answers(table, False)
 
+def _answerer(last: bool, buckets: int) -> Callable[[pa.Table], pa.Table]:
+    def one(table: pa.Table) -> pa.Table:
+        return _answers(table, last, buckets)
 
-def _end_answers(table: pa.Table) -> pa.Table:
-    return _answers(table, True)
+    return one
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, first: int = FIRST_LEVEL) -> DataFrame | None:
@@ -186,8 +210,8 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, first: int = F
     for n in levels(min_words, first):
         source = docs if marks is None else docs.join(marks, "doc_id")
         packets = source.mapInArrow(lambda x, a=below, b=n: _level(x, a, b, min_words, buckets), _PACKET)
-        found = packets.groupBy("bucket").applyInArrow(_end_answers if n == min_words else _repeat_answers, _MARK)
-        marks = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "pos")).alias("marks")), "repeats")
+        answers = packets.groupBy("bucket").applyInArrow(_answerer(n == min_words, buckets), _ANSWER)
+        marks = written(answers.groupBy("bucket").applyInArrow(_gather, _MARKS), "repeats")
         if marks.isEmpty():
             return None
         below = n
