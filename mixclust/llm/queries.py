@@ -21,6 +21,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.near_dedup import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixclust.llm.quality import learn, score
 
@@ -46,6 +52,6 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text)}
 
 ORACLE_SQL: dict[str, str] = {}
