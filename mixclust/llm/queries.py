@@ -15,6 +15,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixclust.llm.url_filter import judge
 
@@ -52,6 +58,6 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text)}
 
 ORACLE_SQL: dict[str, str] = {}
