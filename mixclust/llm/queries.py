@@ -59,13 +59,19 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.pseudo_likelihood import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixclust.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text, op9_lm_scoring, op10_top_k)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_top_k": """
