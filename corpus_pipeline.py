@@ -1,15 +1,37 @@
 """The corpus pipeline: documents in, tokenised documents out. Each stage calls one operator of ``mixclust.llm``;
-its result is written as Parquet and read back as the next stage's documents."""
+its result is written as Parquet and read back as the next stage's documents.
+
+Rows with a null doc_id go through all stages; of the columns only COLUMNS are read and returned.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixclust.llm.decontaminate import clean
+from mixclust.llm.near_dedup import near_components
+from mixclust.llm.quality import learn, score
+from mixclust.llm.sentencepiece_bpe import tokenise
 from mixclust.llm.substring_dedup import cut_repeats
 from mixclust.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NEAR = 0.8
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as label 1."""
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, carry=COLUMNS).where("predicted = 1").select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (similarity NEAR or more, over any number of links) the document with the
+    smallest id; of rows that repeat an id, one."""
+    kept = near_components(docs, NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +43,30 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cut.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
-STAGES = [("substring dedup", cut_repeated_passages)]
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage that matches a benchmark item."""
+    return clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digests of ids and of the text that they decode to."""
+    return tokenise(docs, outputs=("ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", keep_good_quality),
+    ("MinHash near-dedup", keep_one_of_near_copies),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("SentencePiece encoding and decoding", encode),
+]
 
-#: No SQL: a classifier that is fitted, windows compared by hash and a tokenizer are among the stages.
+#: No SQL: a fitted classifier, links found by sketches and a tokenizer are among the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-").lower())
     return STAGES[-1][1](spark, docs, sf_dir)
