@@ -87,11 +87,11 @@ def numeric_distance(name: str) -> NumericDistance:
     try:
         return NUMERIC_DISTANCES[name]
     except KeyError:
-        raise ValueError(f"Invalid distance function: {name}") from None
+        raise ValueError(f"no such distance: {name!r}; known: {sorted(NUMERIC_DISTANCES)}") from None
 
 
 def string_distance(name: str) -> StringDistance:
     try:
         return STRING_DISTANCES[name]
     except KeyError:
-        raise ValueError(f"Invalid distance function: {name}") from None
+        raise ValueError(f"no such distance: {name!r}; known: {sorted(STRING_DISTANCES)}") from None

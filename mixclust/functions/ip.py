@@ -15,20 +15,15 @@ from .common import as_col
 _QUAD = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
 
 
-def _octet(s: Column, i: int) -> Column:
-    return F.regexp_extract(s, _QUAD, i).cast("bigint")
-
-
 def ip_to_long(s) -> Column:
     """Dotted quad -> 0 .. 2^32-1; '' -> 0 (the reference's default address);
     malformed text or an octet above 255 -> NULL (rejected, never resolved over DNS)."""
     s = as_col(s)
-    octets = [_octet(s, i) for i in range(1, 5)]
-    valid = s.rlike(_QUAD)
-    for o in octets:
-        valid = valid & (o <= 255)
-    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(s == "", F.lit(0).cast("bigint")).when(valid, value)
+    # one regex check; the octets come from a single split
+    parts = F.transform(F.split(s, r"\."), lambda p: p.cast("bigint"))
+    value = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
+    ok = s.rlike(_QUAD)
+    return F.when(s == "", F.lit(0).cast("bigint")).when(ok, F.when(F.forall(parts, lambda o: o <= 255), value))
 
 
 def long_to_ip(n) -> Column:
@@ -38,45 +33,45 @@ def long_to_ip(n) -> Column:
     return F.concat_ws(".", *parts, v.bitwiseAND(255).cast("string"))
 
 
-def _similarity_of_octets(a: list[Column], b: list[Column]) -> Column:
-    """Common-prefix similarity: +1 per equal leading octet, then 1-|x-y|/256 at the
-    first differing octet, the whole divided by 4."""
-    def step(i: int) -> Column:
-        return F.lit(float(i)) + (F.lit(1.0) - F.abs(a[i] - b[i]) / F.lit(256.0))
+def _octets(quad: Column) -> Column:
+    """The numbers of an address; a part that is no number becomes NULL. Trailing empty parts are dropped,
+    as a JVM split does."""
+    return F.transform(F.split(F.regexp_replace(quad, r"\.+$", ""), r"\."), lambda p: p.try_cast("int"))
+
+
+def _similarity_of_octets(x: Column, y: Column) -> Column:
+    """+1 per equal leading octet, then 1-|x-y|/256 at the first differing octet, up to the end of the shorter
+    address; the whole divided by 4. NULL if an octet up to that end is no number."""
+    pairs = F.slice(F.arrays_zip(x.alias("x"), y.alias("y")), 1, F.least(F.size(x), F.size(y)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("over"))
 
-    acc = F.when(a[0] != b[0], step(0))
-    for i in range(1, 4):
-        acc = acc.when(a[i] != b[i], step(i))
-    return acc.otherwise(F.lit(4.0)) / F.lit(4.0)
+    def step(acc: Column, p: Column) -> Column:
+        differs = p["x"] != p["y"]
+        gain = F.when(differs, F.lit(1.0) - F.abs(p["x"] - p["y"]) / F.lit(256.0)).when(~differs, F.lit(1.0))
+        return F.struct(F.when(acc["over"], acc["sum"]).otherwise(acc["sum"] + gain).alias("sum"),
+                        (acc["over"] | F.coalesce(differs, F.lit(False))).alias("over"))
+
+    total = F.aggregate(pairs, start, step)["sum"]
+    return F.when(F.forall(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), total / F.lit(4.0))
 
 
 def ip_similarity(a, b) -> Column:
-    """P27 on two dotted quads."""
-    a, b = as_col(a), as_col(b)
-    pa = F.split(a, r"\.")
-    pb = F.split(b, r"\.")
-    oa = [F.get(pa, i).cast("int") for i in range(4)]
-    ob = [F.get(pb, i).cast("int") for i in range(4)]
-    return _similarity_of_octets(oa, ob)
+    """P27 on two addresses."""
+    return _similarity_of_octets(_octets(as_col(a)), _octets(as_col(b)))
 
 
 def ip_set_similarity(a, b, normalize: bool = False) -> Column:
     """Sets written as 'ip-ip-...'. Sum of P27 over all pairs of the two sets, then
     (acc/|A| + acc/|B|)/2 as in the reference (can exceed 1); with normalize=True the sum
-    is divided by |A|*|B| instead, which keeps the value in [0, 1]."""
+    is divided by |A|*|B| instead, which keeps the value in [0, 1]. NULL if a member is
+    no address (P27)."""
     sa = F.array_distinct(F.split(as_col(a), "-"))
     sb = F.array_distinct(F.split(as_col(b), "-"))
+    octets_b = F.transform(sb, _octets)
 
     def pair_sum(x: Column) -> Column:
-        px = F.split(x, r"\.")
-        ox = [F.get(px, i).cast("int") for i in range(4)]
-
-        def inner(acc: Column, y: Column) -> Column:
-            py = F.split(y, r"\.")
-            oy = [F.get(py, i).cast("int") for i in range(4)]
-            return acc + _similarity_of_octets(ox, oy)
-
-        return F.aggregate(sb, F.lit(0.0), inner)
+        ox = _octets(x)
+        return F.aggregate(octets_b, F.lit(0.0), lambda acc, oy: acc + _similarity_of_octets(ox, oy))
 
     acc = F.aggregate(sa, F.lit(0.0), lambda acc, x: acc + pair_sum(x))
     na, nb = F.size(sa).cast("double"), F.size(sb).cast("double")

@@ -3,19 +3,24 @@
 The k centroids are driver values (k rows, collected once per iteration) and enter the
 plan as literals: the assignment is a narrow projection over the points, with no join
 and no shuffle. For each point the candidates are compared as struct(distance,
--cluster_id) with `least`, so an equal distance goes to the later centroid, as in the
-reference's left fold; NaN sorts last and NULL is skipped.
+-cluster_id), so an equal distance goes to the later centroid, as in the reference's left
+fold. A distance that is NULL or NaN never wins against a number; a point without any
+distance gets the cluster_id NULL.
+
+Up to MOST_LITERALS centroids the candidates are spelled out (`least` of k structs, plain
+codegen'd arithmetic). Beyond, the centroids are one array literal and the candidates its
+transform, so the plan's size doesn't depend on k. Both give the same answers.
 
 Levenshtein dominates the cost (n*k evaluations per categorical). When a categorical
 column has few distinct terms, the *term dictionary* plan computes the weighted
-distances of each distinct term to the k centroids once (d*k evaluations) and joins
-them back by term. The dictionary is broadcast only when its size, measured from the
-counted terms, is under `broadcast_max_bytes`; otherwise it is an ordinary shuffle join
-on the term, whose hot keys adaptive execution splits.
+distances of each distinct term to the k centroids once (d*k evaluations, one array per
+term) and joins them back by term. `auto` takes it only where the estimated dictionary is
+small enough to be broadcast, so no iteration shuffles the points.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -28,13 +33,36 @@ from ..plans.geometry import Geometry, cols, literals
 DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 # auto plan: use a dictionary when distinct terms are at most this share of the points
 DICTIONARY_MAX_SHARE = 0.25
+MOST_LITERALS = 32
+
+
+def _candidate(distance: Column, order: Column) -> Column:
+    """NULL counts as NaN, which sorts after every number (a NULL would sort first)."""
+    return F.struct(F.coalesce(distance, F.lit(float("nan"))).alias("d"), order.alias("o"))
 
 
 def _argmin(candidates: list[tuple[Column, int]]) -> Column:
-    structs = [F.struct(d.alias("d"), F.lit(-cid).alias("o")) for d, cid in candidates]
+    structs = [_candidate(d, F.lit(-cid)) for d, cid in candidates]
     return structs[0] if len(structs) == 1 else F.least(*structs)
 
 
+def _with_best(df: DataFrame, best: Column, id_col: str, distance_col: str | None) -> DataFrame:
+    df = df.withColumn("__best", best)
+    found = ~F.isnan("__best.d")
+    df = df.withColumn(id_col, F.when(found, -F.col("__best.o")).cast("int"))
+    if distance_col:
+        df = df.withColumn(distance_col, F.when(found, F.col("__best.d")))
+    return df.drop("__best")
+
+
+def centroid_array(centroids: list[dict], geom: Geometry) -> Column:
+    """The centroids as one literal: array<struct<cluster_id, coordinates, terms>>."""
+    names = ["cluster_id", *geom.numeric_columns, *geom.categorical_columns]
+    kinds = ["int", *["double"] * len(geom.numeric_columns), *["string"] * len(geom.categorical_columns)]
+    schema = "array<struct<" + ", ".join(f"`{n}`: {k}" for n, k in zip(names, kinds)) + ">>"
+    return F.from_json(F.lit(json.dumps([{n: c.get(n) for n in names} for c in centroids])), schema)
+
+
 @dataclass
 class TermDictionary:
     column: str
@@ -61,13 +89,14 @@ class TermDictionary:
 
 
 def build_dictionaries(points: DataFrame, geom: Geometry, plan: str = "auto", n_points: int | None = None,
-                       broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> dict[str, TermDictionary]:
+                       broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES, k: int = 100) -> dict[str, TermDictionary]:
     """Term dictionaries for the active categorical columns, per the plan:
-    'inline' -> none; 'dictionary' -> all; 'auto' -> where distinct terms are few.
+    'inline' -> none; 'dictionary' -> all (joined by a shuffle where too large); 'auto' ->
+    where distinct terms are few and their distances to k centroids can be broadcast.
 
     'auto' decides from one pass of HyperLogLog sketches (`approx_count_distinct`, merged
-    map-side, a few KB per task), so a high-cardinality column never pays for an exact
-    distinct -- a full shuffle of its values -- only to be rejected."""
+    map-side, a few KB per task) and mean term sizes, so a high-cardinality column never pays
+    for an exact distinct -- a full shuffle of its values -- only to be rejected."""
     if plan not in ("auto", "inline", "dictionary"):
         raise ValueError(f"unknown assignment plan {plan!r}")
     cats = [f.column for f in geom.active_categoricals]
@@ -76,9 +105,11 @@ def build_dictionaries(points: DataFrame, geom: Geometry, plan: str = "auto", n_
     chosen = cats
     if plan == "auto":
         row = points.agg(F.count(F.lit(1)).alias("__n"),
-                         *[F.approx_count_distinct(c, 0.05).alias(c) for c in cats]).first()
+                         *[F.approx_count_distinct(c, 0.05).alias(c) for c in cats],
+                         *[F.avg(F.octet_length(c)).alias(f"__b_{c}") for c in cats]).first()
         n = n_points or row["__n"]
-        chosen = [c for c in cats if row[c] <= DICTIONARY_MAX_SHARE * n]
+        size = {c: row[c] * ((row[f"__b_{c}"] or 0) + 8 * k + 64) for c in cats}
+        chosen = [c for c in cats if row[c] <= DICTIONARY_MAX_SHARE * n and size[c] <= broadcast_max_bytes]
     return {c: TermDictionary.build(points, c, broadcast_max_bytes) for c in chosen}
 
 
@@ -89,37 +120,35 @@ def assign(points: DataFrame, centroids: list[dict], geom: Geometry,
     if not centroids:
         raise ValueError("no centroid to assign to")
     dictionaries = dictionaries or {}
-    k = len(centroids)
+    k, large = len(centroids), len(centroids) > MOST_LITERALS
+    array = centroid_array(centroids, geom)
     df = points
-    per_feature: list[list[Column]] = []
-    helper_cols: list[str] = []
+    tables: dict[str, str] = {}  # categorical column -> its column of distances, an array
+    helpers: list[str] = []
     for f in geom.active:
         td = dictionaries.get(f.column) if f.kind == "categorical" else None
         if td is None:
-            per_feature.append([geom.weighted(f, geom.feature_distance(f, cols(), literals(c))) for c in centroids])
             continue
-        tcol = f"__t_{f.column}"
-        dcols = [f"__d{j}_{f.column}" for j in range(k)]
-        term_side = lambda _name, _t=tcol: F.col(_t)
-        dists = [geom.weighted(f, geom.feature_distance(f, term_side, literals(c))).alias(dc)
-                 for c, dc in zip(centroids, dcols)]
-        # one double column per centroid: plain column reads in the arg-min keep the
-        # projection small enough for whole-stage codegen (an array + element_at does not)
-        table = td.terms.select(F.col("__term").alias(tcol)).select(tcol, *dists)
+        term, dist = f"__t_{f.column}", f"__d_{f.column}"
+        to_each = lambda side, _f=f, _t=term: geom.weighted(_f, geom.feature_distance(_f, lambda _n: F.col(_t), side))
+        each = F.transform(array, lambda c: to_each(lambda n: c[n])) if large else F.array(*[to_each(literals(c)) for c in centroids])
+        table = td.terms.select(F.col("__term").alias(term)).select(term, each.alias(dist))
         if td.broadcastable(k):
             table = F.broadcast(table)
-        df = df.join(table, df[f.column].eqNullSafe(table[tcol]), "left")
-        helper_cols += [tcol, *dcols]
-        per_feature.append([F.col(dc) for dc in dcols])
-    candidates = [
-        (geom.combine([terms[j] for terms in per_feature]), int(c["cluster_id"]))
-        for j, c in enumerate(centroids)
-    ]
-    df = df.withColumn("__best", _argmin(candidates))
-    df = df.withColumn(id_col, (-F.col("__best.o")).cast("int"))
-    if distance_col:
-        df = df.withColumn(distance_col, F.col("__best.d"))
-    return df.drop("__best", *helper_cols)
+        df = df.join(table, df[f.column].eqNullSafe(table[term]), "left")
+        tables[f.column] = dist
+        helpers += [term, dist]
+
+    def distance(side, at: Column) -> Column:
+        terms = [F.get(F.col(tables[f.column]), at) if f.kind == "categorical" and f.column in tables
+                 else geom.weighted(f, geom.feature_distance(f, cols(), side)) for f in geom.active]
+        return geom.combine(terms)
+
+    if large:
+        best = F.array_min(F.transform(array, lambda c, i: _candidate(distance(lambda n: c[n], i), -c["cluster_id"])))
+    else:
+        best = _argmin([(distance(literals(c), F.lit(j)), int(c["cluster_id"])) for j, c in enumerate(centroids)])
+    return _with_best(df, best, id_col, distance_col).drop(*helpers)
 
 
 def assign_2d(points: DataFrame, centroids: list[tuple[int, float, float]], x: str = "x", y: str = "y",
@@ -127,7 +156,4 @@ def assign_2d(points: DataFrame, centroids: list[tuple[int, float, float]], x: s
     """Euclidean nearest of (cluster_id, cx, cy) centroids, ties to the later one."""
     cands = [(point_distance(F.col(x), F.col(y), F.lit(float(cx)), F.lit(float(cy))), int(cid))
              for cid, cx, cy in centroids]
-    df = points.withColumn("__best", _argmin(cands)).withColumn(id_col, (-F.col("__best.o")).cast("int"))
-    if distance_col:
-        df = df.withColumn(distance_col, F.col("__best.d"))
-    return df.drop("__best")
+    return _with_best(points, _argmin(cands), id_col, distance_col)

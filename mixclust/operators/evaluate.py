@@ -20,7 +20,7 @@ from .update import centroids_frame
 def cluster_stats(points: DataFrame, centroids: list[dict], geom: Geometry,
                   dictionaries: dict[str, TermDictionary] | None = None) -> DataFrame:
     """cluster_id, n, radius (mean distance point -> its nearest final centroid)."""
-    assigned = assign(points, centroids, geom, dictionaries, distance_col="distance")
+    assigned = assign(points, centroids, geom, dictionaries, distance_col="distance").where("cluster_id IS NOT NULL")
     return assigned.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("distance").alias("radius"))
 
@@ -48,8 +48,11 @@ class Quality:
 
 def evaluate(points: DataFrame, centroids: list[dict], geom: Geometry, iterations: int,
              dictionaries: dict[str, TermDictionary] | None = None) -> Quality:
+    """One pass over the points gives the k rows of statistics; the quality row is derived from
+    them and from the centroid pairs. Points without a nearest centroid count nowhere."""
     spark = points.sparkSession
-    stats = cluster_stats(points, centroids, geom, dictionaries)
+    found = cluster_stats(points, centroids, geom, dictionaries)
+    stats = spark.createDataFrame(found.collect(), found.schema)  # k rows
     cents = centroids_frame(spark, centroids, geom)
     inter = inter_distance(cents, geom)
     totals = stats.agg(

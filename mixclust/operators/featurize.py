@@ -16,7 +16,7 @@ DEFAULT_ID = "0"
 DEFAULT_NUMBER = "0.0"
 DEFAULT_CATEGORY = "_"
 DEFAULT_IP = "0.0.0.0"
-EMPTY_SCALAR = "0.0"  # an empty string value reads as "0.0", for every key
+EMPTY_SCALAR = "0.0"  # an empty string value reads as "0.0", for every key but IP
 
 
 def first_map_value(c, default: str) -> Column:
@@ -38,13 +38,15 @@ def first_array_entry(c, default: str) -> Column:
 
 
 def _num(text: Column) -> Column:
-    return F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
+    """A finite number, else NULL (so that the record goes to the rejects)."""
+    n = text.try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def featurize_spam(rec: DataFrame, prefix: str = "") -> DataFrame:
     """Id; time, size, long, lat, ip; bot, uri."""
     p = (lambda n: F.col(f"{prefix}{n}")) if prefix else F.col
-    ip_text = scalar_with_default(p("IP"), DEFAULT_IP)
+    ip_text = F.coalesce(p("IP"), F.lit(DEFAULT_IP))  # '' stays '': address 0
     return rec.select(
         first_map_value(p("_id"), DEFAULT_ID).alias("id"),
         _num(first_map_value(p("date"), DEFAULT_NUMBER)).alias("time"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import scale_interval, unscale_interval
@@ -12,18 +12,22 @@ from ..functions.scale import scale_interval, unscale_interval
 Limits = dict[str, tuple[float, float]]  # column -> (min, max)
 
 
-def coord_limits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: min_<c>, max_<c> for every column, in a single pass with partial
+# (name, aggregate) pairs; any aggregate over one numeric column can be added
+Reducers = Sequence[tuple[str, Callable[[str], Column]]]
+MIN_MAX: Reducers = (("min", F.min), ("max", F.max))
+
+
+def coord_limits(df: DataFrame, columns: Sequence[str], reducers: Reducers = MIN_MAX) -> DataFrame:
+    """One row: <reducer>_<c> for every column and reducer, in a single pass with partial
     aggregation (one tiny row per task is shuffled)."""
-    aggs = []
-    for c in columns:
-        aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
-    return df.agg(*aggs)
+    return df.agg(*[agg(c).alias(f"{name}_{c}") for c in columns for name, agg in reducers])
 
 
 def fetch_limits(df: DataFrame, columns: Sequence[str]) -> Limits:
     """The limits as driver values: one row of 2 * #columns doubles."""
     row = coord_limits(df, columns).first()
+    if empty := [c for c in columns if row[f"min_{c}"] is None]:
+        raise ValueError(f"no value to scale by in column(s) {empty}: the input is empty or all NULL there")
     return {c: (float(row[f"min_{c}"]), float(row[f"max_{c}"])) for c in columns}
 
 

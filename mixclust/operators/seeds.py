@@ -16,12 +16,15 @@ def sample_seeds(points: DataFrame, k: int, id_col: str = "id", seed: int = 42)
     """Exactly min(k, n) distinct points, numbered cluster_id 0..k-1 in hash order.
 
     `orderBy(...).limit(k)` plans as TakeOrderedAndProject: every task keeps its own k
-    best rows and only those are merged, so no full sort of the data happens.
+    best rows and only those are merged, so no full sort of the data happens. Rows of one
+    id follow a hash of all columns, then the columns, so the order is total.
     """
-    h = seed_order(id_col, seed)
-    top = points.withColumn("__h", h).orderBy("__h", id_col).limit(k)
-    w = Window.orderBy("__h", id_col)  # over k rows only
-    return top.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int")).drop("__h")
+    rest = [c for c in points.columns if c != id_col]
+    top = points.withColumn("__h", seed_order(id_col, seed)).withColumn("__t", F.xxhash64(*points.columns))
+    order = ["__h", id_col, "__t", *rest]
+    top = top.orderBy(*order).limit(k)
+    w = Window.orderBy(*order)  # over k rows only
+    return top.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int")).drop("__h", "__t")
 
 
 def suggest_k(points: DataFrame) -> DataFrame:

@@ -38,22 +38,21 @@ def _signed_byte_prefix(term: Column, length: Column) -> Column:
     return F.transform(raw, lambda b: F.when(b >= 128, b - 256).otherwise(b))
 
 
-def byte_means(term_counts: DataFrame, column: str, count_col: str = "__n", distinct_terms: bool = False) -> DataFrame:
+def byte_means(term_counts: DataFrame, column: str, count_col: str = "__n", limits: DataFrame | None = None) -> DataFrame:
     """A8 per cluster: byte-wise sum of all its terms, cut to the shortest term, integer
     division by the cluster size (truncating toward zero, as JVM ints), back to a UTF-8
     string with invalid sequences replaced.
 
-    Input: cluster_id, <column>, <count_col> (points per (cluster, term); pass
-    distinct_terms=True when it already has one row per pair). The explode touches each
-    distinct (cluster, term) once, for the shortest length only.
+    Input: cluster_id, <column>, <count_col> (points that the row stands for; a (cluster, term) pair
+    may have several rows). `limits`: cluster_id, __L (bytes of the shortest term), __N (points), if
+    known. They have a row per cluster and are broadcast; the bytes are summed map-side, so the shuffle
+    takes a row per cluster, position and task, and no row is keyed by its term.
     """
-    if distinct_terms:
-        t = term_counts.select("cluster_id", column, F.col(count_col).alias("__c"))
-    else:
-        t = term_counts.groupBy("cluster_id", column).agg(F.sum(count_col).alias("__c"))
-    lim = t.groupBy("cluster_id").agg(F.min(F.octet_length(column)).alias("__L"), F.sum("__c").alias("__N"))
+    t = term_counts.select("cluster_id", column, F.col(count_col).alias("__c"))
+    lim = limits if limits is not None else t.groupBy("cluster_id").agg(
+        F.min(F.octet_length(column)).alias("__L"), F.sum("__c").alias("__N"))
     exploded = (
-        t.join(lim, "cluster_id")
+        t.join(F.broadcast(lim), "cluster_id")
         .where(F.col("__L") > 0)
         .select("cluster_id", "__N", "__c",
                 F.posexplode(_signed_byte_prefix(F.col(column), F.col("__L"))).alias("__pos", "__b"))

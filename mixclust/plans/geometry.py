@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distances import numeric_distance, string_distance
 from .params import FeatureSpec, resolve_weights
 
 Side = Callable[[str], Column]
+Update = Callable[..., DataFrame]
 
 
 def cols(prefix: str = "") -> Side:
@@ -36,7 +37,13 @@ NUMERIC_RESCALE = math.sqrt(2.0)
 
 
 class Geometry:
-    def __init__(self, features: Sequence[FeatureSpec], weights: dict[str, float], samples_for_medoid: int):
+    """`updates` maps further modes (or 'Standard' / 'PartialSums', to replace them) to an update:
+    a function (assigned points, geometry, order columns, scratch) -> DataFrame with cluster_id, n
+    and every coordinate and term of the new centroids; DataFrames that it persists go to scratch."""
+
+    def __init__(self, features: Sequence[FeatureSpec], weights: dict[str, float], samples_for_medoid: int,
+                 updates: dict[str, Update] | None = None):
+        self.updates = dict(updates or {})
         self.features = tuple(features)
         self.weights = resolve_weights(self.features, weights)
         self.samples_for_medoid = int(samples_for_medoid)

@@ -9,17 +9,18 @@ must be persisted by the caller (they are scanned once per iteration).
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import point_distance
-from ..operators.assign import assign, assign_2d, build_dictionaries
+from ..operators.assign import TermDictionary, assign, assign_2d, build_dictionaries
 from ..operators.update import (
-    byte_means, centroids_frame, cluster_sums, mean_centroids, medoids, with_movement,
+    byte_means, centroids_frame, cluster_sums, keep_empty, mean_centroids, medoids, with_movement,
 )
 from .geometry import Geometry
 
@@ -36,10 +37,11 @@ def _rows(df: DataFrame) -> list[dict]:
     return sorted((r.asDict() for r in df.collect()), key=lambda r: r["cluster_id"])
 
 
-def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str]) -> DataFrame:
+def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str], scratch: list[DataFrame]) -> DataFrame:
     """K3 update: means over all points + medoids over the first m points (by id, then
     terms). With m = 1 the medoid is the first point's term itself, so it rides along in
-    the means aggregation as min(struct(id, terms)) and the iteration is a single pass."""
+    the means aggregation as min(struct(id, terms)) and the iteration is a single pass.
+    With m > 1 the assigned points are persisted for the iteration, and feed both."""
     if not geom.use_categoricals or not geom.categoricals:
         return mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
     cats = geom.categorical_columns
@@ -49,44 +51,65 @@ def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[st
             F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"__s_{c}") for c in geom.numeric_columns], first)
         return agg.select("cluster_id", "n", *[(F.col(f"__s_{c}") / F.col("n")).alias(c) for c in geom.numeric_columns],
                           *[F.col(f"__first.{c}").alias(c) for c in cats])
+    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
+    scratch.append(assigned)
     means = mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
     sample_order = list(dict.fromkeys([*order_cols, *cats]))
     return means.join(medoids(assigned, geom, geom.samples_for_medoid, sample_order), "cluster_id", "left")
 
 
-def update_partial_sums(assigned: DataFrame, geom: Geometry, keep: list | None = None) -> DataFrame:
-    """K4 update: one grouped pass over (cluster, terms) feeds both the numeric means
-    and the byte means. With categoricals, that partial aggregate (at most one row per
-    cluster and distinct term combination) is persisted, so the assignment -- the
-    expensive n*k part -- runs once per iteration; `keep` collects it for unpersist."""
+def update_partial_sums(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str], scratch: list[DataFrame],
+                        few_terms: Collection[str] = ()) -> DataFrame:
+    """K4 update: one pass per cluster for sums, counts and the length of each shortest term
+    (k rows), then per categorical the byte sums up to that length, map-side. Only a column in
+    `few_terms` (it has a dictionary) is counted per (cluster, term) first. With categoricals the
+    assigned points are persisted, so the assignment -- the n*k part -- runs once per iteration."""
     cats = geom.categorical_columns if geom.use_categoricals else []
-    sums = cluster_sums(assigned, geom.numeric_columns, cats)
-    if cats:
-        sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
-        if keep is not None:
-            keep.append(sums)
-    out = mean_centroids(sums, geom.numeric_columns)
+    if not cats:
+        return mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
+    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
+    scratch.append(assigned)
+    sums = assigned.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"__s_{c}") for c in geom.numeric_columns],
+        *[F.min(F.octet_length(c)).alias(f"__l_{c}") for c in cats])
+    out = sums.select("cluster_id", "n", *[(F.col(f"__s_{c}") / F.col("n")).alias(c) for c in geom.numeric_columns])
     for c in cats:
-        out = out.join(byte_means(sums.select("cluster_id", c, "__n"), c, distinct_terms=len(cats) == 1),
-                       "cluster_id", "left")
+        limits = sums.select("cluster_id", F.col(f"__l_{c}").alias("__L"), F.col("n").alias("__N"))
+        if c in few_terms:
+            terms = assigned.groupBy("cluster_id", c).agg(F.count(F.lit(1)).alias("__n"))
+        else:
+            terms = assigned.select("cluster_id", c, F.lit(1).alias("__n"))
+        out = out.join(F.broadcast(byte_means(terms, c, limits=limits)), "cluster_id", "left")
     return out
 
 
+UPDATES = {"Standard": update_standard, "PartialSums": update_partial_sums}
+
+
 def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str = "PartialSums",
                  epsilon: float = 0.001, max_iter: int = 2, order_cols: Sequence[str] = ("id",),
-                 plan: str = "auto", n_points: int | None = None) -> KMeansResult:
+                 plan: str = "auto", n_points: int | None = None, empty: str = "drop",
+                 dictionaries: dict[str, TermDictionary] | None = None) -> KMeansResult:
     """K3 (mode 'Standard') / K4 (mode 'PartialSums') on scaled points.
 
-    Iteration i (from 1) assigns, updates (empty clusters are dropped), measures the
-    movement of every surviving centroid and goes on iff some movement > epsilon and
-    i < max_iter; the centroids of the last update are returned.
+    Iteration i (from 1) assigns, updates, measures the movement of every centroid and
+    goes on iff some movement > epsilon and i < max_iter; the centroids of the last update
+    are returned. A cluster without points is dropped, or (empty='keep') keeps its centroid.
+    Points without a nearest centroid take no part in the update. Dictionaries that are
+    passed in stay the caller's to release.
     """
-    if mode not in ("PartialSums", "Standard"):
-        raise ValueError(f"mode must be 'PartialSums' or 'Standard', got {mode!r}")
+    update = geom.updates.get(mode) or UPDATES.get(mode)
+    if update is None:
+        raise ValueError(f"mode must be one of {sorted({*UPDATES, *geom.updates})}, got {mode!r}")
+    if empty not in ("drop", "keep"):
+        raise ValueError(f"empty must be 'drop' or 'keep', got {empty!r}")
     spark = points.sparkSession
-    if n_points is None and plan == "auto" and geom.use_categoricals:
-        n_points = points.count()
-    dictionaries = build_dictionaries(points, geom, plan, n_points)
+    own = dictionaries is None
+    if own:
+        dictionaries = build_dictionaries(points, geom, plan, n_points, k=len(seeds))
+    if update is update_partial_sums:
+        update = partial(update_partial_sums, few_terms=frozenset(dictionaries))
+    columns = [*geom.numeric_columns, *geom.categorical_columns]
     centroids = sorted(seeds, key=lambda c: c["cluster_id"])
     movements: list[dict[int, float]] = []
     seconds: list[float] = []
@@ -94,13 +117,14 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
     try:
         while True:
             t0 = time.perf_counter()
-            assigned = assign(points, centroids, geom, dictionaries, distance_col=None)
+            assigned = assign(points, centroids, geom, dictionaries, distance_col=None).where("cluster_id IS NOT NULL")
             scratch: list[DataFrame] = []
-            if mode == "Standard":
-                new = update_standard(assigned, geom, order_cols)
-            else:
-                new = update_partial_sums(assigned, geom, scratch)
+            new = update(assigned, geom, order_cols, scratch)
             old = centroids_frame(spark, centroids, geom, prefix="o_")
+            if empty == "keep":
+                have = set(new.columns)
+                new = new.withColumns({c: F.lit(None).cast("string") for c in columns if c not in have})
+                new = keep_empty(old, new, columns).select("cluster_id", *columns)
             rows = _rows(with_movement(new, old, geom))
             for df in scratch:
                 df.unpersist()
@@ -117,8 +141,9 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
                 continue
             return KMeansResult(centroids, it, movements, seconds)
     finally:
-        for td in dictionaries.values():
-            td.release()
+        if own:
+            for td in dictionaries.values():
+                td.release()
 
 
 def kmeans_2d(points: DataFrame, init: Sequence[tuple[float, float]], epsilon: float = 0.1,
@@ -132,7 +157,7 @@ def kmeans_2d(points: DataFrame, init: Sequence[tuple[float, float]], epsilon: f
     while True:
         it += 1
         assigned = assign_2d(points, cents, x, y)
-        means = assigned.groupBy("cluster_id").agg(F.avg(x).alias("nx"), F.avg(y).alias("ny"))
+        means = assigned.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.avg(x).alias("nx"), F.avg(y).alias("ny"))
         old = spark.createDataFrame(cents, "cluster_id int, ox double, oy double")
         step = old.join(means, "cluster_id", "left").select(
             "cluster_id", "ox", "oy",

@@ -82,10 +82,21 @@ def resolve_weights(features, weights: dict[str, float]) -> dict[str, float]:
         raise ValueError(f"no weight for feature(s) {missing}")
     total = sum(out.values())
     if abs(1.0 - total) >= 0.001:
-        raise ValueError(f"sum of weights must be 1, got {total}")
+        raise ValueError(f"the weights add up to {total}, not to 1")
     return out
 
 
+MODES = ("PartialSums", "Standard")
+# The keys of the parameter file and of the job configuration.
+PARAMETER_KEYS = ("mode", "initialCentroids", "convergeDist", "numSamplesForMedoid", "weights", "maxIter")
+JOB_KEYS = ("host", "inputFile", "appName", "evalOutput")
+
+
+def require_keys(conf: dict, keys, what: str) -> None:
+    if missing := [k for k in keys if k not in conf]:
+        raise ValueError(f"the {what} lacks the key(s) {missing}")
+
+
 @dataclass
 class ClusterParams:
     mode: str = "PartialSums"          # 'PartialSums' | 'Standard'
@@ -97,9 +108,9 @@ class ClusterParams:
     seed: int = 42
     assign_plan: str = "auto"          # 'auto' | 'inline' | 'dictionary'
 
-    def validate(self, features) -> dict[str, float]:
-        if self.mode not in ("PartialSums", "Standard"):
-            raise ValueError(f"mode must be 'PartialSums' or 'Standard', got {self.mode!r}")
+    def validate(self, features, further_modes=()) -> dict[str, float]:
+        if self.mode not in (*MODES, *further_modes):
+            raise ValueError(f"mode must be one of {[*MODES, *further_modes]}, got {self.mode!r}")
         if not (self.k == "auto" or (isinstance(self.k, int) and self.k >= 1)):
             raise ValueError("k must be a positive int or 'auto'")
         if self.max_iter < 1:
@@ -107,7 +118,7 @@ class ClusterParams:
         if self.samples_for_medoid < 0:
             raise ValueError("samples_for_medoid must be >= 0")
         if not any(f.kind == "categorical" for f in features) and self.samples_for_medoid != 0:
-            raise ValueError("samples_for_medoid must be 0 if there is no categorical feature")
+            raise ValueError("a medoid sample needs a categorical feature; set samples_for_medoid to 0")
         return resolve_weights(features, self.weights)
 
     @classmethod
@@ -115,10 +126,7 @@ class ClusterParams:
         """Read the reference's parameter file layout (JSON)."""
         if isinstance(conf, str):
             conf = json.loads(conf)
-        need = ["mode", "initialCentroids", "convergeDist", "numSamplesForMedoid", "weights", "maxIter"]
-        missing = [k for k in need if k not in conf]
-        if missing:
-            raise ValueError(f"missing parameter key(s) {missing}")
+        require_keys(conf, PARAMETER_KEYS, "parameter file")
         return cls(
             mode=conf["mode"],
             k=conf["initialCentroids"],

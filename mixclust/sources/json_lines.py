@@ -24,18 +24,13 @@ SPAM_SCHEMA = T.StructType([
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = SPAM_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects): lines read as text and parsed with `from_json`, so a
-    malformed line keeps its raw text in `_corrupt_record` and lands in `rejects`
-    instead of failing the job. Only the declared keys are materialised."""
+    """(records, rejects): lines read as text and parsed with `from_json`, so a malformed
+    line keeps its raw text in `_corrupt_record` and lands in `rejects` instead of failing
+    the job. Blank lines are neither; every other line is in exactly one of the two. Only
+    the declared keys are materialised."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    parsed = spark.read.text(path).select(
-        F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    df = parsed.select("r.*")
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-    return good, bad
-
-
-def parse_json_column(df: DataFrame, column: str, schema: T.StructType = SPAM_SCHEMA, alias: str = "rec") -> DataFrame:
-    """The same parse from a string column (e.g. JSON kept in a table)."""
-    return df.withColumn(alias, F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    good = F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()  # the line `null` is no record
+    records = parsed.where(good).select("r.*").drop(CORRUPT)
+    return records, parsed.where(~good).select(F.col("value").alias(CORRUPT))

@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The log patterns read from a run log.
 JOB_LINE = r"Job finished"
-JOB_SECONDS = r"took ([0-9.]+) s"
+JOB_SECONDS = r"took ([0-9.]+(?:[eE][-+]?[0-9]+)?) s"
+BEGIN_QUALITY, END_QUALITY = r"Begin QUALITY", r"Num\t->\tAvg Radius"
 QUALITY_FIELDS = {
     "num_centroids": (r"^Num of centroids:\t+([0-9]+)", "bigint"),
     "num_points": (r"^Num of points:\t+([0-9]+)", "bigint"),
     "num_iterations": (r"^Num of Iteration:\t+([0-9]+)", "int"),
-    "inter_avg_distance": (r"^Inter Avg Distance\t+([-0-9.naNIifty]+)", "double"),
-    "intra_avg_distance": (r"^Intra Avg Distance:\t+([-0-9.naNIifty]+)", "double"),
+    "inter_avg_distance": (r"^Inter Avg Distance\t+([-0-9.eEnaNIifty]+)", "double"),
+    "intra_avg_distance": (r"^Intra Avg Distance:\t+([-0-9.eEnaNIifty]+)", "double"),
 }
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All log lines with their trial: the run_label partition when present, else the
-    parent folder of the file."""
-    df = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    folder = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
-    trial = F.regexp_replace(folder, "^run_label=", "")
-    return df.select(trial.alias("trial"), "value")
+    """trial, run, log: one row per log file (a run's log: a few lines per iteration and cluster).
+    The trial is the run_label partition when present, else the parent folder; the run is the file."""
+    df = spark.read.text(path, wholetext=True).select(F.col("value").alias("log"), F.col("_metadata.file_path").alias("run"))
+    folder = F.regexp_extract("run", r"([^/]+)/[^/]+$", 1)
+    return df.select(F.regexp_replace(folder, "^run_label=", "").alias("trial"), "run", "log")
 
 
-def job_lines(logs: DataFrame) -> DataFrame:
-    return logs.where(F.col("value").rlike(JOB_LINE))
+def _matches(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
+def job_lines(lines: Column) -> Column:
+    """the lines that report a finished job."""
+    return F.filter(lines, lambda x: x.rlike(JOB_LINE))
 
 
 def compare_runs(logs: DataFrame) -> DataFrame:
-    """One row per trial: total job seconds and its quality figures."""
-    secs = F.when(F.col("value").rlike(JOB_LINE),
-                  F.regexp_extract("value", JOB_SECONDS, 1).try_cast("double"))
-    aggs = [F.sum(secs).alias("total_seconds")]
-    for name, (pattern, typ) in QUALITY_FIELDS.items():
-        v = F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1).try_cast(typ))
-        aggs.append(F.max(v).alias(name))
-    return logs.groupBy("trial").agg(*aggs)
+    """One row per run of each trial: total job seconds, and the figures between the two
+    markers of its quality report."""
+    lines = F.split("log", r"\r?\n")
+    seconds = F.transform(job_lines(lines), lambda x: F.regexp_extract(x, JOB_SECONDS, 1).try_cast("double"))
+    total = F.aggregate(F.filter(seconds, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    report = F.split(F.regexp_extract("log", rf"(?s){BEGIN_QUALITY}[^\n]*\n(.*?){END_QUALITY}", 1), r"\r?\n")
+    picked = []
+    for name, (pattern, kind) in QUALITY_FIELDS.items():
+        line = F.get(F.filter(report, _matches(pattern)), 0)
+        picked.append(F.regexp_extract(line, pattern, 1).try_cast(kind).alias(name))
+    return logs.select("trial", "run", total.alias("total_seconds"), *picked)

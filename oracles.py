@@ -8,7 +8,8 @@ order as the library's expressions so that doubles agree bit for bit before roun
 from __future__ import annotations
 
 from workloads import (
-    INIT_2D, ITERATIONS, LINE_COLS, LOCAL_INIT_POSITIONS, ORDERS_WEIGHTS, PART_K, PART_WEIGHTS, R,
+    CONVERGE_EPSILON, HICARD_WEIGHTS, INIT_2D, ITERATIONS, JOB_ITERATIONS, JOB_K, JOB_WEIGHTS, LINE_COLS, LOCAL_INIT_POSITIONS, MANY_K, ORDERS_WEIGHTS,
+    PART_K, PART_WEIGHTS, R,
 )
 
 SQRT2 = "sqrt(2.0)"
@@ -116,11 +117,13 @@ def bytemean_ctes(i: int, assigned: str, col: str) -> tuple[list[str], str]:
     ], bm
 
 
-def kmeans_mixed_sql(pts_ctes, features, weights, m: int, mode: str, k: int, iterations: int) -> str:
+def kmeans_mixed_ctes(pts_ctes, features, weights, m: int, mode: str, k: int, iterations: int, first: list[str] | None = None,
+                      keep: bool = False) -> list[str]:
+    """CTEs up to c<iterations>; `first`: those that make c0; `keep`: an empty cluster keeps its centroid."""
     numeric_cols = [c for _, kind, cs in features if kind == "numeric" for c in cs]
     cat_cols = [cs[0] for _, kind, cs in features if kind == "categorical"] if m != 0 else []
     dist = element_dist(features, weights, m, "p.", "c.")
-    ctes = list(pts_ctes) + [seeds_cte("c0", k)]
+    ctes = list(pts_ctes) + (first or [seeds_cte("c0", k)])
     for i in range(1, iterations + 1):
         ctes.append(assign_cte(f"a{i}", f"c{i - 1}", dist))
         ctes.append(mean_cte(f"mean{i}", f"a{i}", numeric_cols))
@@ -131,11 +134,31 @@ def kmeans_mixed_sql(pts_ctes, features, weights, m: int, mode: str, k: int, ite
             joins += f" LEFT JOIN {name} USING (cluster_id)"
             picks.append(f"{name}.{col}")
         sel = ", ".join(["mean.cluster_id"] + [f"mean.{c}" for c in numeric_cols] + picks).replace("mean.", f"mean{i}.")
-        ctes.append(f"c{i} AS (SELECT {sel} FROM mean{i}{joins})")
+        if keep:
+            cols = ", ".join(f"coalesce(n.{c}, o.{c}) AS {c}" for c in numeric_cols)
+            ctes.append(f"c{i} AS (SELECT o.cluster_id, {cols} FROM c{i - 1} o LEFT JOIN mean{i} n USING (cluster_id))")
+        else:
+            ctes.append(f"c{i} AS (SELECT {sel} FROM mean{i}{joins})")
+    return ctes
+
+
+def kmeans_mixed_sql(pts_ctes, features, weights, m: int, mode: str, k: int, iterations: int, first=None, keep=False) -> str:
+    numeric_cols = [c for _, kind, cs in features if kind == "numeric" for c in cs]
+    cat_cols = [cs[0] for _, kind, cs in features if kind == "categorical"] if m != 0 else []
+    ctes = kmeans_mixed_ctes(pts_ctes, features, weights, m, mode, k, iterations, first, keep)
     out = ", ".join(["cluster_id"] + [f"round({c}, {R}) AS {c}" for c in numeric_cols] + cat_cols)
     return with_(ctes, f"SELECT {out} FROM c{iterations}")
 
 
+def quality_ctes(features, weights, m: int, cents: str) -> list[str]:
+    """fin: points assigned to the final centroids; st: size and radius; qr: the quality row."""
+    return [assign_cte("fin", cents, element_dist(features, weights, m, "p.", "c.")),
+            "st AS (SELECT cluster_id, count(*) AS n, avg(dist) AS radius FROM fin GROUP BY cluster_id)",
+            f"qr AS (SELECT (SELECT count(*) FROM {cents}) AS num_centroids, (SELECT sum(n) FROM st)::BIGINT AS num_points, "
+            f"(SELECT avg({element_dist(features, weights, m, 'a.', 'b.')}) FROM {cents} a JOIN {cents} b "
+            "ON a.cluster_id < b.cluster_id) AS inter, (SELECT sum(radius * n) / sum(n) FROM st) AS intra)"]
+
+
 def kmeans_2d_sql(pts_ctes, init_cte: str, iterations: int, src: str = "pts") -> str:
     dist = "sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y))"
     ctes = list(pts_ctes) + [init_cte]
@@ -327,6 +350,100 @@ def oracle_sql() -> dict[str, str]:
 
     u = lambda s: (f"CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':{s}:42'), 1, 8)) AS BIGINT)"
                    " / 4294967296.0 * 10.0")
+    # --- ingest with faults
+    late = {**feat, "ip": f"CASE WHEN event_id % 31 = 4 THEN 0.0 ELSE {feat['ip']} END"}
+    kept = "event_id % 17 <> 0 AND event_id % 19 <> 1"
+    odd = "(event_id % 23 = 2 OR event_id % 29 = 3)"
+    q["json_lines_scan"] = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in late.items()) + f" FROM events WHERE {kept} AND NOT {odd}"
+    q["json_rejects"] = (
+        "SELECT 'line' AS kind, 'not json ' || CAST(event_id AS VARCHAR) AS text FROM events WHERE event_id % 17 <> 0 AND event_id % 19 = 1 "
+        f"UNION ALL SELECT 'values', CAST(event_id AS VARCHAR) FROM events WHERE {kept} AND {odd}")
+
+    # --- addresses that are short or none
+    start = "CAST(o_orderkey % 256 AS VARCHAR) || '.' || CAST(o_custkey % 3 AS VARCHAR)"
+    nums = lambda s: f"list_transform(string_split(regexp_replace({s}, '\\.+$', ''), '.'), lambda p: TRY_CAST(p AS INTEGER))"
+    n2 = "least(len(a), len(b))"
+    sim = (f"CASE WHEN len(list_filter(range(1, {n2} + 1), lambda i: a[i] IS NULL OR b[i] IS NULL)) > 0 THEN NULL "
+           f"ELSE (coalesce(list_min(list_transform(list_filter(range(1, {n2} + 1), lambda i: a[i] <> b[i]), lambda i: i - 1)), {n2}) "
+           f"+ CASE WHEN len(list_filter(range(1, {n2} + 1), lambda i: a[i] <> b[i])) > 0 THEN 1.0 - CAST(abs("
+           f"a[list_filter(range(1, {n2} + 1), lambda i: a[i] <> b[i])[1]] - b[list_filter(range(1, {n2} + 1), lambda i: a[i] <> b[i])[1]]) "
+           "AS DOUBLE) / 256.0 ELSE 0.0 END) / 4.0 END")
+    q["ip_similarity_edges"] = with_([
+        f"t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN {start} WHEN 1 THEN '_' WHEN 2 THEN {start} || '.' "
+        f"WHEN 3 THEN {start} || '.x.1' ELSE {ipa} END AS x, CASE WHEN o_custkey % 4 = 0 THEN {ipa} ELSE {ipc} END AS y FROM orders)",
+        f"one AS (SELECT o_orderkey, {sim} AS s FROM (SELECT o_orderkey, {nums('x')} AS a, {nums('y')} AS b FROM t))",
+        "member AS (SELECT o_orderkey, y, unnest(list_distinct([x, y])) AS m FROM t)",
+        f"each AS (SELECT o_orderkey, {sim} AS s FROM (SELECT o_orderkey, {nums('m')} AS a, {nums('y')} AS b FROM member))",
+        "total AS (SELECT o_orderkey, CASE WHEN count(*) = count(s) THEN sum(s) END AS acc, count(*) AS n FROM each GROUP BY o_orderkey)",
+    ], "SELECT o_orderkey, round(one.s, 9) AS ip_sim, round((acc / n + acc / 1.0) / 2.0, 9) AS set_sim FROM one JOIN total USING (o_orderkey)")
+
+    # --- many centroids; distances that are NULL
+    q["assign_k300"] = with_(part_pts_ctes() + [seeds_cte("c0", MANY_K), assign_cte("a", "c0", mixed)],
+                             "SELECT id, cluster_id, round(dist, 9) AS distance FROM a")
+    den = "(sqrt(p.x * p.x + p.y * p.y) * sqrt(c.x * c.x + c.y * c.y))"
+    pair = [*orders_pts_ctes(), seeds_cte("s4", 4),
+            "c0 AS (SELECT cluster_id, o_totalprice AS x, o_custkey AS y FROM s4 UNION ALL SELECT 4, 0.0, 0.0)",
+            "pp AS (SELECT id, o_totalprice AS x, CASE WHEN id % 97 <> 0 THEN o_custkey END AS y FROM pts)"]
+    for name, d in (("cosine", f"CASE WHEN {den} <> 0 THEN 1.0 - (p.x * c.x + p.y * c.y) / {den} END"),
+                    ("manhattan", "(abs(p.x - c.x) + abs(p.y - c.y))")):
+        q[f"assign_{name}"] = with_(pair + [assign_cte("a", "c0", f"((1.0 * (({d}) / {SQRT2})) / 1.0)", "pp")],
+                                    "SELECT id, CASE WHEN dist IS NOT NULL THEN cluster_id END AS cluster_id, round(dist, 9) + 0.0 AS distance FROM a")
+
+    hicard = orders_pts_ctes()[:2] + ["pts AS (SELECT e.id, " + scaled("o_totalprice", "e", "l") + " AS o_totalprice, 'o' || CAST(e.id * 7919 % 1000003 "
+                                      "AS VARCHAR) || '-' || CAST(e.id AS VARCHAR) AS tag FROM ord_el e, ord_lim l)"]
+    q["kmeans_partialsums_hicard"] = kmeans_mixed_sql(hicard, [("price", "numeric", ["o_totalprice"]), ("tag", "categorical", ["tag"])],
+                                                      HICARD_WEIGHTS, 1, "PartialSums", 5, 2)
+    twice = [seeds_cte("s5", 5), "c0 AS (SELECT cluster_id, o_totalprice, o_custkey FROM s5 UNION ALL SELECT 5, o_totalprice, o_custkey FROM s5 WHERE cluster_id = 0)"]
+    q["kmeans_keep_empty"] = kmeans_mixed_sql(orders_pts_ctes(), ORDERS, ORDERS_WEIGHTS, 0, "Standard", 5, ITERATIONS, twice, keep=True)
+
+    most = 25  # iterations spelled out; the run must stop before
+    conv = orders_2d_ctes() + [fixed_init(INIT_2D)]
+    for i in range(1, most + 1):
+        conv += [assign_cte(f"a{i}", f"c{i - 1}", d2, "pts2"),
+                 f"m{i} AS (SELECT cluster_id, avg(x) AS x, avg(y) AS y FROM a{i} GROUP BY cluster_id)",
+                 f"c{i} AS MATERIALIZED (SELECT o.cluster_id, coalesce(n.x, o.x) AS x, coalesce(n.y, o.y) AS y, "
+                 f"sqrt((coalesce(n.x, o.x) - o.x) * (coalesce(n.x, o.x) - o.x) + (coalesce(n.y, o.y) - o.y) * (coalesce(n.y, o.y) - o.y)) AS mv "
+                 f"FROM c{i - 1} o LEFT JOIN m{i} n USING (cluster_id))"]
+    conv.append("steps AS (" + " UNION ALL ".join(f"SELECT {i} AS it, cluster_id, x, y, mv FROM c{i}" for i in range(1, most + 1)) + ")")
+    conv.append(f"last AS (SELECT min(it) AS it FROM (SELECT it, max(mv) AS mv FROM steps GROUP BY it) WHERE mv <= {dbl(CONVERGE_EPSILON)})")
+    q["kmeans2d_converge"] = with_(conv, f"SELECT it AS iterations, cluster_id, round(x, {R}) AS x, round(y, {R}) AS y, round(mv, {R}) AS movement "
+                                         "FROM steps JOIN last USING (it)")
+
+    # --- the full job
+    spam = [("time", "numeric", ["time"]), ("size", "numeric", ["size"]), ("space", "numeric", ["long", "lat"]),
+            ("IP", "numeric", ["ip"]), ("bot", "categorical", ["bot"]), ("uri", "categorical", ["uri"])]
+    weights = {**{k: v for k, v in JOB_WEIGHTS.items() if k != "botname"}, "bot": JOB_WEIGHTS["botname"]}
+    numbers = ["time", "size", "long", "lat", "ip"]
+    job_pts = ["el AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in feat.items()) + " FROM events)", limits_cte("lim", "el", numbers),
+               "pts AS (SELECT e.id, " + ", ".join(f"{scaled(c, 'e', 'l')} AS {c}" for c in numbers) + ", e.bot, e.uri FROM el e, lim l)"]
+    back = lambda c, t="c": f"({t}.{c} * (l.mx_{c} - l.mn_{c}) + l.mn_{c})"
+    shown = f"round({back('time')} / 1000, 1) AS time, " + ", ".join(f"round({back(c)}, 2) AS {c}" for c in numbers[1:])
+    for name, mode, m in (("standard", "Standard", 3), ("partialsums", "PartialSums", 1)):
+        q[f"full_job_{name}"] = with_(kmeans_mixed_ctes(job_pts, spam, weights, m, mode, JOB_K, JOB_ITERATIONS),
+                                      f"SELECT cluster_id, {shown}, bot, uri FROM c{JOB_ITERATIONS} c, lim l")
+    job = kmeans_mixed_ctes(job_pts, spam, weights, 1, "Standard", JOB_K, JOB_ITERATIONS) + quality_ctes(spam, weights, 1, f"c{JOB_ITERATIONS}")
+    q["full_job_quality"] = with_(job, "SELECT 'inter' AS item, num_centroids AS n, round(inter, 9) AS value FROM qr "
+                                       "UNION ALL SELECT 'intra', num_points, round(intra, 9) FROM qr "
+                                       "UNION ALL SELECT 'radius ' || CAST(cluster_id AS VARCHAR), n, round(radius, 9) FROM st "
+                                       "UNION ALL SELECT 'assigned ' || CAST(cluster_id AS VARCHAR), n, NULL FROM st")
+
+    # --- run logs
+    def run(mode: str) -> list[str]:
+        return (kmeans_mixed_ctes(part_pts_ctes(), PART, PART_WEIGHTS, 1, mode, PART_K, JOB_ITERATIONS)
+                + quality_ctes(PART, PART_WEIGHTS, 1, f"c{JOB_ITERATIONS}"))
+
+    text = (f"SELECT c.cluster_id, unnest(['', '[ID: centroid', chr(9) || 'Numeric: List(size: ' || printf('%.4f  ', {back('p_size')}) || ', price: ' || "
+            f"printf('%.4f  ', {back('p_retailprice')}) || ')', chr(9) || 'Categs: List(type:' || p_type || ', name:' || p_name || ')]']) AS value "
+            f"FROM c{JOB_ITERATIONS} c, part_lim l")
+    lines = [("qr", "'Num of centroids:' || chr(9) || CAST(num_centroids AS VARCHAR)"), ("qr", "'Num of points:' || chr(9) || chr(9) || CAST(num_points AS VARCHAR)"),
+             ("qr", f"'Num of Iteration:' || chr(9) || '{JOB_ITERATIONS}'"), ("qr", f"'Num of Iteration:' || chr(9) || '{JOB_ITERATIONS}'"),
+             ("qr", "'Inter Avg Distance' || chr(9) || printf('%3f', inter)"), ("qr", "'Intra Avg Distance:' || chr(9) || printf('%3f', intra)"),
+             ("qr", "'Num' || chr(9) || '->' || chr(9) || 'Avg Radius'"), ("qr", "'Begin QUALITY ' || repeat('-', 100)"), ("qr", "'End QUALITY ' || repeat('-', 100)"),
+             ("cl", "value"), ("cl JOIN st USING (cluster_id)", "value"), ("st", "CAST(n AS VARCHAR) || chr(9) || '->' || chr(9) || printf('%3f', radius)")]
+    q["run_report"] = with_(run("PartialSums") + [f"cl AS ({text})"], " UNION ALL ".join(f"SELECT {v} AS value FROM {t}" for t, v in lines))
+    one_run = lambda mode: "(" + with_(run(mode), f"SELECT '{mode.lower()}' AS trial, * FROM qr") + ")"
+    q["run_compare"] = (f"SELECT trial, num_centroids, num_points, CAST({JOB_ITERATIONS} AS INTEGER) AS num_iterations, round(inter, 6) AS inter_avg_distance, "
+                        f"round(intra, 6) AS intra_avg_distance FROM ({one_run('PartialSums')} UNION ALL {one_run('Standard')})")
     q["random_points"] = f"SELECT o_orderkey, round({u('x')}, 9) AS x, round({u('y')}, 9) AS y FROM orders"
     q["points_text_scan"] = "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem"
     return q

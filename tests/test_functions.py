@@ -98,3 +98,10 @@ def test_distance_registry():
         numeric_distance("chebyshev")
     with pytest.raises(ValueError):
         string_distance("jaro")
+
+
+def test_ip_similarity_of_short_and_malformed_addresses(spark):
+    from mixclust.functions.ip import ip_similarity
+
+    df = spark.createDataFrame([("1.2", "1.2.3.4"), ("_", "1.2.3.4"), ("1.2.", "1.3"), ("1.2.3.4", "1.2.3.4")], "a string, b string")
+    assert [r[0] for r in df.select(ip_similarity("a", "b")).collect()] == [0.5, None, (1 + 1 - 1 / 256) / 4, 1.0]

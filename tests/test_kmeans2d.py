@@ -55,3 +55,27 @@ def test_text_scan_rejects(spark, tmp_path):
     good, bad = read_points_text(spark, str(p))
     assert sorted(tuple(r) for r in good.collect()) == [(1.0, 2.0), (3.0, 4.0)]
     assert [r.value for r in bad.collect()] == ["bad line"]
+
+
+def test_squared_distances_never_rise_and_agree_with_mllib(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from mixclust.operators.assign import assign_2d
+
+    pts = spark.range(400).select(((F.col("id") * 37) % 101 / 101.0).alias("x"), ((F.col("id") * 53) % 97 / 97.0).alias("y")).cache()
+    start = [(0.1, 0.1), (0.5, 0.9), (0.9, 0.2)]
+    last = None
+    for n in range(1, 7):
+        res = kmeans_2d(pts, start, epsilon=-1.0, max_iter=n)
+        cents = [(c["cluster_id"], c["x"], c["y"]) for c in res.centroids]
+        cost = assign_2d(pts, cents, distance_col="d").agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+        assert last is None or cost <= last + 1e-9
+        last = cost
+    res = kmeans_2d(pts, start, epsilon=1e-9, max_iter=200)
+    vec = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(pts)
+    costs = [KMeans(k=3, seed=s, maxIter=200, tol=1e-9).fit(vec).summary.trainingCost for s in range(3)]
+    cents = [(c["cluster_id"], c["x"], c["y"]) for c in res.centroids]
+    cost = assign_2d(pts, cents, distance_col="d").agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+    assert cost <= 1.2 * min(costs)

@@ -1,78 +1,80 @@
-"""FIXTURES.md §4: the 10 spam records, every mode, against hand-computed values."""
+"""FIXTURES.md §4: ten invented records, every mode, against the plain Python clustering."""
+
+import os
 
 import pytest
 
 from mixclust.operators.evaluate import evaluate
 from mixclust.plans.geometry import Geometry, literals
+from mixclust.plans.job import run_job
 from mixclust.plans.kmeans import kmeans_mixed
-from mixclust.plans.params import SPAM_FEATURES
+from mixclust.plans.params import SPAM_FEATURES, ClusterParams
+
+from .conftest import DATA, SPAM_WEIGHTS
+from .plain import Plain
+
+CASES = [("Standard", 1, 2), ("Standard", 3, 20), ("Standard", 0, 20), ("PartialSums", 1, 2), ("PartialSums", 1, 20)]
+
 
-from .conftest import SPAM_WEIGHTS
+def plain(m):
+    w = SPAM_WEIGHTS
+    return Plain([(["time"], w["time"]), (["size"], w["size"]), (["long", "lat"], w["space"]), (["ip"], w["IP"])],
+                 [("bot", w["botname"]), ("uri", w["uri"])], m)
+
+
+def seeds_of(rows):
+    return [{k: v for k, v in dict(rows[i], cluster_id=j).items() if k != "id"} for j, i in enumerate([0, 2, 4])]
 
 
 def test_limits_and_scaled_row(spam):
     _, lim, rows = spam
-    assert lim["time"] == (1285919417000.0, 1285919520000.0)
-    assert lim["size"] == (1015.0, 3935.0)
-    assert lim["long"] == (-49.05, 126.9997)
-    assert lim["lat"] == (-26.9333, 56.6133)
-    assert lim["ip"] == (1296058345.0, 3362125556.0)
+    assert lim["time"] == (1700000000000.0, 1700000098000.0)
+    assert lim["size"] == (1100.0, 5200.0)
+    assert lim["long"] == (-71.5, 103.8) and lim["lat"] == (-34.9, 43.0)
+    assert lim["ip"] == (167838211.0, 3405803785.0)
     r0 = rows[0]
-    assert (round(r0["time"], 6), round(r0["size"], 5), round(r0["long"], 6), round(r0["lat"], 6),
-            round(r0["ip"], 6)) == (0.0, 0.92363, 0.504346, 0.976138, 0.051415)
+    assert [round(r0[c], 6) for c in ("time", "size", "long", "lat", "ip")] == [0.0, 0.02439, 0.479179, 0.985879, 0.0]
+    assert (r0["bot"], r0["uri"], rows[7]["bot"], rows[9]["uri"]) == ("Alpha", "http://first.example/x", "0.0", "")
 
 
 def test_element_distances(spark, spam):
     _, _, rows = spam
-    g1 = Geometry(SPAM_FEATURES, SPAM_WEIGHTS, 1)
-    g0 = Geometry(SPAM_FEATURES, SPAM_WEIGHTS, 0)
-    one = lambda g, a, b: spark.range(1).select(g.distance(literals(a), literals(b)).alias("d")).first()["d"]
-    assert round(one(g1, rows[0], rows[1]), 9) == 0.022167189
-    assert round(one(g1, rows[0], rows[2]), 9) == 0.068766305
-    assert round(one(g0, rows[0], rows[1]), 9) == 0.033250784
-
-
-CASES = [
-    # mode, m, maxIter, stops, strings, inter, intra, [(size, radius)]
-    ("Standard", 1, 2, 2, [("Unclassified", "http://hetfonteintje.com/1.html"), ("Grum", "http://rxsonlineshop.com"),
-                           ("Rustock", "http://uio.exit-cheapmans.ru")],
-     .083693, .026561, [(5, .015734), (2, .032593), (3, .040585)]),
-    ("Standard", 3, 20, 3, [("Unclassified", "http://hetfonteintje.com/1.html"), ("Maazben", "http://riotflesh.ru"),
-                            ("Rustock", "http://ikis.exit-cheapmans.ru")],
-     .076215, .026258, [(5, .015734), (3, .04622), (2, .022623)]),
-    ("Standard", 0, 20, 2, None, .055693, .015674, [(5, .016414), (3, .015141), (2, .014627)]),
-    ("PartialSums", 1, 2, 2, [("Unclassified", "http://ggrZnlpegoqkg<cl`<>.]fkk"), ("Lmms", "http://onnrVilnkDin"),
-                              ("Okjwhdl", "http://lgiGoulkLHmm")],
-     .091381, .049057, [(6, .038834), (2, .063863), (2, .064921)]),
-    ("PartialSums", 1, 20, 4, [("Skbnapr", "http://hgr_mlnhgdql"), ("Lstp", "http://mqnqNhpklPekjGing"),
-                               ("Okjwhdl", "http://lgiGoulkLHmm")],
-     .089222, .06374, [(6, .064597), (2, .059989), (2, .064921)]),
-]
+    for m in (1, 0):
+        g = Geometry(SPAM_FEATURES, SPAM_WEIGHTS, m)
+        for b in (1, 2, 7):
+            got = spark.range(1).select(g.distance(literals(rows[0]), literals(rows[b])).alias("d")).first()["d"]
+            assert got == pytest.approx(plain(m).distance(rows[0], rows[b]), abs=1e-12)
 
 
 @pytest.mark.parametrize("plan", ["inline", "dictionary"])
-@pytest.mark.parametrize("mode,m,max_iter,stops,strings,inter,intra,stats", CASES)
-def test_runs(spam, plan, mode, m, max_iter, stops, strings, inter, intra, stats):
+@pytest.mark.parametrize("mode,m,max_iter", CASES)
+def test_runs(spam, plan, mode, m, max_iter):
     pts, _, rows = spam
     geom = Geometry(SPAM_FEATURES, SPAM_WEIGHTS, m)
-    seeds = [{k: v for k, v in dict(rows[i], cluster_id=j).items() if k != "id"} for j, i in enumerate([0, 2, 4])]
-    res = kmeans_mixed(pts, seeds, geom, mode, 0.001, max_iter, plan=plan)
+    res = kmeans_mixed(pts, seeds_of(rows), geom, mode, 0.001, max_iter, plan=plan)
+    expected, stops = plain(m).run(rows, seeds_of(rows), mode, 0.001, max_iter)
     assert res.iterations == stops
-    if strings is not None:
-        assert [(c["bot"], c["uri"]) for c in res.centroids] == strings
+    assert [c["cluster_id"] for c in res.centroids] == sorted(expected)
+    for c in res.centroids:
+        for name, value in expected[c["cluster_id"]].items():
+            assert c[name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value)
+    inter, intra, stats = plain(m).quality(rows, expected)
     q = evaluate(pts, res.centroids, geom, res.iterations)
     row = q.quality.first()
-    assert (row.num_centroids, row.num_points, row.num_iterations) == (3, 10, stops)
-    assert round(row.inter_avg_distance, 6) == inter
-    assert round(row.intra_avg_distance, 6) == intra
-    got = sorted((r.cluster_id, r.n, round(r.radius, 6)) for r in q.stats.collect())
-    assert [(n, r) for _, n, r in got] == stats
+    assert (row.num_centroids, row.num_points, row.num_iterations) == (len(expected), 10, stops)
+    assert row.inter_avg_distance == pytest.approx(inter) and row.intra_avg_distance == pytest.approx(intra)
+    assert {r.cluster_id: (r.n, pytest.approx(r.radius)) for r in q.stats.collect()} == stats
 
 
-def test_partialsums_numeric_centroids(spam):
-    pts, _, rows = spam
-    geom = Geometry(SPAM_FEATURES, SPAM_WEIGHTS, 1)
-    seeds = [{k: v for k, v in dict(rows[i], cluster_id=j).items() if k != "id"} for j, i in enumerate([0, 2, 4])]
-    res = kmeans_mixed(pts, seeds, geom, "PartialSums", 0.001, 20)
-    c1 = res.centroids[1]
-    assert [round(c1[k], 6) for k in ("time", "size", "long", "lat", "ip")] == [.645631, .079966, .319985, .867978, .065373]
+def test_whole_job_from_start_rows(spark, spam):
+    _, lim, rows = spam
+    un = lambda r: {c: r[c] * (lim[c][1] - lim[c][0]) + lim[c][0] if c in lim else r[c] for c in r}
+    p = ClusterParams(mode="Standard", k=3, epsilon=0.001, max_iter=20, samples_for_medoid=3, weights=SPAM_WEIGHTS)
+    res = run_job(spark, os.path.join(DATA, "spam10.jsonl"), p, init=[un(rows[i]) for i in (0, 2, 4)])
+    expected, stops = plain(3).run(rows, seeds_of(rows), "Standard", 0.001, 20)
+    assert res.result.iterations == stops and res.rejects.count() == 0
+    for c in res.centroids:
+        e = un(expected[c["cluster_id"]])
+        assert c["bot"] == e["bot"] and c["long"] == pytest.approx(e["long"]) and c["time"] == pytest.approx(e["time"])
+    got = {r.id: r.cluster_id for r in res.assignments.collect()}
+    assert got == {p["id"]: -plain(3).nearest(p, expected)[1] for p in rows}

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixclust.operators.assign import assign, build_dictionaries
-from mixclust.operators.scaling import fetch_limits, minmax_scale, unscale
+from mixclust.functions.distances import register_distance
+from mixclust.operators.scaling import coord_limits, fetch_limits, minmax_scale, unscale
+from mixclust.operators.seeds import sample_seeds
 from mixclust.operators.update import byte_means, medoids
 from mixclust.plans.geometry import Geometry
 from mixclust.plans.kmeans import kmeans_mixed
@@ -31,7 +33,6 @@ def test_byte_mean(spark, terms, expected):
 def test_byte_mean_counts_duplicates(spark):
     df = spark.createDataFrame([(0, "a", 3), (0, "c", 1)], "cluster_id int, t string, __n long")
     assert byte_means(df, "t").first()["t"] == chr((97 * 3 + 99) // 4)
-    assert byte_means(df, "t", distinct_terms=True).first()["t"] == chr((97 * 3 + 99) // 4)
 
 
 def test_medoid_first_m_by_id_ties_to_later(spark):
@@ -98,3 +99,57 @@ def test_single_centroid_and_one_point(spark, spam):
     one = pts.where(F.col("id") == rows[5]["id"])
     res = kmeans_mixed(one, _seeds(rows, [5]), geom, "PartialSums", 0.001, 3)
     assert res.iterations == 1 and res.centroids[0]["bot"] == rows[5]["bot"]
+
+
+@pytest.mark.parametrize("mode", ["Standard", "PartialSums"])
+def test_partial_sums_and_standard_ignore_partitioning_and_plan(spam, mode, monkeypatch):
+    pts, _, rows = spam
+    geom = Geometry(SPAM_FEATURES, SPAM_WEIGHTS, 2)
+    base = kmeans_mixed(pts, _seeds(rows, [0, 2, 4]), geom, mode, 0.001, 5, plan="inline")
+    monkeypatch.setattr("mixclust.operators.assign.MOST_LITERALS", 1)  # the plan for many centroids
+    for plan in ("inline", "dictionary"):
+        other = kmeans_mixed(pts.repartition(7), _seeds(rows, [0, 2, 4]), geom, mode, 0.001, 5, plan=plan)
+        assert [c["uri"] for c in base.centroids] == [c["uri"] for c in other.centroids]
+        for a, b in zip(base.centroids, other.centroids):
+            assert a["time"] == pytest.approx(b["time"]) and a["ip"] == pytest.approx(b["ip"])
+
+
+def test_null_distances_never_win(spark):
+    geom = Geometry((numeric("v", "x", "y", distance="cosine"),), {"v": 1.0}, 0)
+    pts = spark.createDataFrame([(1, 1.0, 0.1), (2, 0.1, 1.0), (3, None, 1.0), (4, 0.0, 0.0)], "id int, x double, y double")
+    cents = [{"cluster_id": 0, "x": 0.0, "y": 0.0}, {"cluster_id": 1, "x": 1.0, "y": 0.0}, {"cluster_id": 2, "x": 0.0, "y": 1.0}]
+    for many in (cents, cents + [dict(cents[0], cluster_id=i) for i in range(3, 50)]):
+        got = {r.id: (r.cluster_id, r.distance is None) for r in assign(pts, many, geom).collect()}
+        assert got == {1: (1, False), 2: (2, False), 3: (None, True), 4: (None, True)}
+    res = kmeans_mixed(pts, cents, geom, "Standard", -1.0, 1)
+    assert [c["cluster_id"] for c in res.centroids] == [1, 2]
+    kept = kmeans_mixed(pts, cents, geom, "Standard", -1.0, 1, empty="keep")
+    assert [c["cluster_id"] for c in kept.centroids] == [0, 1, 2] and kept.centroids[0]["x"] == 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_seeds_of_equal_ids(spark, parts):
+    df = spark.range(200).selectExpr("'0' AS id", "CAST(id AS DOUBLE) AS x", "concat('t', id % 7) AS t")
+    got = [(r.x, r.t) for r in sample_seeds(df.repartition(parts), 3).orderBy("cluster_id").collect()]
+    assert got == [(r.x, r.t) for r in sample_seeds(df.coalesce(1), 3).orderBy("cluster_id").collect()]
+
+
+def test_more_seeds_than_points_and_empty_input(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, x double")
+    assert sample_seeds(df, 5).count() == 2
+    with pytest.raises(ValueError, match="empty or all NULL"):
+        fetch_limits(df.where("x > 9"), ["x"])
+
+
+def test_further_distance_update_and_reducer(spark):
+    register_distance("numeric", "largest", lambda a, b: F.greatest(*[F.abs(x - y) for x, y in zip(a, b)]))
+    half = lambda assigned, geom, order, scratch: assigned.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), *[(F.avg(c) / 2).alias(c) for c in geom.numeric_columns])
+    geom = Geometry((numeric("v", "x", "y", distance="largest"),), {"v": 1.0}, 0, updates={"halves": half})
+    pts = spark.createDataFrame([(1, 0.0, 3.0), (2, 2.0, 5.0)], "id int, x double, y double")
+    res = kmeans_mixed(pts, [{"cluster_id": 0, "x": 0.0, "y": 0.0}], geom, "halves", -1.0, 1)
+    assert (res.centroids[0]["x"], res.centroids[0]["y"]) == (0.5, 2.0)
+    assert res.movements[0][0] == pytest.approx(2.0 / 2 ** 0.5)
+    row = coord_limits(pts, ["x"], (("spread", lambda c: F.max(c) - F.min(c)),)).first()
+    assert row["spread_x"] == 2.0
+    assert ClusterParams(mode="halves", samples_for_medoid=0, weights={"v": 1.0}).validate(geom.features, geom.updates) == {"v": 1.0}

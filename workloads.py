@@ -11,21 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import mixclust.functions as MF
-from mixclust.operators.assign import assign, assign_2d, build_dictionaries
+from mixclust.operators.assign import assign, assign_2d
 from mixclust.operators.evaluate import centroid_pairs, cluster_stats, evaluate, inter_distance
-from mixclust.operators.featurize import featurize_spam, featurize_spam_reduced
+from mixclust.operators.featurize import featurize_spam, featurize_spam_reduced, split_valid
 from mixclust.operators.scaling import coord_limits, fetch_limits, minmax_scale, unscale
 from mixclust.operators.seeds import sample_seeds, suggest_k
 from mixclust.operators.update import centroids_frame
 from mixclust.plans.geometry import Geometry, cols
-from mixclust.plans.job import JobLog
+from mixclust.plans.job import run_job, run_job_on
 from mixclust.plans.kmeans import kmeans_2d, kmeans_mixed, local_init
-from mixclust.plans.params import categorical, numeric
+from mixclust.plans.params import SPAM_FEATURES, ClusterParams, categorical, numeric
 from mixclust.session import fresh_dir
-from mixclust.sources.json_lines import SPAM_SCHEMA
+from mixclust.sources.json_lines import CORRUPT, SPAM_SCHEMA, read_json_lines
 from mixclust.sources.points_text import random_points, read_points_text
-from mixclust.sources.runlog import compare_runs, read_run_logs
-from mixclust.sources.sinks import centroid_text, report_lines, write_run
+from mixclust.sources.runlog import JOB_LINE, compare_runs, read_run_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +43,12 @@ LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ITERATIONS = 3
 INIT_2D = [(0.1, 0.1), (0.5, 0.5), (0.9, 0.9)]
 LOCAL_INIT_POSITIONS = (0, 2, 6)
+MANY_K = 300
+HICARD_FEATURES = (numeric("price", "o_totalprice"), categorical("tag", "tag"))
+HICARD_WEIGHTS = {"price": 0.5, "tag": 0.5}
+CONVERGE_EPSILON = 0.01
+JOB_K, JOB_ITERATIONS = 8, 2
+JOB_WEIGHTS = {"space": 0.2, "time": 0.1, "size": 0.1, "IP": 0.2, "uri": 0.2, "botname": 0.2}
 R = 6  # digits kept in double outputs
 
 
@@ -118,30 +123,64 @@ def q_unscale_roundtrip(spark, d):
 
 # --- JSON scan and featurizer (R1, P1-P5) --------------------------------------------------
 
-# epoch millis of a timestamp_ntz, independent of the session time zone
-EPOCH_MS = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+def epoch_ms():
+    """Epoch millis of a timestamp_ntz, independent of the session time zone."""
+    return F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
 
 
-def events_json(spark, d) -> DataFrame:
+def events_json(spark, d, faults: bool = False) -> DataFrame:
     """Spam-like JSON records built from `events`: nulls are omitted by to_json, so the
-    featurizer meets missing keys, empty strings, empty arrays and commas in URIs."""
+    featurizer meets missing keys, empty strings, empty arrays and commas in URIs. With faults
+    there are also blank and malformed lines, numbers that are not finite, and empty addresses."""
     ev = table(spark, d, "events")
+    eid = F.col("event_id")
     ip = F.concat_ws(".", *[(F.col(c) % 256).cast("string") for c in ("user_id", "event_id")],
                      (F.floor(F.col("event_id") / 256) % 256).cast("string"), F.lit("7"))
+    size = F.when(eid % 7 != 0, F.col("value").cast("string"))
+    if faults:
+        size = F.when(eid % 23 == 2, F.lit("NaN")).when(eid % 29 == 3, F.lit("Infinity")).otherwise(size)
+    empty_ip = (eid % 31 == 4) & F.lit(faults)
     rec = F.struct(
         F.create_map(F.lit("$oid"), F.col("event_id").cast("string")).alias("_id"),
-        F.create_map(F.lit("$date"), EPOCH_MS).alias("date"),
-        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("size"),
+        F.create_map(F.lit("$date"), epoch_ms()).alias("date"),
+        size.alias("size"),
         F.col("user_id").alias("long"),
         F.when(F.col("event_id") % 11 != 0, F.col("value") * 2).alias("lat"),
-        F.when(F.col("event_id") % 13 != 0, ip).alias("IP"),
+        F.when(empty_ip, F.lit("")).when(eid % 13 != 0, ip).alias("IP"),
         F.when(F.col("event_type") == "error", F.lit("")).when(F.col("event_type") != "view", F.col("event_type")).alias("bot"),
         F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>"))
          .when(F.col("event_id") % 5 != 1, F.array(F.concat(F.lit("http://h"), F.col("user_id").cast("string"), F.lit(".example/a,b")),
                                                    F.lit("http://second")))
          .alias("uri"),
     )
-    return ev.select(F.to_json(rec).alias("value"))
+    line = F.to_json(rec)
+    if faults:
+        line = F.when(eid % 34 == 0, F.lit("")).when(eid % 17 == 0, F.lit("   ")) \
+            .when(eid % 19 == 1, F.concat(F.lit("not json "), eid.cast("string"))).otherwise(line)
+    return ev.select(line.alias("value"))
+
+
+def events_lines(spark, d, faults: bool) -> str:
+    """The records as a folder of JSON lines below the shared folder."""
+    path = fresh_dir(spark, "json-lines")
+    events_json(spark, d, faults).write.text(path)
+    return path
+
+
+SPAM_NUMBERS = [c for f in SPAM_FEATURES if f.kind == "numeric" for c in f.columns]
+
+
+def q_json_lines_scan(spark, d):
+    records, _ = read_json_lines(spark, events_lines(spark, d, True))
+    return split_valid(featurize_spam(records), SPAM_NUMBERS)[0]
+
+
+def q_json_rejects(spark, d):
+    """Malformed lines as they are, and the ids of records whose numbers are not finite."""
+    records, bad = read_json_lines(spark, events_lines(spark, d, True))
+    values = split_valid(featurize_spam(records), SPAM_NUMBERS)[1]
+    return bad.select(F.lit("line").alias("kind"), F.col(CORRUPT).alias("text")).unionByName(
+        values.select(F.lit("values").alias("kind"), F.col("id").alias("text")))
 
 
 def q_json_featurize(spark, d):
@@ -196,6 +235,18 @@ def q_ip_set_similarity(spark, d):
                     rnd(MF.ip_set_similarity(s1, s2, normalize=True), 9).alias("set_sim_norm"))
 
 
+def q_ip_similarity_edges(spark, d):
+    """P27 and P28 with short addresses, a trailing dot, and text that is no address."""
+    o = table(spark, d, "orders")
+    whole, kind = _orders_ip("o_orderkey", "o_custkey"), F.col("o_orderkey") % 5
+    start = F.concat_ws(".", (F.col("o_orderkey") % 256).cast("string"), (F.col("o_custkey") % 3).cast("string"))
+    x = F.when(kind == 0, start).when(kind == 1, F.lit("_")).when(kind == 2, F.concat(start, F.lit("."))) \
+        .when(kind == 3, F.concat(start, F.lit(".x.1"))).otherwise(whole)
+    y = F.when(F.col("o_custkey") % 4 == 0, whole).otherwise(_orders_ip("o_orderkey", "o_orderkey"))
+    return o.select("o_orderkey", rnd(MF.ip_similarity(x, y), 9).alias("ip_sim"),
+                    rnd(MF.ip_set_similarity(F.concat_ws("-", x, y), y), 9).alias("set_sim"))
+
+
 # --- vectors and points (P11-P19, P21-P23) -------------------------------------------------
 
 def embedding_pairs(spark, d) -> DataFrame:
@@ -329,10 +380,35 @@ def q_suggest_k(spark, d):
 def q_assign_nearest(spark, d):
     pts, _ = part_points(spark, d)
     g = part_geometry(1)
-    out = assign(pts, part_seeds(pts), g, build_dictionaries(pts, g, "auto", None))
+    out = assign(pts, part_seeds(pts), g, {})
+    return out.select("id", "cluster_id", rnd("distance", 9).alias("distance"))
+
+
+def q_assign_k300(spark, d):
+    """300 centroids: the plan over one array of centroids."""
+    pts, _ = part_points(spark, d)
+    out = assign(pts, part_seeds(pts, MANY_K), part_geometry(1), {})
     return out.select("id", "cluster_id", rnd("distance", 9).alias("distance"))
 
 
+def _assign_pair(spark, d, distance: str) -> DataFrame:
+    """Orders as one 2-D feature; a zero vector among the seeds, and points with a NULL coordinate."""
+    pts = orders_points(spark, d)
+    seeds = [{k: v for k, v in r.asDict().items() if k != "id"} for r in sample_seeds(pts, 4).collect()]
+    seeds.append({"cluster_id": 4, "o_totalprice": 0.0, "o_custkey": 0.0})
+    pts = pts.withColumn("o_custkey", F.when(F.col("id") % 97 != 0, F.col("o_custkey")))
+    geom = Geometry((numeric("pair", "o_totalprice", "o_custkey", distance=distance),), {"pair": 1.0}, 0)
+    return assign(pts, seeds, geom).select("id", "cluster_id", (rnd("distance", 9) + 0.0).alias("distance"))  # no -0.0
+
+
+def q_assign_cosine(spark, d):
+    return _assign_pair(spark, d, "cosine")
+
+
+def q_assign_manhattan(spark, d):
+    return _assign_pair(spark, d, "manhattan")
+
+
 def q_assign_nearest_2d(spark, d):
     pts = orders_points(spark, d).select("id", F.col("o_totalprice").alias("x"), F.col("o_custkey").alias("y"))
     seeds = [(r["cluster_id"], r["x"], r["y"]) for r in sample_seeds(pts, 5).collect()]
@@ -372,6 +448,40 @@ def q_kmeans_numeric_only(spark, d):
     return centroid_output(spark, res.centroids, g)
 
 
+def q_kmeans_partialsums_hicard(spark, d):
+    """PartialSums with an almost unique string, for which no dictionary is built."""
+    pts = orders_points(spark, d).withColumn("tag", F.concat(
+        F.lit("o"), (F.col("id") * 7919 % 1000003).cast("string"), F.lit("-"), F.col("id").cast("string")))
+    pts = pts.select("id", "o_totalprice", "tag").persist(StorageLevel.MEMORY_AND_DISK)
+    g = Geometry(HICARD_FEATURES, HICARD_WEIGHTS, 1)
+    seeds = [{k: v for k, v in r.asDict().items() if k != "id"} for r in sample_seeds(pts, 5).collect()]
+    res = kmeans_mixed(pts, seeds, g, "PartialSums", epsilon=-1.0, max_iter=2)
+    pts.unpersist()
+    return centroid_output(spark, res.centroids, g)
+
+
+def q_kmeans_keep_empty(spark, d):
+    """Two equal seeds: the earlier one never wins a point, and keeps its centroid."""
+    pts = orders_points(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    g = Geometry(ORDERS_FEATURES, ORDERS_WEIGHTS, 0)
+    seeds = [{k: v for k, v in r.asDict().items() if k != "id"} for r in sample_seeds(pts, 5).collect()]
+    seeds.append(dict(min(seeds, key=lambda s: s["cluster_id"]), cluster_id=5))
+    res = kmeans_mixed(pts, seeds, g, "Standard", epsilon=-1.0, max_iter=ITERATIONS, empty="keep")
+    pts.unpersist()
+    return centroid_output(spark, res.centroids, g)
+
+
+def q_kmeans2d_converge(spark, d):
+    """Runs until no centroid moves more than CONVERGE_EPSILON; the last movement of each."""
+    pts = orders_points(spark, d).select("id", F.col("o_totalprice").alias("x"), F.col("o_custkey").alias("y"))
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    res = kmeans_2d(pts, INIT_2D, epsilon=CONVERGE_EPSILON)
+    pts.unpersist()
+    rows = [(res.iterations, c["cluster_id"], c["x"], c["y"], res.movements[-1][c["cluster_id"]]) for c in res.centroids]
+    df = spark.createDataFrame(rows, "iterations int, cluster_id int, x double, y double, movement double")
+    return df.select("iterations", "cluster_id", rnd("x").alias("x"), rnd("y").alias("y"), rnd("movement").alias("movement"))
+
+
 def _out_2d(spark, res) -> DataFrame:
     rows = [(c["cluster_id"], c["x"], c["y"]) for c in res.centroids]
     df = spark.createDataFrame(rows, "cluster_id int, x double, y double")
@@ -443,33 +553,58 @@ def q_points_text_scan(spark, d):
 
 
 def _part_run(spark, d, out_root: str, label: str, mode: str):
-    pts, lim = part_points(spark, d)
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    g = part_geometry(1)
-    log = JobLog()
-    res = log.timed("kmeans", lambda: kmeans_mixed(pts, part_seeds(pts), g, mode, 0.001, 2))
-    q = evaluate(pts, res.centroids, g, res.iterations)
-    q_row = log.timed("quality", lambda: q.quality.first().asDict())
-    stats = log.timed("cluster stats", lambda: [r.asDict() for r in q.stats.collect()])
-    cents = unscale(centroids_frame(spark, res.centroids, g), lim)
-    rendered = {r["cluster_id"]: r["value"] for r in centroid_text(cents, g).collect()}
-    lines = log.lines + report_lines(q_row, stats, rendered)
-    write_run(spark, out_root, label, {"centroids": cents}, lines, {"mode": mode})
-    pts.unpersist()
-    return lines
+    params = ClusterParams(mode=mode, k=PART_K, epsilon=-1.0, max_iter=JOB_ITERATIONS, samples_for_medoid=1, weights=PART_WEIGHTS)
+    return run_job_on(part_elements(spark, d), params, PART_FEATURES, out_root=out_root, label=label)
 
 
 def q_run_report(spark, d):
+    """The run's log as written, without the lines that hold times."""
     out = fresh_dir(spark, "runs")
     _part_run(spark, d, out, "report", "PartialSums")
-    return spark.read.text(f"{out}/log").select("value", "run_label")
+    return spark.read.text(f"{out}/log").where(~F.col("value").rlike(JOB_LINE)).select("value")
 
 
 def q_run_compare(spark, d):
     out = fresh_dir(spark, "runs")
     _part_run(spark, d, out, "partialsums", "PartialSums")
     _part_run(spark, d, out, "standard", "Standard")
-    return compare_runs(read_run_logs(spark, f"{out}/log"))
+    trial = F.regexp_replace("trial", "_d[0-9]{8}T[0-9]{6}$", "")
+    return compare_runs(read_run_logs(spark, f"{out}/log")).drop("total_seconds", "run").withColumn("trial", trial)
+
+
+# --- the full job (K8) -----------------------------------------------------------------------
+
+def _full_job(spark, d, mode: str, m: int):
+    params = ClusterParams(mode=mode, k=JOB_K, epsilon=-1.0, max_iter=JOB_ITERATIONS, samples_for_medoid=m, weights=JOB_WEIGHTS)
+    return run_job(spark, events_lines(spark, d, False), params)
+
+
+def _job_centroids(spark, result) -> DataFrame:
+    names = ["cluster_id", "time", "size", "long", "lat", "ip", "bot", "uri"]
+    df = spark.createDataFrame([tuple(c[n] for n in names) for c in result.centroids],
+                               "cluster_id int, time double, size double, long double, lat double, ip double, bot string, uri string")
+    return df.select("cluster_id", rnd(F.col("time") / 1000, 1).alias("time"),
+                     *[rnd(c, 2).alias(c) for c in ("size", "long", "lat", "ip")], "bot", "uri")
+
+
+def q_full_job_standard(spark, d):
+    return _job_centroids(spark, _full_job(spark, d, "Standard", 3))
+
+
+def q_full_job_partialsums(spark, d):
+    return _job_centroids(spark, _full_job(spark, d, "PartialSums", 1))
+
+
+def q_full_job_quality(spark, d):
+    """Quality and statistics of the full job, and the sizes that its assignments add up to."""
+    res = _full_job(spark, d, "Standard", 1)
+    q = res.quality.quality.select(F.explode(F.array(
+        F.struct(F.lit("inter").alias("item"), F.col("num_centroids").cast("long").alias("n"), rnd("inter_avg_distance", 9).alias("value")),
+        F.struct(F.lit("intra").alias("item"), F.col("num_points").alias("n"), rnd("intra_avg_distance", 9).alias("value")))).alias("x")).select("x.*")
+    s = res.quality.stats.select(F.concat(F.lit("radius "), F.col("cluster_id").cast("string")).alias("item"), "n", rnd("radius", 9).alias("value"))
+    a = res.assignments.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    a = a.select(F.concat(F.lit("assigned "), F.col("cluster_id").cast("string")).alias("item"), "n", F.lit(None).cast("double").alias("value"))
+    return q.unionByName(s).unionByName(a)
 
 
 QUERIES: dict[str, Query] = {
@@ -511,6 +646,18 @@ QUERIES: dict[str, Query] = {
     "cluster_quality": q_cluster_quality,
     "random_points": q_random_points,
     "points_text_scan": q_points_text_scan,
+    "json_lines_scan": q_json_lines_scan,
+    "json_rejects": q_json_rejects,
+    "ip_similarity_edges": q_ip_similarity_edges,
+    "assign_k300": q_assign_k300,
+    "assign_cosine": q_assign_cosine,
+    "assign_manhattan": q_assign_manhattan,
+    "kmeans_partialsums_hicard": q_kmeans_partialsums_hicard,
+    "kmeans_keep_empty": q_kmeans_keep_empty,
+    "kmeans2d_converge": q_kmeans2d_converge,
+    "full_job_standard": q_full_job_standard,
+    "full_job_partialsums": q_full_job_partialsums,
+    "full_job_quality": q_full_job_quality,
     "run_report": q_run_report,
     "run_compare": q_run_compare,
 }
