@@ -32,7 +32,7 @@ CLASSES, IN_CLASS, BUCKETS = 40, 40, 256
 TOKENS = CLASSES * IN_CLASS
 KNOWN = TOKENS - BUCKETS
 SIDE, WIDTH, HIDDEN = 2, 12, 24
-ROUNDS, BATCH, RATE, FIRST_SQUARE = 4, 4096, 0.1, 1e-7
+ROUNDS, BATCH, RATE, FIRST_SQUARE = 4, 8192, 0.1, 1e-7
 SLICES = 16
 UNIQUES = 1 << 22  # distinct words that a task holds before it sends their counts on
 
@@ -109,14 +109,24 @@ def contexts(words: Words, tokens: np.ndarray) -> np.ndarray:
     return np.stack([padded[place + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_p(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row's scores at one place."""
+    top = x.max(1)
+    return x[np.arange(len(x)), at] - top - np.log(np.exp(x - top[:, None]).sum(1))
+
+
+def _error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Gradient of -log-softmax at one place by the scores: softmax, less 1 at the place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    x[np.arange(len(x)), at] -= 1
+    return x
 
 
 def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    edges = np.concatenate([[0], np.cumsum(np.bincount(classes, minlength=CLASSES))])
     for c in range(CLASSES):
         if edges[c] < edges[c + 1]:
             yield c, order[edges[c] : edges[c + 1]]
@@ -129,9 +139,9 @@ def log_probabilities(p: dict[str, np.ndarray], token: np.ndarray, context: np.n
         t, x = token[at : at + BATCH * 4], p["E"][context[at : at + BATCH * 4]].reshape(-1, 2 * SIDE * WIDTH)
         h = np.tanh(x @ p["W"] + p["b"])
         klass, inner = np.divmod(t, IN_CLASS)
-        own = _log_softmax(h @ p["C"] + p["c"])[np.arange(len(t)), klass]
+        own = _log_p(h @ p["C"] + p["c"], klass)
         for c, rows in _by_class(klass):
-            own[rows] += _log_softmax(h[rows] @ p["T"][c] + p["t"][c])[np.arange(len(rows)), inner[rows]]
+            own[rows] += _log_p(h[rows] @ p["T"][c] + p["t"][c], inner[rows])
         out[at : at + len(t)] = own
     return out
 
@@ -148,19 +158,18 @@ def train_on(flat: np.ndarray, squares: np.ndarray, token: np.ndarray, context:
         klass, inner = np.divmod(t, IN_CLASS)
         gradient = np.zeros_like(flat)
         g = parts_of(gradient)
-        d = np.exp(_log_softmax(h @ p["C"] + p["c"]))
-        d[np.arange(len(t)), klass] -= 1
+        d = _error(h @ p["C"] + p["c"], klass)
         g["C"][:], g["c"][:] = h.T @ d, d.sum(0)
         dh = d @ p["C"].T
         for c, rows in _by_class(klass):
-            d = np.exp(_log_softmax(h[rows] @ p["T"][c] + p["t"][c]))
-            d[np.arange(len(rows)), inner[rows]] -= 1
-            g["T"][c], g["t"][c] = h[rows].T @ d, d.sum(0)
+            own = h[rows]
+            d = _error(own @ p["T"][c] + p["t"][c], inner[rows])
+            g["T"][c], g["t"][c] = own.T @ d, d.sum(0)
             dh[rows] += d @ p["T"][c].T
         dh *= 1 - h * h
         g["W"][:], g["b"][:] = x.T @ dh, dh.sum(0)
         dx = (dh @ p["W"].T).reshape(-1, WIDTH)
-        key = np.argsort(near.ravel(), kind="stable")
+        key = np.argsort(near.ravel().astype(np.uint16), kind="stable")
         ids = near.ravel()[key]
         begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         g["E"][ids[begin]] = np.add.reduceat(dx[key], begin)
