@@ -76,7 +76,8 @@ class Size:
     least: float  # the least weight that a window must share with an item
     keys: np.ndarray  # the distinct shingle ids, sorted
     key_weights: np.ndarray
-    starts: list[np.ndarray]  # of each block: where the items of each value begin in ...
+    values: list[np.ndarray]  # of each block: the values that items have, sorted, ...
+    starts: list[np.ndarray]  # ... where the items of each value begin in ...
     order: list[np.ndarray]  # ... this order of the items
 
 
@@ -101,8 +102,9 @@ def build_index(items: list[tuple[int, str]], threshold: float) -> list[Size]:
         prints = fingerprints(s, once, s.shape[1])
         keys = np.unique(s)
         order = [np.argsort(prints[:, b], kind="stable") for b in range(BLOCKS)]
-        starts = [np.searchsorted(prints[o, b], np.arange((1 << _WIDTH) + 1)) for b, o in enumerate(order)]
-        out.append(Size(n, [items[i][0] for i in at], s, once, prints, threshold * float(once.sum(1).min()), keys, 1.0 / count[np.searchsorted(known, keys)], starts, order))
+        values = [np.unique(prints[:, b]) for b in range(BLOCKS)]
+        starts = [np.append(np.searchsorted(prints[o, b], v), len(o)) for b, (o, v) in enumerate(zip(order, values, strict=True))]
+        out.append(Size(n, [items[i][0] for i in at], s, once, prints, threshold * float(once.sum(1).min()), keys, 1.0 / count[np.searchsorted(known, keys)], values, starts, order))
     return out
 
 
@@ -116,17 +118,16 @@ def within_radius(size: Size, prints: np.ndarray) -> tuple[np.ndarray, np.ndarra
     masks, n_items = near_values(), len(size.items)
     found = []
     for b in range(BLOCKS):
-        # of a window's block values that near to its own, those that some item has
-        if len(size.items) < len(masks):  # fewer items than values: compare with the values that occur
-            values = np.unique(size.prints[:, b])
-            near = np.bitwise_count(prints[:, b][:, None] ^ values[None]) <= RADIUS // BLOCKS
-            w, v = np.nonzero(near)
-            value = values[v]
+        # (window, value) numbers: the values of items that near to the window's own
+        values = size.values[b]
+        if len(values) < len(masks):
+            w, v = np.nonzero(np.bitwise_count(prints[:, b][:, None] ^ values[None]) <= RADIUS // BLOCKS)
         else:
             probe = prints[:, b][:, None] ^ masks[None]
-            w, m = np.nonzero(size.starts[b][probe + 1] > size.starts[b][probe])
-            value = probe[w, m]
-        first, n = size.starts[b][value], size.starts[b][value + 1] - size.starts[b][value]
+            v = np.minimum(np.searchsorted(values, probe), len(values) - 1)
+            w, m = np.nonzero(values[v] == probe)
+            v = v[w, m]
+        first, n = size.starts[b][v], size.starts[b][v + 1] - size.starts[b][v]
         at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         found.append(np.repeat(w, n) * n_items + size.order[b][at])
     pairs = np.unique(np.concatenate(found))
