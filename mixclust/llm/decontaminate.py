@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixclust.llm.setsketch import WORDS
-from mixclust.llm.words import Words, mix, row_blocks, sliding, windows
+from mixclust.llm.words import Words, mix, row_blocks, windows
 
 THRESHOLD = 0.8
 BITS, BLOCKS, RADIUS = 128, 8, 28
@@ -74,14 +74,26 @@ class Size:
     weights: np.ndarray  # of them; a repeated shingle counts once
     prints: np.ndarray  # (items, BLOCKS)
     least: float  # the least weight that a window must share with an item
-    keys: np.ndarray  # the distinct shingle ids, sorted
-    key_weights: np.ndarray
+    held: np.ndarray  # whether some item holds each of the index's shingles
     values: list[np.ndarray]  # of each block: the values that items have, sorted, ...
     starts: list[np.ndarray]  # ... where the items of each value begin in ...
     order: list[np.ndarray]  # ... this order of the items
 
 
-def build_index(items: list[tuple[int, str]], threshold: float) -> list[Size]:
+@dataclass
+class Index:
+    """Items by size, and all their shingles."""
+
+    sizes: list[Size]
+    keys: np.ndarray  # the distinct shingle ids, sorted
+    weights: np.ndarray  # of them
+    seen: np.ndarray  # whether some shingle id has these leading bits
+
+
+_LEADING = np.uint64(64 - 18)
+
+
+def build_index(items: list[tuple[int, str]], threshold: float) -> Index:
     """The index of some items (id, text)."""
     words = Words(pa.array([t for _, t in items], pa.string()), lower=True)
     ids = words.hashes()
@@ -92,20 +104,32 @@ def build_index(items: list[tuple[int, str]], threshold: float) -> list[Size]:
         shingles.append(windows(own, min(WORDS, max(1, len(own)))))
         if len(own):
             by_size.setdefault(len(own), []).append(i)
-    held = np.concatenate([np.unique(s) for s in shingles]) if shingles else np.empty(0, np.uint64)
-    known, count = np.unique(held, return_counts=True)
-    out = []
+    keys, count = np.unique(np.concatenate([np.empty(0, np.uint64), *map(np.unique, shingles)]), return_counts=True)
+    sizes = []
     for n, at in sorted(by_size.items()):
         s = np.stack([shingles[i] for i in at])
-        weight = 1.0 / count[np.searchsorted(known, s)]
-        once = _distinct(s, weight)
+        place = np.searchsorted(keys, s)
+        once = _distinct(s, 1.0 / count[place])
         prints = fingerprints(s, once, s.shape[1])
-        keys = np.unique(s)
+        held = np.zeros(len(keys), bool)
+        held[place] = True
         order = [np.argsort(prints[:, b], kind="stable") for b in range(BLOCKS)]
         values = [np.unique(prints[:, b]) for b in range(BLOCKS)]
         starts = [np.append(np.searchsorted(prints[o, b], v), len(o)) for b, (o, v) in enumerate(zip(order, values, strict=True))]
-        out.append(Size(n, [items[i][0] for i in at], s, once, prints, threshold * float(once.sum(1).min()), keys, 1.0 / count[np.searchsorted(known, keys)], values, starts, order))
-    return out
+        sizes.append(Size(n, [items[i][0] for i in at], s, once, prints, threshold * float(once.sum(1).min()), held, values, starts, order))
+    seen = np.zeros(1 << (64 - int(_LEADING)), bool)
+    seen[keys >> _LEADING] = True
+    return Index(sizes, keys, 1.0 / count, seen)
+
+
+def hits(g: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``g`` of shingles that the index has, and their numbers there."""
+    if not len(index.keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = np.flatnonzero(index.seen[g >> _LEADING])
+    key = np.minimum(np.searchsorted(index.keys, g[place]), len(index.keys) - 1)
+    ok = index.keys[key] == g[place]
+    return place[ok], key[ok]
 
 
 def near_values() -> np.ndarray:
@@ -136,43 +160,41 @@ def within_radius(size: Size, prints: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return w[ok], i[ok]
 
 
-def find(rows: pa.RecordBatch, index: list[Size], threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+def find(rows: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
     """(row, item id, first word, words, similarity) of the best window of each row and item that reaches
     ``threshold``."""
     words = Words(rows["text"], lower=True)
     ids = words.hashes()
-    grams = {n: windows(ids, n) for n in {min(WORDS, s.words) for s in index}}
+    grams = {n: windows(ids, n) for n in {min(WORDS, s.words) for s in index.sizes}}
+    known = {n: hits(g, index) for n, g in grams.items()}
     best: dict[tuple[int, int, int], tuple[float, int, int]] = {}
-    for size in index:
+    for size in index.sizes:
         k = size.ids.shape[1]
-        g = grams[min(WORDS, size.words)]
-        many = len(words) - size.words + 1
-        if many <= 0:
-            continue
-        at = np.searchsorted(size.keys, g)
-        at[at == len(size.keys)] = 0
-        hit = size.keys[at] == g
-        if not hit.any():
+        g, (place, key) = grams[min(WORDS, size.words)], known[min(WORDS, size.words)]
+        own = size.held[key]
+        hit, weight = place[own], index.weights[key[own]]
+        if not len(hit):
             continue
-        near = sliding(hit.view(np.uint8), k, False)[:many] > 0
-        start = np.flatnonzero(near)
+        start = np.unique(hit[:, None] - np.arange(k)[None])
+        start = start[(start >= 0) & (start + size.words <= len(words))]
         start = start[start + size.words <= words.first[words.row[start] + 1]]
-        shared = np.concatenate([[0.0], np.cumsum(np.where(hit, size.key_weights[at], 0.0))])
-        start = start[shared[start + k] - shared[start] >= size.least - 1e-6]
+        total = np.concatenate([[0.0], np.cumsum(weight)])
+        start = start[total[np.searchsorted(hit, start + k)] - total[np.searchsorted(hit, start)] >= size.least - 1e-6]
         for lot in range(0, len(start), WINDOWS_AT_ONCE):
             s = start[lot : lot + WINDOWS_AT_ONCE]
-            place = s[:, None] + np.arange(k)[None]
-            own, weight = g[place], np.where(hit[place], size.key_weights[at[place]], 1.0)
-            weight = _distinct(own, weight)
-            w, i = within_radius(size, fingerprints(own, weight, k))
+            at = s[:, None] + np.arange(k)[None]
+            mine = g[at]
+            found = np.minimum(np.searchsorted(place, at), len(place) - 1)
+            weight_of = _distinct(mine, np.where(place[found] == at, index.weights[key[found]], 1.0))
+            w, i = within_radius(size, fingerprints(mine, weight_of, k))
             for a, b in zip(w.tolist(), i.tolist(), strict=True):
-                both = np.isin(own[a], size.ids[b])
-                common = float(weight[a][both].sum())
-                alike = common / (float(weight[a].sum()) + float(size.weights[b].sum()) - common)
+                both = np.isin(mine[a], size.ids[b])
+                common = float(weight_of[a][both].sum())
+                alike = common / (float(weight_of[a].sum()) + float(size.weights[b].sum()) - common)
                 if alike >= threshold - 1e-9:
                     row, first = int(words.row[s[a]]), int(s[a] - words.first[words.row[s[a]]])
-                    key, value = (row, size.items[b], b), (alike, -first, size.words)
-                    best[key] = max(best.get(key, value), value)
+                    name, value = (row, size.items[b], b), (alike, -first, size.words)
+                    best[name] = max(best.get(name, value), value)
     for (row, item, _), (alike, first, n) in sorted(best.items()):
         yield row, item, -first, n, round(alike, 9)
 

@@ -73,7 +73,7 @@ def test_against_brute_force(spark, block):
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(1)
     _, items = case()
-    size = max(build_index([(i, t or "") for i, t in items], 0.8), key=lambda s: len(s.items))
+    size = max(build_index([(i, t or "") for i, t in items], 0.8).sizes, key=lambda s: len(s.items))
     prints = []
     for p in size.prints:
         for flips in (0, 5, RADIUS, RADIUS + 1):
@@ -90,7 +90,7 @@ def test_blocks_find_all_within_the_radius():
 def test_many_items_of_one_size_probe_by_value():
     rng = random.Random(2)
     items = [(i, sentence(rng, 20)) for i in range(800)]
-    (size,) = build_index(items, 0.8)
+    (size,) = build_index(items, 0.8).sizes
     w, i = within_radius(size, size.prints[:50])
     assert {(k, k) for k in range(50)} <= set(zip(w.tolist(), i.tolist()))
 
