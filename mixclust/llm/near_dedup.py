@@ -196,7 +196,8 @@ def near_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = verify(written(rest, "pairs"))
     labels = components(links.union(more)) if not more.isEmpty() else labels
 
-    stands = nodes.select("h", "h2", "doc")
-    out = sketched.join(stands, ["h", "h2"], "left").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    # sets first, which have one row each: documents meet the result by their set, where Spark can split copies
+    stands = nodes.select("h", "h2", "doc").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    out = sketched.join(stands, ["h", "h2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
