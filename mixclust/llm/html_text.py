@@ -46,12 +46,12 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 #: Words of class, id and role that mark boilerplate.
 MARKS = frozenset("""
-ad ads adbox adsbox adslot advert adverts advertisement advertising banner bottombar breadcrumb breadcrumbs byline cookie cookies consent contentinfo
+ad ads adbox adsbox adslot adsense adsbygoogle advert adverts advertisement advertising banner bottombar breadcrumb breadcrumbs byline commentbox commentlist cookie cookies consent contentinfo
 complementary comment comments copyright disclaimer disqus dropdown footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar
 navigation newsletter notice notification overlay pager pagination popup privacy promo promoted promotion recommended related replies reply respond
 search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar toc warning widget widgets alert alertdialog
 """.split())
-COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+COMMENTS = frozenset("comment comments commentbox commentlist disqus replies reply respond".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _MARKED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -109,6 +109,10 @@ class _Parser:
         top = self.stack[-1]
         if name in BLOCKS:
             self.cut()
+            if name in ("article", "main"):  # a menu, header or footer that was left open ends here
+                for bar in ("nav", "header", "footer", "menu"):
+                    self.close_one(bar)
+                top = self.stack[-1]
             if name in ("p", *HEADINGS, "li", "tr", "td", "th", "dt", "dd"):  # these end an open one of their kind
                 self.close_one(name, ("ul", "ol", "table", "div", "article", "section", "main", "dl"))
                 top = self.stack[-1]

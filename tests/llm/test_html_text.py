@@ -25,6 +25,7 @@ CASES = [
     (f'<article data-x="a>b"><p>in<b>side</b>\n\n  two<br>lines {LONG}', f"inside two lines {LONG}"),
     (f'<article><p hidden>{LONG}</p><p style="display: none">{LONG}</p><p>Seen.</p></article>', "Seen."),
     (f"<title>{LONG}</title><noscript>{LONG}</noscript><article><textarea>{LONG}</textarea><p>Only.</p></article>", "Only."),
+    (f"<nav><ul><li><a href=1>Home</a><article><p>{LONG}</p></article><footer>x", LONG),
     (f'<body class="with-sidebar"><div class="sidebar">{LONG}</div><article><p>Text</p></article>', "Text"),
 ]
 
