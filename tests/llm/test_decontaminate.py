@@ -25,8 +25,11 @@ def brute(rows, items, least=0.8):
     out = []
     for doc, text in rows:
         w = words(text)
+        here = {s for n in {min(5, len(own)) for _, own in items} for s in (tuple(w[i : i + n]) for i in range(len(w) - n + 1))}
         for item, own in items:
             best = None
+            if here.isdisjoint(shingles(own)):
+                continue
             for k in range(len(w) - len(own) + 1):
                 x, y = shingles(w[k : k + len(own)]), shingles(own)
                 if x & y:
