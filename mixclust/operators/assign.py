@@ -123,7 +123,7 @@ def assign(points: DataFrame, centroids: list[dict], geom: Geometry,
     k, large = len(centroids), len(centroids) > MOST_LITERALS
     array = centroid_array(centroids, geom)
     df = points
-    tables: dict[str, str] = {}  # categorical column -> its column of distances, an array
+    tables: dict[str, list[str]] = {}  # categorical column -> its columns of distances: one array, or k doubles
     helpers: list[str] = []
     for f in geom.active:
         td = dictionaries.get(f.column) if f.kind == "categorical" else None
@@ -131,23 +131,26 @@ def assign(points: DataFrame, centroids: list[dict], geom: Geometry,
             continue
         term, dist = f"__t_{f.column}", f"__d_{f.column}"
         to_each = lambda side, _f=f, _t=term: geom.weighted(_f, geom.feature_distance(_f, lambda _n: F.col(_t), side))
-        each = F.transform(array, lambda c: to_each(lambda n: c[n])) if large else F.array(*[to_each(literals(c)) for c in centroids])
-        table = td.terms.select(F.col("__term").alias(term)).select(term, each.alias(dist))
+        # few centroids: one double column each, as plain column reads keep the arg-min's code small
+        each = [F.transform(array, lambda c: to_each(lambda n: c[n]))] if large else [to_each(literals(c)) for c in centroids]
+        names = [f"{dist}_{j}" for j in range(len(each))]
+        table = td.terms.select(F.col("__term").alias(term)).select(term, *[e.alias(n) for e, n in zip(each, names)])
         if td.broadcastable(k):
             table = F.broadcast(table)
         df = df.join(table, df[f.column].eqNullSafe(table[term]), "left")
-        tables[f.column] = dist
-        helpers += [term, dist]
+        tables[f.column] = names
+        helpers += [term, *names]
 
-    def distance(side, at: Column) -> Column:
-        terms = [F.get(F.col(tables[f.column]), at) if f.kind == "categorical" and f.column in tables
+    def distance(side, at: Column | int) -> Column:
+        read = lambda names: F.col(names[at]) if isinstance(at, int) else F.get(F.col(names[0]), at)
+        terms = [read(tables[f.column]) if f.kind == "categorical" and f.column in tables
                  else geom.weighted(f, geom.feature_distance(f, cols(), side)) for f in geom.active]
         return geom.combine(terms)
 
     if large:
         best = F.array_min(F.transform(array, lambda c, i: _candidate(distance(lambda n: c[n], i), -c["cluster_id"])))
     else:
-        best = _argmin([(distance(literals(c), F.lit(j)), int(c["cluster_id"])) for j, c in enumerate(centroids)])
+        best = _argmin([(distance(literals(c), j), int(c["cluster_id"])) for j, c in enumerate(centroids)])
     return _with_best(df, best, id_col, distance_col).drop(*helpers)
 
 
