@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ from mixclust.llm.pseudo_likelihood import (BUCKETS, KNOWN, N_VALUES, SIDE, TOKE
 from mixclust.llm.queries import QUERIES
 from mixclust.llm.words import Words
 
-from .conftest import SF, WORD
+from .conftest import SF, WORD, sentence
 
 
 def test_contexts_stay_within_texts():
@@ -101,3 +102,40 @@ def test_training_is_repeatable(spark):
     a, b = train(docs, vocab), train(docs, vocab)
     assert np.array_equal(a, b)
     assert score(docs, vocab, a).count() == docs.count()
+
+
+def test_every_word_has_its_own_probability(spark):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(KNOWN)]
+    rows = [(d, " ".join(common * 4)) for d in range(3)]
+    rows += [(10 + d, sentence(rng, 300)) for d in range(20)] + [(50, "often " * 9), (51, "seldom"), (52, ""), (None, "seldom often c1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab, model = vocabulary(docs), new_model()
+    probe = spark.createDataFrame([*rows, (60, "garbled0"), (61, "often seldom garbled0")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in score(probe, vocab, model, word_counts(docs)).collect()}
+    count = Counter(w for _, t in rows for w in t.split())
+    name = {w: int(h) for w, h in zip(count, Words(pa.array([" ".join(count)])).hashes().tolist())}
+    known = set(vocab[0].tolist())
+    n, kinds = Counter(), Counter()
+    for w, k in count.items():
+        if name[w] not in known:
+            n[name[w] % BUCKETS] += k
+            kinds[name[w] % BUCKETS] += 1
+    name["garbled0"] = int(Words(pa.array(["garbled0"])).hashes()[0])
+    assert len(got) == len(rows) + 2 and name["seldom"] not in known and len(n) > 100
+    for d, text in [*rows, (60, "garbled0"), (61, "often seldom garbled0")]:
+        words = Words(pa.array([text]))
+        token = tokens_of(words.hashes(), *vocab)
+        expected = log_probabilities(parts_of(model), token, contexts(words, token)).sum()
+        for w in text.split():
+            if (h := name[w]) not in known:
+                expected += math.log((count[w] + 0.5) / (n[h % BUCKETS] + 0.5 * (kinds[h % BUCKETS] + 1)))
+        assert got[d].log_likelihood == pytest.approx(expected, rel=1e-6, abs=1e-9) and got[d].n_tokens == len(text.split())
+
+
+def test_query_beats_the_frequencies_of_all_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = score_corpus(docs).collect()
+    count = Counter(w for r in docs.collect() for w in WORD.findall(r.text or ""))
+    n = np.array(list(count.values()), float)
+    assert sum(r.log_likelihood for r in rows) / n.sum() > float((n * np.log(n / n.sum())).sum() / n.sum())
