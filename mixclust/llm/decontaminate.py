@@ -1,10 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted check.
 
 For each size of a benchmark item the documents' windows of as many words get a 128-bit SimHash of their
-weighted word shingles (weight: 1 over the number of items that hold the shingle; 1 for others). Fingerprints
+weighted word shingles (weight: 1 over the number of distinct item texts that hold the shingle; a window's
+shingles without a weight get the mean of its others). Fingerprints
 are cut into BLOCKS blocks; two that differ in at most RADIUS bits differ in at most RADIUS // BLOCKS bits
 of some block, so the index, probed with all values that near in each block, finds every item within the
-radius. Candidates are then held to the exact weighted Jaccard similarity.
+radius. Candidates are then held to the exact weighted Jaccard similarity, where each shingle of the window that
+the item lacks weighs as much as the item's own do on average, so changes count alike in common and rare items.
 
 A window is fingerprinted only if the shingles that it shares with items of its size could reach the
 threshold by weight, a bound that loses nothing that the exact check would accept.
@@ -104,7 +106,8 @@ def build_index(items: list[tuple[int, str]], threshold: float) -> Index:
         shingles.append(windows(own, min(WORDS, max(1, len(own)))))
         if len(own):
             by_size.setdefault(len(own), []).append(i)
-    keys, count = np.unique(np.concatenate([np.empty(0, np.uint64), *map(np.unique, shingles)]), return_counts=True)
+    texts = {s.tobytes(): np.unique(s) for s in shingles}
+    keys, count = np.unique(np.concatenate([np.empty(0, np.uint64), *texts.values()]), return_counts=True)
     sizes = []
     for n, at in sorted(by_size.items()):
         s = np.stack([shingles[i] for i in at])
@@ -185,12 +188,14 @@ def find(rows: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple
             at = s[:, None] + np.arange(k)[None]
             mine = g[at]
             found = np.minimum(np.searchsorted(place, at), len(place) - 1)
-            weight_of = _distinct(mine, np.where(place[found] == at, index.weights[key[found]], 1.0))
-            w, i = within_radius(size, fingerprints(mine, weight_of, k))
+            known_here, weight_of = place[found] == at, index.weights[key[found]]
+            mean = (weight_of * known_here).sum(1) / known_here.sum(1)
+            once = _distinct(mine, np.ones(mine.shape))
+            w, i = within_radius(size, fingerprints(mine, once * np.where(known_here, weight_of, mean[:, None]), k))
             for a, b in zip(w.tolist(), i.tolist(), strict=True):
-                both = np.isin(mine[a], size.ids[b])
-                common = float(weight_of[a][both].sum())
-                alike = common / (float(weight_of[a].sum()) + float(size.weights[b].sum()) - common)
+                common, whole = float(size.weights[b][np.isin(size.ids[b], mine[a])].sum()), float(size.weights[b].sum())
+                others = float(once[a][~np.isin(mine[a], size.ids[b])].sum())
+                alike = common / (whole + others * whole / np.count_nonzero(size.weights[b]))
                 if alike >= threshold - 1e-9:
                     row, first = int(words.row[s[a]]), int(s[a] - words.first[words.row[s[a]]])
                     name, value = (row, size.items[b], b), (alike, -first, size.words)

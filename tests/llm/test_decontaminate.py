@@ -113,3 +113,21 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op2_decontaminate"](spark, SF).collect()), key=repr) == brute(rows, items)
+
+
+def changed(text, n):
+    """The text with its last n words changed: as many shingles."""
+    w = words(text)
+    return " ".join([*w[: len(w) - n], *(f"other{k}" for k in range(n))])
+
+
+@pytest.mark.parametrize("copies", [1, 2, 10])
+def test_near_copies_of_repeated_and_templated_items(spark, copies):
+    rng = random.Random(8)
+    long, short, template = sentence(rng, 59), sentence(rng, 24), sentence(rng, 40)
+    items = [(i, x) for k, x in enumerate((long, short)) for i in range(100 * k, 100 * k + copies)]
+    items += [(200 + i, f"{template} tail{i}") for i in range(copies)]
+    rows = [(0, changed(long, 5)), (1, changed(short, 1)), (2, "new " + " ".join(template.split()[1:]) + " tail0"), (3, changed(long, 20))]
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(0, i) for i in range(copies)} | {(1, 100 + i) for i in range(copies)} | {(2, 200)} <= set(got) and not any(d == 3 for d, _ in got)
+    assert got[0, 0] == pytest.approx(50 / 60) and got[1, 100] == pytest.approx(19 / 21)
