@@ -11,8 +11,8 @@ the item lacks weighs as much as the item's own do on average, so changes count
 A window is fingerprinted only if the shingles that it shares with items of its size could reach the
 threshold by weight, a bound that loses nothing that the exact check would accept.
 
-The benchmark goes to the tasks in blocks of at most ``block`` items, one pass over the documents each;
-documents are never shuffled.
+The benchmark goes to the tasks in blocks of at most ``block`` items, one pass over the documents each, with
+the weights of the whole benchmark; documents are never shuffled.
 
 Defined cases: null texts and items count as empty; an item without words is never found; an item of fewer
 words than a shingle is one shingle; of items with the same id each counts alone; rows are judged alone, so
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from mixclust.llm.setsketch import WORDS
 from mixclust.llm.words import Words, mix, row_blocks, windows
+from mixclust.session import written
 
 THRESHOLD = 0.8
 BITS, BLOCKS, RADIUS = 128, 8, 28
@@ -95,8 +96,9 @@ class Index:
 _LEADING = np.uint64(64 - 18)
 
 
-def build_index(items: list[tuple[int, str]], threshold: float) -> Index:
-    """The index of some items (id, text)."""
+def build_index(items: list[tuple[int, str]], threshold: float, counts: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
+    """The index of some items (id, text); ``counts``: shingles that several texts of the benchmark hold, sorted,
+    and how many do (none: ``items`` are the benchmark)."""
     words = Words(pa.array([t for _, t in items], pa.string()), lower=True)
     ids = words.hashes()
     by_size: dict[int, list[int]] = {}
@@ -108,6 +110,9 @@ def build_index(items: list[tuple[int, str]], threshold: float) -> Index:
             by_size.setdefault(len(own), []).append(i)
     texts = {s.tobytes(): np.unique(s) for s in shingles}
     keys, count = np.unique(np.concatenate([np.empty(0, np.uint64), *texts.values()]), return_counts=True)
+    if counts is not None:
+        count = np.ones(len(keys), np.int64)
+        count[np.searchsorted(keys, counts[0])] = counts[1]
     sizes = []
     for n, at in sorted(by_size.items()):
         s = np.stack([shingles[i] for i in at])
@@ -204,13 +209,41 @@ def find(rows: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple
         yield row, item, -first, n, round(alike, 9)
 
 
-def item_blocks(items: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in lists of about ``block`` at most, by a hash of id and text."""
+def item_shingles(items: DataFrame) -> DataFrame:
+    """(words, h): the distinct shingles of each item, and a hash of all its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in row_blocks(batch, "text"):
+                words = Words(rows["text"], lower=True)
+                ids = words.hashes()
+                for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+                    if a < b:
+                        h = np.unique(windows(ids[a:b], min(WORDS, int(b - a))))
+                        whole = np.repeat(windows(ids[a:b], int(b - a)), len(h))
+                        yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(h.view(np.int64))], names=["words", "h"])
+
+    return items.select("text").mapInArrow(run, "words long, h long")
+
+
+def indexes(items: DataFrame, threshold: float, block: int) -> Iterator[Index]:
+    """The index of each block of items, with shingle counts over the distinct texts of the whole benchmark."""
+    counts = item_shingles(items).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = written(counts, "item-shingles")
+    for some, part in item_blocks(items, block):
+        own = counts.join(item_shingles(part).select("h").distinct(), "h", "left_semi").toArrow()
+        h, n = own["h"].to_numpy().view(np.uint64), own["n"].to_numpy()
+        order = np.argsort(h)
+        yield build_index(some, threshold, (h[order], n[order]))
+
+
+def item_blocks(items: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[tuple[list[tuple[int, str]], DataFrame]]:
+    """The benchmark's items in lists of about ``block`` at most, by a hash of id and text, and as tables."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = max(1, -(-items.count() * 5 // (4 * block)))  # a quarter more blocks than needed: hashes fill unevenly
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted({(r[0] if r[0] is not None else -1, r[1]) for r in part.collect()})
+        yield sorted({(r[0] if r[0] is not None else -1, r[1]) for r in part.collect()}), part
 
 
 _FOUND = "doc_id long, item_id long, first_word long, n_words long, similarity double"
@@ -222,8 +255,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = []
-    for some in item_blocks(items, block):
-        index = spark.sparkContext.broadcast(build_index(some, threshold))
+    for own in indexes(items, threshold, block):
+        index = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -243,8 +276,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``docs`` (all columns) without a window that reaches ``threshold`` with an item."""
     spark = docs.sparkSession
-    for some in item_blocks(items, block):
-        index = spark.sparkContext.broadcast(build_index(some, threshold))
+    for own in indexes(items, threshold, block):
+        index = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -131,3 +131,14 @@ def test_near_copies_of_repeated_and_templated_items(spark, copies):
     got = {(r.doc_id, r.item_id): r.similarity for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {(0, i) for i in range(copies)} | {(1, 100 + i) for i in range(copies)} | {(2, 200)} <= set(got) and not any(d == 3 for d, _ in got)
     assert got[0, 0] == pytest.approx(50 / 60) and got[1, 100] == pytest.approx(19 / 21)
+
+
+def test_rows_do_not_depend_on_the_block_size(spark):
+    rows, items = case()
+    shared = sentence(random.Random(9), 30)
+    items = [*items, *((300 + i, f"{shared} tail{i} end{i}") for i in range(6)), (400, shared), (401, shared.upper())]
+    rows = [*rows, (900, f"{shared} tail1 end1"), (901, changed(shared, 2)), (902, f"{changed(shared, 1)} tail3 end3"), (903, f"{shared} tail2 x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, *others = (sorted(map(tuple, leaks(docs, bench, block=b).collect())) for b in (20_000, 25, 7, 2))
+    assert {900, 901, 902, 903} <= {r[0] for r in whole} and all(x == whole for x in others)
