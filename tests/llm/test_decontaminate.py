@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mixclust.llm.decontaminate import BLOCKS, RADIUS, build_index, clean, leaks, within_radius
+from mixclust.llm.decontaminate import BLOCKS, RADIUS, build_index, clean, fingerprints, leaks, within_radius
 from mixclust.llm.queries import QUERIES
 
 from .conftest import LOWER, SF, WORD, sentence
@@ -142,3 +142,13 @@ def test_rows_do_not_depend_on_the_block_size(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole, *others = (sorted(map(tuple, leaks(docs, bench, block=b).collect())) for b in (20_000, 25, 7, 2))
     assert {900, 901, 902, 903} <= {r[0] for r in whole} and all(x == whole for x in others)
+
+
+@pytest.mark.parametrize("shingles,other", [(27, 3), (45, 5)])
+def test_pairs_at_the_threshold_are_within_the_radius(shingles, other):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 63, (4000, shingles)).astype(np.uint64)
+    b = a.copy()
+    b[:, :other] = rng.integers(0, 1 << 63, (4000, other)).astype(np.uint64)
+    far = np.bitwise_count(fingerprints(a, np.ones(a.shape), shingles) ^ fingerprints(b, np.ones(b.shape), shingles)).sum(1)
+    assert (far <= RADIUS).all()
