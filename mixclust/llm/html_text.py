@@ -7,6 +7,12 @@ neighbours: good if both are, or if the nearest one is. On a page with an ``arti
 blocks outside it are boilerplate, and inside it only containers and link lists are left out, as its short
 blocks inherit from the article.
 
+A class, id or role marks boilerplate, unless it only tells what the page has (has-sidebar, header-fixed). An
+article (or main) in a container closed by such a mark alone is open again, and counts if the page has no
+long text in another; in a container of comments it stays closed. Within an article a mark closes a container
+if it is of comments or adverts or is the whole name of a part of the page (sidebar, menu); with any other
+mark only blocks of links go.
+
 Pages are parsed one at a time within a task (a page is the unit; nothing grows with the table).
 
 Defined cases: null html counts as empty; a page without main text has the empty text; broken or
@@ -52,6 +58,10 @@ navigation newsletter notice notification overlay pager pagination popup privacy
 search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar toc warning widget widgets alert alertdialog
 """.split())
 COMMENTS = frozenset("comment comments commentbox commentlist disqus replies reply respond".split())
+ADVERTS = frozenset("ad ads adbox adsbox adslot adsense adsbygoogle advert adverts advertisement advertising promo promoted promotion sponsor sponsored".split())
+#: Of them, whole names that close a container within an article too; and parts of names that tell what a page has.
+PARTS_OF_PAGE = frozenset("bottombar breadcrumb breadcrumbs complementary contentinfo cookie cookies consent dropdown footer footnav form gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter overlay pager pagination popup recommended related sidebar sidenav signup subscribe subscription tagcloud toolbar topbar widget widgets alertdialog".split())
+HAS, STATES = frozenset("has no not with without".split()), frozenset("enabled fixed layout".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _MARKED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -62,7 +72,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Block:
-    """A run of text between block-level tags; ``boiler``: within a boilerplate container."""
+    """A run of text between block-level tags; ``boiler``: within a boilerplate container; ``weak``: in an
+    article that a marked container holds; ``doubt``: marked, and out if it is links."""
 
     boiler: bool
     main: bool
@@ -70,6 +81,8 @@ class Block:
     text: str
     linked: int = 0
     label: str = ""
+    weak: bool = False
+    doubt: bool = False
 
 
 @dataclass
@@ -80,6 +93,16 @@ class _Open:
     boiler: bool
     main: bool
     link: bool = False
+    mark: bool = False  # closed by a mark that an article opens again
+    weak: bool = False
+    doubt: bool = False
+
+
+def marks_of(attributes: str) -> list[tuple[str, list[str]]]:
+    """The names in class, id and role that mark boilerplate, and their parts."""
+    names = [x for m in _MARKED.findall(attributes) for x in "".join(m[1:]).lower().split()]
+    parts = [(x, [y for y in _PARTS.split(x) if y]) for x in names]
+    return [(x, y) for x, y in parts if not MARKS.isdisjoint(y) and not (len(y) > 1 and (y[0] in HAS or y[-1] in STATES))]
 
 
 @dataclass
@@ -102,7 +125,7 @@ class _Parser:
             if said := " ".join("".join(self.parts).split()):
                 top = self.stack[-1]
                 tag = next((x.name for x in reversed(self.stack) if x.name in BLOCKS), "")
-                self.blocks.append(Block(top.boiler, top.main, tag, said, self.linked))
+                self.blocks.append(Block(top.boiler, top.main, tag, said, self.linked, "", top.weak, top.doubt))
             self.parts, self.linked = [], 0
 
     def open(self, name: str, attributes: str) -> None:
@@ -120,22 +143,34 @@ class _Parser:
             if name == "br":
                 self.parts.append(" ")
             return
-        boiler = top.boiler or self.is_boiler(name, attributes, top.main)
-        self.stack.append(_Open(name, boiler, top.main or (name in ("article", "main") and not boiler), top.link or name == "a"))
-
-    def is_boiler(self, name: str, attributes: str, main: bool) -> bool:
+        boiler, mark, weak, doubt = top.boiler, top.mark, top.weak, top.doubt
+        found = self.verdict(name, attributes, top.main)
+        if boiler and mark and name in ("article", "main") and not found:
+            boiler, mark, weak = False, False, True
+        elif found == "doubt":
+            doubt = True
+        elif found:
+            boiler, mark = True, found == "mark" and (mark or not boiler)
+        self.stack.append(_Open(name, boiler, top.main or (name in ("article", "main") and not boiler), top.link or name == "a", mark, weak, doubt))
+
+    def verdict(self, name: str, attributes: str, main: bool) -> str:
+        """closed, mark (closed, but an article opens again), doubt, or nothing."""
         if name in ("html", "body", "main"):
-            return False
+            return ""
         if name in CONTAINERS and not (name == "header" and main):
-            return True
+            return "closed"
         if not attributes or attributes.isspace():
-            return False
+            return ""
         if _HIDDEN.search(attributes):
-            return True
-        marks = COMMENTS if name == "article" else MARKS
-        if main and name == "header":
-            marks = COMMENTS
-        return any(not marks.isdisjoint(_PARTS.split("".join(m[1:]).lower())) for m in _MARKED.findall(attributes))
+            return "closed"
+        found = marks_of(attributes)
+        if any(not COMMENTS.isdisjoint(y) for _, y in found):
+            return "closed"
+        if not found or name == "article" or (main and name == "header"):
+            return ""
+        if main and not any(x in PARTS_OF_PAGE or not ADVERTS.isdisjoint(y) for x, y in found):
+            return "doubt"
+        return "mark"
 
     def close_one(self, name: str, fence: tuple[str, ...] = ()) -> None:
         """Close the innermost open element of that name, and what is open inside it."""
@@ -187,11 +222,14 @@ def blocks_of(page: str) -> list[Block]:
 def classify(blocks: list[Block]) -> None:
     """Set each block's label to good or bad."""
     has_main = any(b.main and not b.boiler for b in blocks)
+    if any(b.main and not b.boiler and not b.weak and len(b.text) >= LENGTH_LOW for b in blocks):
+        for b in blocks:
+            b.boiler |= b.weak
     for b in blocks:
         links = b.linked / len(b.text)
         if b.boiler or (has_main and not b.main):
             b.label = "bad"
-        elif links > MOST_LINKS and (b.tag == "li" or not has_main):
+        elif links > MOST_LINKS and (b.tag == "li" or b.doubt or not has_main):
             b.label = "bad"
         elif b.main:
             b.label = "good" if len(b.text) >= LENGTH_LOW else "unsure"

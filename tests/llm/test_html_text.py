@@ -30,6 +30,22 @@ CASES = [
 ]
 
 
+MARKED = [
+    *((f'<div class="{c}"><article><p>{LONG}</p></article></div>', LONG) for c in ("has-sidebar", "no-sidebar", "page with-comments", "header-fixed", "widget", "sidebar")),
+    (f'<div class="has-sidebar"><p>{LONG}</p></div>', LONG),
+    (f'<article><div class="article-header"><h1>Head</h1></div><p class="warning">Mind this.</p><div class="share-prices"><p>{LONG}</p></div></article>', f"Head Mind this. {LONG}"),
+    (f'<article><p>{LONG}</p><div class="share"><a href=1>Send</a> <a href=2>Post</a></div><div class="sidebar">{LONG}</div><div class="ad-slot">{LONG}</div></article>', LONG),
+    (f'<article><p>{LONG}</p></article><div class="related"><article><p>Other. {LONG}</p></article></div>', LONG),
+    (f'<article><p>{LONG}</p></article><section class="comments"><article><p>{LONG}</p></article></section>', LONG),
+    (f'<div class="widget"><div class="comments"><article><p>{LONG}</p></article></div></div><nav><div class="menu"><article hidden><p>{LONG}</p></article></div></nav><article>Text.</article>', "Text."),
+]
+
+
+@pytest.mark.parametrize("page,expected", MARKED)
+def test_marks_of_wrappers_and_within_articles(page, expected):
+    assert main_text(page) == expected
+
+
 @pytest.mark.parametrize("page,expected", CASES)
 def test_pages(page, expected):
     assert main_text(page) == expected
