@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags. Pass one classifies each block by
 stands in (menus, footers, adverts, comments and the like are boilerplate), then by length, link
 density and stop-word density. Pass two gives each ambiguous block the label of its nearest decided
 neighbours: good if both are, or if the nearest one is. On a page with an ``article`` (or ``main``)
-blocks outside it are boilerplate, and inside it only containers and link lists are left out, as its short
-blocks inherit from the article.
+blocks outside it are boilerplate, and inside it only containers and link lists are left out; of its short
+blocks only those of links inherit.
 
 A class, id or role marks boilerplate, unless it only tells what the page has (has-sidebar, header-fixed). An
 article (or main) in a container closed by such a mark alone is open again, and counts if the page has no
@@ -232,7 +232,7 @@ def classify(blocks: list[Block]) -> None:
         elif links > MOST_LINKS and (b.tag == "li" or b.doubt or not has_main):
             b.label = "bad"
         elif b.main:
-            b.label = "good" if len(b.text) >= LENGTH_LOW else "unsure"
+            b.label = "good" if len(b.text) >= LENGTH_LOW or links <= MOST_LINKS else "unsure"
         elif len(b.text) < LENGTH_LOW:
             b.label = "unsure"
         else:

@@ -30,6 +30,18 @@ CASES = [
 ]
 
 
+SHORT = [
+    (f"<article><p>{LONG}</p><ul><li><a href=1>See also</a></li></ul><p>Short end.</p></article>", f"{LONG} Short end."),
+    (f"<article><p>{LONG}</p><ul><li><a href=1>See also</a></li></ul><p>One.</p><p>Two.</p><p>Three.</p></article>", f"{LONG} One. Two. Three."),
+    (f"<main><ul><li><a href=1>First</a></li><li><a href=2>Second</a></li></ul><h2>Head</h2><p>{LONG}</p></main>", f"Head {LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,expected", SHORT)
+def test_short_blocks_beside_lists_of_links(page, expected):
+    assert main_text(page) == expected
+
+
 MARKED = [
     *((f'<div class="{c}"><article><p>{LONG}</p></article></div>', LONG) for c in ("has-sidebar", "no-sidebar", "page with-comments", "header-fixed", "widget", "sidebar")),
     (f'<div class="has-sidebar"><p>{LONG}</p></div>', LONG),
