@@ -10,8 +10,8 @@
    threshold are verified too, and the components are taken again. So no link is lost, while a
    group of near copies costs about one pair for each member.
 
-A pair at the threshold shares no bucket with a probability below 1e-8 (0.85) or 4e-6 (0.8), and an estimate
-falls below its margin of 0.09 about once in a thousand pairs, for pairs that no other link joins.
+A pair at the threshold shares no bucket with a probability below 1e-8 (0.85) or 4e-6 (0.8), and its
+estimate falls below the margin (0.16 at 0.85, 0.17 at 0.8) with one below 1e-6.
 
 Defined cases: null text is empty; an empty set (no words) is linked with nothing; a text of fewer words
 than a shingle is one shingle. Rows that share an id are one document for the links, each with its own
@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixclust.llm.components import components
-from mixclust.llm.setsketch import BANDS, REGISTERS, ROWS, WORDS, shingle_sets, similarity, sketches
+from mixclust.llm.setsketch import BANDS, REGISTERS, ROWS, WORDS, margin, shingle_sets, similarity, sketches
 from mixclust.llm.words import Words, mix, row_blocks
 from mixclust.session import written
 
 THRESHOLD = 0.85
-MARGIN = 0.09
 TILE = 512
 PAIRS_AT_ONCE = 100_000
 
@@ -154,7 +153,7 @@ def _tile_pairs(least: float, percent: int):
 def near_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links of at least ``threshold`` lead to) and
     kept (whether that is its own) of every row."""
-    percent = round(threshold * 100)
+    percent, least = round(threshold * 100), threshold - margin(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = written(docs.mapInArrow(_sketch, _SKETCH), "sketches")
     known = sketched.where("n > 0 and doc_id is not null")
@@ -180,7 +179,7 @@ def near_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     star = members.where("first.h <> h").select(F.col("first.doc").alias("a"), F.col("first.h").alias("ha"), F.col("first.n").alias("na"), F.col("doc").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
     star = star.where(near).distinct()
     star = star.join(sketch.withColumnsRenamed({"d": "a", "k": "ha", "sketch": "sa"}), ["a", "ha"]).join(sketch.withColumnsRenamed({"d": "b", "k": "hb", "sketch": "sb"}), ["b", "hb"])
-    links = verify(written(star.select("a", "ha", "na", "sa", "b", "hb", "nb", "sb").mapInArrow(_alike(threshold - MARGIN), "a long, ha long, b long, hb long"), "pairs"))
+    links = verify(written(star.select("a", "ha", "na", "sa", "b", "hb", "nb", "sb").mapInArrow(_alike(least), "a long, ha long, b long, hb long"), "pairs"))
     labels = components(links)
 
     with_label = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -192,7 +191,7 @@ def near_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = left.withColumn("parts", parts).withColumn("part", part).withColumn("tile", F.explode(tiles))
     left = left.select("key", "tile.ti", "tile.tj", "part", "band", "doc", "h", "n", "component", "sketch")
     left = left.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-    rest = left.mapInArrow(_tile_pairs(threshold - MARGIN, percent), "a long, ha long, b long, hb long")
+    rest = left.mapInArrow(_tile_pairs(least, percent), "a long, ha long, b long, hb long")
     more = verify(written(rest, "pairs"))
     labels = components(links.union(more)) if not more.isEmpty() else labels
 

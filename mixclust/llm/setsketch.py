@@ -82,3 +82,19 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
         better = likelihood(one) < likelihood(two)
         low, high = np.where(better, one, low), np.where(better, high, two)
     return (low + high) / 2
+
+
+def margin(threshold: float, ratio: float = 1.0, most: float = 1e-6) -> float:
+    """How far (in hundredths) below ``threshold`` estimates of pairs at it can lie, but for a probability under
+    ``most``; ``ratio``: of the pair's sizes. Registers count as independent."""
+    up, down = (x.ravel() for x in np.meshgrid(np.arange(REGISTERS + 1), np.arange(REGISTERS + 1), indexing="ij"))
+    up, down = up[up + down <= REGISTERS], down[up + down <= REGISTERS]
+    place = np.arange(REGISTERS)[None]
+    a, b = (place < up[:, None]).astype(np.uint8), ((place >= up[:, None]) & (place < (up + down)[:, None])).astype(np.uint8)
+    estimate = similarity(a, b, np.full(len(up), ratio), np.ones(len(up)))
+    u = ratio / (1 + ratio)
+    more, less = (-np.log1p(-x * (BASE - 1) / BASE) / _LN for x in (u - (1 - u) * threshold, (1 - u) - u * threshold))
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, REGISTERS + 1)))])
+    same = REGISTERS - up - down
+    chance = np.exp(fact[REGISTERS] - fact[up] - fact[down] - fact[same] + up * np.log(max(more, 1e-300)) + down * np.log(max(less, 1e-300)) + same * np.log(1 - more - less))
+    return next((m / 100 for m in range(1, 100) if chance[estimate < threshold - m / 100].sum() < most), threshold)

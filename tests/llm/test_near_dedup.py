@@ -7,7 +7,7 @@ import pytest
 from mixclust.llm.components import components
 from mixclust.llm.near_dedup import near_components
 from mixclust.llm.queries import QUERIES
-from mixclust.llm.setsketch import REGISTERS, shingle_sets, similarity, sketches
+from mixclust.llm.setsketch import REGISTERS, margin, shingle_sets, similarity, sketches
 from mixclust.llm.words import Words
 
 from .conftest import LOWER, SF, WORD, sentence
@@ -90,3 +90,15 @@ def test_components_of_chains_and_stars(spark):
     out = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert set(out.values()) == {1, 7} and len(out) == 61 + 30 + 2
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("threshold,both,own", [(0.85, 170, 15), (0.8, 160, 20)])
+def test_pairs_at_the_threshold_are_within_the_margin(threshold, both, own):
+    rng = np.random.default_rng(2)
+    pairs, size = 4000, both + own
+    a = rng.integers(0, 1 << 63, (pairs, size)).astype(np.uint64)
+    b = a.copy()
+    b[:, :own] = rng.integers(0, 1 << 63, (pairs, own)).astype(np.uint64)
+    offs, n = np.arange(pairs + 1) * size, np.full(pairs, float(size))
+    estimate = similarity(sketches(a.ravel(), offs), sketches(b.ravel(), offs), n, n)
+    assert (estimate < threshold - 0.09).any() and (estimate >= threshold - margin(threshold)).all()
