@@ -77,7 +77,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(collapse_runs(table(spark, sf_dir, "documents"), tail_loop))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text, op9_lm_scoring, op10_top_k, op11_periodic_runs)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text, op9_lm_scoring, op10_top_k, op11_periodic_runs, op12_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_top_k": """
