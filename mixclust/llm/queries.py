@@ -83,7 +83,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text, op9_lm_scoring, op10_top_k, op11_periodic_runs, op12_whitening)}
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixclust.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text, op9_lm_scoring, op10_top_k, op11_periodic_runs, op12_whitening, op13_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_top_k": """
