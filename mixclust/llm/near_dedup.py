@@ -2,16 +2,18 @@
 
 1. Every text gets its set of word shingles, a hash of the set and SetSketch registers. Documents with
    equal sets are one from here on (the smallest id stands for them), so copies cost nothing more.
-2. Band values of the registers put the sets into buckets. In each bucket every set is paired with the
-   bucket's smallest id only. Pairs whose jointly estimated similarity (likelihood of the registers,
-   sizes known) comes near the threshold are verified on their full sets.
-3. Components of these links. Buckets that still hold sets of several components are searched pair by
-   pair, in tiles of at most TILE by TILE sets, for pairs across components; those near the
-   threshold are verified too, and the components are taken again. So no link is lost, while a
-   group of near copies costs about one pair for each member.
-
-A pair at the threshold shares no bucket with a probability below 1e-8 (0.85) or 4e-6 (0.8), and its
-estimate falls below the margin (0.16 at 0.85, 0.17 at 0.8) with one below 1e-6.
+2. Band values of the registers put the sets into buckets. Sets in a bucket with others are made again in full, and
+   those stay that share enough of their elements with others to have any link (set_links.linkable).
+3. In each bucket every set is paired with the bucket's smallest id only. Pairs whose jointly estimated similarity
+   (likelihood of the registers, sizes known) comes near the threshold are verified on their full sets.
+4. Components of these links. Buckets that still hold sets of several components are searched for links across
+   them on the full sets (set_links.cross_links), and the components are taken again. So no link is lost, a
+   group of near copies costs about one pair for each member, and one of texts that are alike below the
+   threshold gives no pairs at all.
+
+A pair at the threshold shares no bucket with a probability below 1e-8 (0.85) or 4e-6 (0.8). Step 3 leaves out a pair
+whose estimate falls below the margin (0.16 at 0.85, 0.17 at 0.8; one in a million at the threshold); step 4 then
+finds it, as it asks no estimate.
 
 Defined cases: null text is empty; an empty set (no words) is linked with nothing; a text of fewer words
 than a shingle is one shingle. Rows that share an id are one document for the links, each with its own
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixclust.llm.components import components
+from mixclust.llm.set_links import cross_links, linkable, verified_links
 from mixclust.llm.setsketch import BANDS, REGISTERS, ROWS, WORDS, margin, shingle_sets, similarity, sketches
 from mixclust.llm.words import Words, mix, row_blocks
 from mixclust.session import written
 
 THRESHOLD = 0.85
-TILE = 512
 PAIRS_AT_ONCE = 100_000
 
 _SKETCH = "doc_id long, n long, h long, h2 long, sketch binary"
@@ -88,68 +90,6 @@ def _alike(least: float):
     return run
 
 
-def _verified(percent: int):
-    """Pairs (with both full sets) of at least ``percent`` hundredths of Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["xa"], b["xb"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
-    return run
-
-
-def _tile_pairs(least: float, percent: int):
-    """From rows sorted by tile: pairs of sets of different components whose estimate reaches ``least``, each
-    only in the first band that the two share."""
-    names = ("key", "ti", "tj", "part", "band", "doc", "h", "n", "component", "sketch")
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key, ti, tj, part, band, doc, h, n, comp = (t[c].to_numpy() for c in names[:-1])
-        regs = _registers(t["sketch"].combine_chunks())
-        begin = np.concatenate([[True], (key[1:] != key[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])])
-        end = np.append(np.flatnonzero(begin)[1:], len(key))[np.cumsum(begin) - 1]
-        more = end - np.arange(len(key)) - 1
-        out, at, total = [], 0, np.cumsum(more)
-        while at < len(key):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-            i = np.repeat(np.arange(at, to), more[at:to])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[at:to]) - more[at:to], more[at:to])
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (comp[i] != comp[j]) & (100 * low >= percent * high) & ((ti[i] == tj[i]) | (part[i] != part[j]))
-            i, j = i[ok], j[ok]
-            if len(i):
-                same = (regs[i] == regs[j]).reshape(-1, BANDS, ROWS).all(2)
-                ok = same.argmax(1) == band[i]
-                i, j = i[ok], j[ok]
-            if len(i):
-                ok = similarity(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= least
-                out.append(np.stack([doc[i[ok]], h[i[ok]], doc[j[ok]], h[j[ok]]]))
-            at = to
-        cols = np.concatenate(out, 1) if out else np.empty((4, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "ha", "b", "hb"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the last tile may go on in the next batch
-        for b in batches:
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            last = [t[c][-1].as_py() for c in names[:3]]
-            tail = np.logical_and.reduce([t[c].to_numpy() == v for c, v in zip(names[:3], last, strict=True)])
-            cut = int(np.argmin(tail[::-1])) if not tail.all() else t.num_rows
-            if cut < t.num_rows:
-                yield pairs(t.slice(0, t.num_rows - cut))
-                held = t.slice(t.num_rows - cut).combine_chunks().to_batches()
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    return run
-
-
 def near_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links of at least ``threshold`` lead to) and
     kept (whether that is its own) of every row."""
@@ -161,38 +101,28 @@ def near_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = written(nodes, "nodes")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS))).alias("key")))
-    rows = nodes.select("doc", "h", "n", F.explode(bands).alias("x")).select("doc", "h", "n", "x.*")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "h", "n")).alias("first")).where("size > 1")
-    members = written(rows.join(buckets, "key"), "buckets")
+    rows = nodes.select("doc", "h", F.explode(bands).alias("x")).select("doc", "h", F.col("x.key").alias("key"))
+    shared = rows.groupBy("key").count().where("count > 1").select("key")
+    members = written(rows.join(shared, "key"), "buckets")
 
-    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    sketch = nodes.select(F.col("doc").alias("d"), F.col("h").alias("k"), F.col("sketch"))
     involved = members.select("doc", "h").distinct()
     sets = docs.join(involved.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(_sets, _SET)
     sets = written(sets.dropDuplicates(["doc_id", "h"]), "sets").select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "shingles")
+    sets = linkable(sets, percent)
+    members = members.join(sets.select(F.col("d").alias("doc"), F.col("k").alias("h"), "n", "most"), ["doc", "h"])
+    members = written(members, "members")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.withColumnsRenamed({"d": "a", "k": "ha", "shingles": "xa"}), ["a", "ha"])
-        two = one.join(sets.withColumnsRenamed({"d": "b", "k": "hb", "shingles": "xb"}), ["b", "hb"])
-        return written(two.select("a", "b", "xa", "xb").mapInArrow(_verified(percent), "a long, b long"), "verified")
-
-    star = members.where("first.h <> h").select(F.col("first.doc").alias("a"), F.col("first.h").alias("ha"), F.col("first.n").alias("na"), F.col("doc").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
+    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    sketch = nodes.select(F.col("doc").alias("d"), F.col("h").alias("k"), F.col("sketch"))
+    first = members.groupBy("key").agg(F.min(F.struct("doc", "h", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    star = members.join(first, "key").where("first.h <> h").select(F.col("first.doc").alias("a"), F.col("first.h").alias("ha"), F.col("first.n").alias("na"), F.col("doc").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
     star = star.where(near).distinct()
     star = star.join(sketch.withColumnsRenamed({"d": "a", "k": "ha", "sketch": "sa"}), ["a", "ha"]).join(sketch.withColumnsRenamed({"d": "b", "k": "hb", "sketch": "sb"}), ["b", "hb"])
-    links = verify(written(star.select("a", "ha", "na", "sa", "b", "hb", "nb", "sb").mapInArrow(_alike(least), "a long, ha long, b long, hb long"), "pairs"))
+    links = verified_links(written(star.select("a", "ha", "na", "sa", "b", "hb", "nb", "sb").mapInArrow(_alike(least), "a long, ha long, b long, hb long"), "pairs"), sets, percent)
     labels = components(links)
 
-    with_label = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_keys = with_label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = with_label.join(open_keys, "key").join(sketch.withColumnsRenamed({"d": "doc", "k": "h"}), ["doc", "h"])
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("h", "key"), parts).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("part")).alias("ti"), F.greatest(t, F.col("part")).alias("tj")))
-    left = left.withColumn("parts", parts).withColumn("part", part).withColumn("tile", F.explode(tiles))
-    left = left.select("key", "tile.ti", "tile.tj", "part", "band", "doc", "h", "n", "component", "sketch")
-    left = left.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-    rest = left.mapInArrow(_tile_pairs(least, percent), "a long, ha long, b long, hb long")
-    more = verify(written(rest, "pairs"))
+    labelled = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    more = cross_links(labelled, sets, percent)
     labels = components(links.union(more)) if not more.isEmpty() else labels
 
     # sets first, which have one row each: documents meet the result by their set, where Spark can split copies
