@@ -74,7 +74,7 @@ STRING_DISTANCES: dict[str, StringDistance] = {
 def register_distance(kind: str, name: str, fn) -> None:
     """Add a distance. `fn` must build a Column: (list[Column], list[Column]) -> Column
     for kind 'numeric', (Column, Column) -> Column for kind 'categorical'. A pandas_udf
-    is a valid Column builder, at the usual Arrow cost."""
+    is a valid Column builder, at the usual Arrow cost and for any number of centroids."""
     if kind == "numeric":
         NUMERIC_DISTANCES[name] = fn
     elif kind == "categorical":

@@ -1,0 +1,8 @@
+"""Operators of the clustering job. Functions that run inside tasks are pickled by value, so executors need no copy of the
+package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

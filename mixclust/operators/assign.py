@@ -8,8 +8,13 @@ fold. A distance that is NULL or NaN never wins against a number; a point withou
 distance gets the cluster_id NULL.
 
 Up to MOST_LITERALS centroids the candidates are spelled out (`least` of k structs, plain
-codegen'd arithmetic). Beyond, the centroids are one array literal and the candidates its
-transform, so the plan's size doesn't depend on k. Both give the same answers.
+codegen'd arithmetic). Beyond, the plan's size doesn't depend on k; all plans give the same answers:
+- built-in distances without a dictionary: branch and bound in blocks of points (pruned.py), where
+  most candidates are ruled out by bounds and few edit distances are computed;
+- other Column distances, or with a dictionary: the centroids are one array literal and the
+  candidates its transform;
+- distances that cannot be in a lambda, as a pandas_udf: each point is put beside each centroid
+  within its task, and the best is kept as the rows pass; nothing is shuffled.
 
 Levenshtein dominates the cost (n*k evaluations per categorical). When a categorical
 column has few distinct terms, the *term dictionary* plan computes the weighted
@@ -23,12 +28,19 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import distances as D
 from ..functions.vectors import point_distance
-from ..plans.geometry import Geometry, cols, literals
+from ..plans.geometry import NUMERIC_RESCALE, Geometry, cols, literals
+from . import pruned
 
 DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 # auto plan: use a dictionary when distinct terms are at most this share of the points
@@ -113,6 +125,70 @@ def build_dictionaries(points: DataFrame, geom: Geometry, plan: str = "auto", n_
     return {c: TermDictionary.build(points, c, broadcast_max_bytes) for c in chosen}
 
 
+_BUILT_IN = {**{("numeric", n): D.NUMERIC_DISTANCES[n] for n in pruned.NUMERIC},
+             **{("categorical", n): D.STRING_DISTANCES[n] for n in pruned.STRINGS}}
+
+
+def search_parts(geom: Geometry) -> list[pruned.Part] | None:
+    """The active features for the pruned plan; None if a distance is not (or no more) a built-in one."""
+    parts = []
+    for f in geom.active:
+        table = D.NUMERIC_DISTANCES if f.kind == "numeric" else D.STRING_DISTANCES
+        if _BUILT_IN.get((f.kind, f.distance_name)) is not table.get(f.distance_name):
+            return None
+        parts.append(pruned.Part(f.kind, f.distance_name, tuple(f.columns), geom.weights[f.name]))
+    return parts
+
+
+def _schema_with(df: DataFrame, id_col: str, distance_col: str | None) -> str:
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    return ", ".join([*kept, f"`{id_col}` int", *([f"`{distance_col}` double"] if distance_col else [])])
+
+
+def _assign_pruned(points: DataFrame, centroids: list[dict], geom: Geometry, parts: list[pruned.Part],
+                   id_col: str, distance_col: str | None) -> DataFrame:
+    points = points.drop(id_col, *([distance_col] if distance_col else []))
+    search = pruned.Search(centroids, parts, NUMERIC_RESCALE)
+    return points.mapInArrow(pruned.assign_blocks(search, id_col, distance_col), _schema_with(points, id_col, distance_col))
+
+
+def _best_of_each(n_columns: int, k: int, id_col: str, distance_col: str | None):
+    """From rows point x centroid (all centroids of a point in a row): each point once, with its best."""
+
+    def best(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        d = t["__d"].fill_null(float("nan")).to_numpy().reshape(-1, k)
+        cid = t["__c"].to_numpy().reshape(-1, k)
+        at = np.lexsort((-cid, d), axis=1)[:, 0]  # NaN last, then the later id
+        row = np.arange(len(d))
+        none = np.isnan(d[row, at])
+        out = t.take(pa.array(row * k)).columns[:n_columns]
+        arrays, names = [*out, pa.array(cid[row, at], pa.int32(), mask=none)], [*t.schema.names[:n_columns], id_col]
+        if distance_col:
+            arrays, names = [*arrays, pa.array(d[row, at], pa.float64(), mask=none)], [*names, distance_col]
+        return pa.table(arrays, names=names).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            whole = n - n % k
+            if whole:
+                t = pa.Table.from_batches(held)
+                yield from best(t.slice(0, whole).to_batches())
+                held, n = t.slice(whole).to_batches(), n - whole
+
+    return run
+
+
+def _assign_beside(points: DataFrame, centroids: list[dict], geom: Geometry, id_col: str, distance_col: str | None) -> DataFrame:
+    points = points.drop(id_col, *([distance_col] if distance_col else []))
+    beside = points.withColumn("__centroid", F.explode(centroid_array(centroids, geom)))
+    d = geom.distance(cols(), lambda n: F.col("__centroid")[n])
+    rows = beside.select(*points.columns, d.alias("__d"), F.col("__centroid.cluster_id").alias("__c"))
+    return rows.mapInArrow(_best_of_each(len(points.columns), len(centroids), id_col, distance_col), _schema_with(points, id_col, distance_col))
+
+
 def assign(points: DataFrame, centroids: list[dict], geom: Geometry,
            dictionaries: dict[str, TermDictionary] | None = None,
            id_col: str = "cluster_id", distance_col: str | None = "distance") -> DataFrame:
@@ -121,6 +197,18 @@ def assign(points: DataFrame, centroids: list[dict], geom: Geometry,
         raise ValueError("no centroid to assign to")
     dictionaries = dictionaries or {}
     k, large = len(centroids), len(centroids) > MOST_LITERALS
+    if large and not dictionaries and (parts := search_parts(geom)) is not None:
+        return _assign_pruned(points, centroids, geom, parts, id_col, distance_col)
+    try:
+        return _assign_columns(points, centroids, geom, dictionaries, id_col, distance_col, k, large)
+    except AnalysisException as e:
+        if not large or "LAMBDA_FUNCTION_WITH_PYTHON_UDF" not in (e.getCondition() or ""):
+            raise
+        return _assign_beside(points, centroids, geom, id_col, distance_col)
+
+
+def _assign_columns(points: DataFrame, centroids: list[dict], geom: Geometry, dictionaries: dict[str, TermDictionary],
+                    id_col: str, distance_col: str | None, k: int, large: bool) -> DataFrame:
     array = centroid_array(centroids, geom)
     df = points
     tables: dict[str, list[str]] = {}  # categorical column -> its columns of distances: one array, or k doubles

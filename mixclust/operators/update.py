@@ -82,7 +82,11 @@ def first_m_per_cluster(assigned: DataFrame, m: int, order_cols: Sequence[str],
 def medoids(assigned: DataFrame, geom: Geometry, m: int, order_cols: Sequence[str]) -> DataFrame:
     """Per cluster and categorical feature, the sampled term with the least mean
     distance to the sample; equal means (rounded to 12 digits) go to the later sample."""
-    sample = first_m_per_cluster(assigned, m, order_cols, geom.categorical_columns)
+    return medoids_of(first_m_per_cluster(assigned, m, order_cols, geom.categorical_columns), geom)
+
+
+def medoids_of(sample: DataFrame, geom: Geometry) -> DataFrame:
+    """A7 on a sample that is already there: cluster_id, __rn (from 1) and the terms of each point."""
     out: DataFrame | None = None
     for f in geom.categoricals:
         a = sample.select("cluster_id", F.col("__rn").alias("__arn"), F.col(f.column).alias("__a"))

@@ -17,7 +17,7 @@ from ..operators.featurize import featurize_spam, split_valid
 from ..operators.scaling import Limits, fetch_limits, minmax_scale, unscale, unscale_rows
 from ..operators.seeds import sample_seeds
 from ..operators.update import centroids_frame
-from ..session import JOB_CONF
+from ..session import JOB_CONF, spread
 from ..sources.json_lines import read_json_lines
 from ..sources.sinks import centroid_text, report_lines, run_label, write_run
 from .geometry import Geometry
@@ -49,9 +49,10 @@ class JobResult:
 
 
 def prepare_points(elements: DataFrame, geom: Geometry, log: JobLog) -> tuple[DataFrame, Limits]:
-    """K1 on the elements. They are persisted (memory, spilling to disk) before the limits are
+    """K1 on the elements. They are persisted (memory, spilling to disk; a small source is dealt to all
+    cores first) before the limits are
     taken, so the input is parsed once; a lost partition is rebuilt from the scan."""
-    elements = elements.persist(StorageLevel.MEMORY_AND_DISK)
+    elements = spread(elements).persist(StorageLevel.MEMORY_AND_DISK)
     limits = log.timed("limits", lambda: fetch_limits(elements, geom.numeric_columns))
     return elements, limits
 
@@ -77,7 +78,7 @@ def run_job_on(elements: DataFrame, params: ClusterParams, features=SPAM_FEATURE
     geom = geometry or Geometry(features, params.validate(features), params.samples_for_medoid)
     log = JobLog()
     elements, limits = prepare_points(elements.select("id", *geom.numeric_columns, *geom.categorical_columns), geom, log)
-    points = minmax_scale(elements, limits).persist(StorageLevel.MEMORY_AND_DISK)
+    points = minmax_scale(elements, limits)  # a narrow projection of what is persisted
     dictionaries: dict = {}
     try:
         n = log.timed("count", points.count)
@@ -118,7 +119,6 @@ def run_job_on(elements: DataFrame, params: ClusterParams, features=SPAM_FEATURE
     finally:
         for td in dictionaries.values():
             td.release()
-        points.unpersist()
         elements.unpersist()
 
 

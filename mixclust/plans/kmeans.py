@@ -9,19 +9,16 @@ must be persisted by the caller (they are scanned once per iteration).
 from __future__ import annotations
 
 import time
-from collections.abc import Collection, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import partial
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import point_distance
 from ..operators.assign import TermDictionary, assign, assign_2d, build_dictionaries
-from ..operators.update import (
-    byte_means, centroids_frame, cluster_sums, keep_empty, mean_centroids, medoids, with_movement,
-)
+from ..operators.state import byte_means_of, cluster_states, means
+from ..operators.update import centroids_frame, cluster_sums, keep_empty, mean_centroids, medoids_of, with_movement
 from .geometry import Geometry
 
 
@@ -41,7 +38,7 @@ def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[st
     """K3 update: means over all points + medoids over the first m points (by id, then
     terms). With m = 1 the medoid is the first point's term itself, so it rides along in
     the means aggregation as min(struct(id, terms)) and the iteration is a single pass.
-    With m > 1 the assigned points are persisted for the iteration, and feed both."""
+    With m > 1 the first m points of each cluster are kept beside the sums, in the same pass."""
     if not geom.use_categoricals or not geom.categoricals:
         return mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
     cats = geom.categorical_columns
@@ -51,36 +48,21 @@ def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[st
             F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"__s_{c}") for c in geom.numeric_columns], first)
         return agg.select("cluster_id", "n", *[(F.col(f"__s_{c}") / F.col("n")).alias(c) for c in geom.numeric_columns],
                           *[F.col(f"__first.{c}").alias(c) for c in cats])
-    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
-    scratch.append(assigned)
-    means = mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
+    # k rows, with the sample: they are read twice by the medoids' pairs
     sample_order = list(dict.fromkeys([*order_cols, *cats]))
-    return means.join(medoids(assigned, geom, geom.samples_for_medoid, sample_order), "cluster_id", "left")
+    states = cluster_states(assigned, geom.numeric_columns, order=sample_order, sampled=cats, m=geom.samples_for_medoid)
+    states = assigned.sparkSession.createDataFrame(states.collect(), states.schema)
+    sample = states.select("cluster_id", F.posexplode("sample").alias("__rn", "__s")).select("cluster_id", (F.col("__rn") + 1).alias("__rn"), "__s.*")
+    return states.select("cluster_id", "n", *means(states, geom.numeric_columns)).join(medoids_of(sample, geom), "cluster_id", "left")
 
 
-def update_partial_sums(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str], scratch: list[DataFrame],
-                        few_terms: Collection[str] = ()) -> DataFrame:
-    """K4 update: one pass per cluster for sums, counts and the length of each shortest term
-    (k rows), then per categorical the byte sums up to that length, map-side. Only a column in
-    `few_terms` (it has a dictionary) is counted per (cluster, term) first. With categoricals the
-    assigned points are persisted, so the assignment -- the n*k part -- runs once per iteration."""
+def update_partial_sums(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str], scratch: list[DataFrame]) -> DataFrame:
+    """K4 update: one pass that keeps sums, counts and byte sums cut to the shortest term per cluster and task."""
     cats = geom.categorical_columns if geom.use_categoricals else []
     if not cats:
         return mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
-    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
-    scratch.append(assigned)
-    sums = assigned.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"__s_{c}") for c in geom.numeric_columns],
-        *[F.min(F.octet_length(c)).alias(f"__l_{c}") for c in cats])
-    out = sums.select("cluster_id", "n", *[(F.col(f"__s_{c}") / F.col("n")).alias(c) for c in geom.numeric_columns])
-    for c in cats:
-        limits = sums.select("cluster_id", F.col(f"__l_{c}").alias("__L"), F.col("n").alias("__N"))
-        if c in few_terms:
-            terms = assigned.groupBy("cluster_id", c).agg(F.count(F.lit(1)).alias("__n"))
-        else:
-            terms = assigned.select("cluster_id", c, F.lit(1).alias("__n"))
-        out = out.join(F.broadcast(byte_means(terms, c, limits=limits)), "cluster_id", "left")
-    return out
+    states = cluster_states(assigned, geom.numeric_columns, cats)
+    return states.select("cluster_id", "n", *means(states, geom.numeric_columns), *byte_means_of(cats))
 
 
 UPDATES = {"Standard": update_standard, "PartialSums": update_partial_sums}
@@ -107,8 +89,6 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
     own = dictionaries is None
     if own:
         dictionaries = build_dictionaries(points, geom, plan, n_points, k=len(seeds))
-    if update is update_partial_sums:
-        update = partial(update_partial_sums, few_terms=frozenset(dictionaries))
     columns = [*geom.numeric_columns, *geom.categorical_columns]
     centroids = sorted(seeds, key=lambda c: c["cluster_id"])
     movements: list[dict[int, float]] = []

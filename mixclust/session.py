@@ -41,20 +41,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small source in fewer partitions than the session has cores, dealt out to all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by whoever submits the job (HDFS/S3/...).
-    Only when it is unset (tests, local runs) a fresh local folder is taken and the
-    setting is written back to the session, so later calls agree.
+    Only when it is unset (tests, local runs) a fresh local folder is taken, one for each
+    application (the setting itself cannot be changed once a session runs).
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this job")
-        base = tempfile.mkdtemp(prefix="mixclust-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="mixclust-ckpt-", dir="/tmp")
+        base = _LOCAL_DIRS[app]
     return base if sub is None else base.rstrip("/") + "/" + sub
 
 

@@ -35,12 +35,24 @@ def job_lines(lines: Column) -> Column:
     return F.filter(lines, lambda x: x.rlike(JOB_LINE))
 
 
+def job_seconds(logs: DataFrame) -> Column:
+    """Seconds of each finished job of a log."""
+    lines = job_lines(F.split("log", r"\r?\n"))
+    seconds = F.transform(lines, lambda x: F.regexp_extract(x, JOB_SECONDS, 1).try_cast("double"))
+    return F.filter(seconds, lambda x: x.isNotNull())
+
+
+def trial_totals(logs: DataFrame) -> DataFrame:
+    """One row per trial: number of runs, finished jobs, and their seconds over all logs of the trial."""
+    each = logs.select("trial", job_seconds(logs).alias("s"))
+    each = each.select("trial", F.size("s").cast("long").alias("jobs"), F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("seconds"))
+    return each.groupBy("trial").agg(F.count(F.lit(1)).alias("runs"), F.sum("jobs").alias("jobs"), F.sum("seconds").alias("total_seconds"))
+
+
 def compare_runs(logs: DataFrame) -> DataFrame:
     """One row per run of each trial: total job seconds, and the figures between the two
     markers of its quality report."""
-    lines = F.split("log", r"\r?\n")
-    seconds = F.transform(job_lines(lines), lambda x: F.regexp_extract(x, JOB_SECONDS, 1).try_cast("double"))
-    total = F.aggregate(F.filter(seconds, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(job_seconds(logs), F.lit(0.0), lambda a, x: a + x)
     report = F.split(F.regexp_extract("log", rf"(?s){BEGIN_QUALITY}[^\n]*\n(.*?){END_QUALITY}", 1), r"\r?\n")
     picked = []
     for name, (pattern, kind) in QUALITY_FIELDS.items():

@@ -34,15 +34,20 @@ def centroid_text(centroids: DataFrame, geom: Geometry) -> DataFrame:
     return centroids.select("cluster_id", render_element(F.lit("centroid"), nums, cats).alias("value"))
 
 
+def number(x: float | None) -> float:
+    """A figure that does not exist is printed as nan."""
+    return float("nan") if x is None else x
+
+
 def report_lines(quality_row: dict, stats_rows: list[dict], rendered: dict[int, str]) -> list[str]:
     """R6 text (k + 7 lines). `rendered`: cluster_id -> centroid rendering."""
     lines = [
         BEGIN,
         f"Num of centroids:\t{quality_row['num_centroids']}",
-        f"Num of points:\t\t{quality_row['num_points']}",
+        f"Num of points:\t\t{quality_row['num_points'] or 0}",
         f"Num of Iteration:\t{quality_row['num_iterations']}",
-        "Inter Avg Distance\t%3f" % (quality_row["inter_avg_distance"] if quality_row["inter_avg_distance"] is not None else float("nan")),
-        "Intra Avg Distance:\t%3f" % quality_row["intra_avg_distance"],
+        "Inter Avg Distance\t%3f" % number(quality_row["inter_avg_distance"]),
+        "Intra Avg Distance:\t%3f" % number(quality_row["intra_avg_distance"]),
         RADIUS_HEADER,
     ]
     for s in sorted(stats_rows, key=lambda r: r["cluster_id"]):

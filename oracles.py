@@ -8,7 +8,7 @@ order as the library's expressions so that doubles agree bit for bit before roun
 from __future__ import annotations
 
 from workloads import (
-    CONVERGE_EPSILON, HICARD_WEIGHTS, INIT_2D, ITERATIONS, JOB_ITERATIONS, JOB_K, JOB_WEIGHTS, LINE_COLS, LOCAL_INIT_POSITIONS, MANY_K, ORDERS_WEIGHTS,
+    CONVERGE_EPSILON, HICARD_WEIGHTS, INIT_2D, ITERATIONS, JOB_ITERATIONS, JOB_K, JOB_WEIGHTS, LINE_COLS, LOCAL_INIT_POSITIONS, CUSTOM_K, MANY_K, ORDERS_WEIGHTS,
     PART_K, PART_WEIGHTS, R,
 )
 
@@ -380,6 +380,19 @@ def oracle_sql() -> dict[str, str]:
     # --- many centroids; distances that are NULL
     q["assign_k300"] = with_(part_pts_ctes() + [seeds_cte("c0", MANY_K), assign_cte("a", "c0", mixed)],
                              "SELECT id, cluster_id, round(dist, 9) AS distance FROM a")
+    share = "(CAST(abs(length(p.p_name) - length(c.p_name)) AS DOUBLE) / CAST(greatest(length(p.p_name), length(c.p_name), 1) AS DOUBLE))"
+    own = f"(((0.5 * {feature_dist('numeric', ['p_size'], 'p.', 'c.')}) + (0.5 * {share})) / 2.0)"
+    q["assign_custom_distance"] = with_(part_pts_ctes() + [seeds_cte("c0", CUSTOM_K), assign_cte("a", "c0", own)],
+                                        "SELECT id, cluster_id, round(dist, 9) AS distance FROM a")
+    ctes = [*orders_pts_ctes(), seeds_cte("c0", 5)]
+    for i in range(1, ITERATIONS + 1):
+        ctes += [assign_cte(f"a{i}", f"c{i - 1}", element_dist(ORDERS, ORDERS_WEIGHTS, 0, "p.", "c.")),
+                 f"c{i} AS (SELECT cluster_id, (min(o_totalprice) + max(o_totalprice)) / 2 AS o_totalprice, (min(o_custkey) + max(o_custkey)) / 2 AS o_custkey FROM a{i} GROUP BY cluster_id)"]
+    q["kmeans_custom_update"] = with_(ctes, f"SELECT cluster_id, round(o_totalprice, 6) AS o_totalprice, round(o_custkey, 6) AS o_custkey FROM c{ITERATIONS}")
+    q["coord_reducers"] = "SELECT " + ", ".join(f"min({c}) AS min_{c}, max({c}) - min({c}) AS spread_{c}, count({c}) AS known_{c}" for c in ("o_totalprice", "o_custkey")) + " FROM orders"
+    q["run_trials"] = ("SELECT 't' || CAST(o_custkey % 5 AS VARCHAR) AS trial, count(*) FILTER (o_orderkey % 3 <> 0) AS jobs, "
+                       "sum(floor(o_totalprice)) FILTER (o_orderkey % 3 <> 0) AS total_seconds "
+                       "FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1")
     den = "(sqrt(p.x * p.x + p.y * p.y) * sqrt(c.x * c.x + c.y * c.y))"
     pair = [*orders_pts_ctes(), seeds_cte("s4", 4),
             "c0 AS (SELECT cluster_id, o_totalprice AS x, o_custkey AS y FROM s4 UNION ALL SELECT 4, 0.0, 0.0)",

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,10 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from mixclust.session import local_session
 
-    s = local_session("*", 8, app="mixclust-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="mixclust-test-", dir="/tmp"))
-    yield s
+    yield local_session("*", 8, app="mixclust-tests")
 
 
 SPAM_WEIGHTS = {"space": 0.2, "time": 0.1, "size": 0.1, "IP": 0.2, "uri": 0.2, "botname": 0.2}

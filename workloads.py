@@ -6,11 +6,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import mixclust.functions as MF
+from mixclust.functions.distances import register_distance
 from mixclust.operators.assign import assign, assign_2d
 from mixclust.operators.evaluate import centroid_pairs, cluster_stats, evaluate, inter_distance
 from mixclust.operators.featurize import featurize_spam, featurize_spam_reduced, split_valid
@@ -20,11 +23,11 @@ from mixclust.operators.update import centroids_frame
 from mixclust.plans.geometry import Geometry, cols
 from mixclust.plans.job import run_job, run_job_on
 from mixclust.plans.kmeans import kmeans_2d, kmeans_mixed, local_init
-from mixclust.plans.params import SPAM_FEATURES, ClusterParams, categorical, numeric
-from mixclust.session import fresh_dir
+from mixclust.plans.params import SPAM_FEATURES, ClusterParams, FeatureSpec, categorical, numeric
+from mixclust.session import fresh_dir, spread
 from mixclust.sources.json_lines import CORRUPT, SPAM_SCHEMA, read_json_lines
 from mixclust.sources.points_text import random_points, read_points_text
-from mixclust.sources.runlog import JOB_LINE, compare_runs, read_run_logs
+from mixclust.sources.runlog import JOB_LINE, compare_runs, read_run_logs, trial_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +47,7 @@ ITERATIONS = 3
 INIT_2D = [(0.1, 0.1), (0.5, 0.5), (0.9, 0.9)]
 LOCAL_INIT_POSITIONS = (0, 2, 6)
 MANY_K = 300
+CUSTOM_K = 40
 HICARD_FEATURES = (numeric("price", "o_totalprice"), categorical("tag", "tag"))
 HICARD_WEIGHTS = {"price": 0.5, "tag": 0.5}
 CONVERGE_EPSILON = 0.01
@@ -391,6 +395,48 @@ def q_assign_k300(spark, d):
     return out.select("id", "cluster_id", rnd("distance", 9).alias("distance"))
 
 
+def q_assign_custom_distance(spark, d):
+    """A pandas_udf as a string distance (U2), with more centroids than are spelled out as literals."""
+    @F.pandas_udf("double")
+    def length_share(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = a.str.len(), b.str.len()
+        return (x - y).abs() / np.maximum(np.maximum(x, y), 1)
+
+    register_distance("categorical", "lengthShare", length_share)
+    pts, _ = part_points(spark, d)
+    g = Geometry((numeric("size", "p_size"), FeatureSpec("name", "categorical", ("p_name",), "lengthShare")), {"size": 0.5, "name": 0.5}, 1)
+    return assign(pts, part_seeds(pts, CUSTOM_K), g).select("id", "cluster_id", rnd("distance", 9).alias("distance"))
+
+
+def q_kmeans_custom_update(spark, d):
+    """A further mode (U1): a centroid is the middle of its cluster's box."""
+    def midrange(assigned, geom, order_cols, scratch):
+        return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), *[((F.min(c) + F.max(c)) / 2).alias(c) for c in geom.numeric_columns])
+
+    pts = orders_points(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    g = Geometry(ORDERS_FEATURES, ORDERS_WEIGHTS, 0, updates={"Midrange": midrange})
+    seeds = [{k: v for k, v in r.asDict().items() if k != "id"} for r in sample_seeds(pts, 5).collect()]
+    res = kmeans_mixed(pts, seeds, g, "Midrange", epsilon=-1.0, max_iter=ITERATIONS)
+    pts.unpersist()
+    return centroid_output(spark, res.centroids, g)
+
+
+def q_coord_reducers(spark, d):
+    """Limits with further reducers."""
+    reducers = (("min", F.min), ("spread", lambda c: F.max(c) - F.min(c)), ("known", F.count))
+    return coord_limits(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], reducers)
+
+
+def q_run_trials(spark, d):
+    """Totals of trials over logs that are made of the orders: a log for each customer, a line for each order."""
+    out = fresh_dir(spark, "trial-logs")
+    o = table(spark, d, "orders").where("o_custkey is not null")
+    line = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.lit("Task")).otherwise("Job"), F.lit(" finished: step, took "), F.floor("o_totalprice").cast("string"), F.lit(" s"))
+    o = o.select(F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string")).alias("run_label"), line.alias("value"))
+    o.repartition(8).write.partitionBy("run_label").text(out)
+    return trial_totals(read_run_logs(spark, out)).select("trial", "jobs", "total_seconds")
+
+
 def _assign_pair(spark, d, distance: str) -> DataFrame:
     """Orders as one 2-D feature; a zero vector among the seeds, and points with a NULL coordinate."""
     pts = orders_points(spark, d)
@@ -419,7 +465,7 @@ def q_assign_nearest_2d(spark, d):
 
 def _part_kmeans(spark, d, mode: str, m: int) -> DataFrame:
     pts, _ = part_points(spark, d)
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    pts = spread(pts).persist(StorageLevel.MEMORY_AND_DISK)
     g = part_geometry(m)
     res = kmeans_mixed(pts, part_seeds(pts), g, mode, epsilon=-1.0, max_iter=ITERATIONS)
     pts.unpersist()
@@ -650,6 +696,10 @@ QUERIES: dict[str, Query] = {
     "json_rejects": q_json_rejects,
     "ip_similarity_edges": q_ip_similarity_edges,
     "assign_k300": q_assign_k300,
+    "assign_custom_distance": q_assign_custom_distance,
+    "kmeans_custom_update": q_kmeans_custom_update,
+    "coord_reducers": q_coord_reducers,
+    "run_trials": q_run_trials,
     "assign_cosine": q_assign_cosine,
     "assign_manhattan": q_assign_manhattan,
     "kmeans_partialsums_hicard": q_kmeans_partialsums_hicard,
