@@ -28,10 +28,20 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (similarity NEAR or more, over any number of links) the document with the
-    smallest id; of rows that repeat an id, one."""
-    kept = near_components(docs, NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    smallest id. Different texts of one id are documents of their own: the one of least hash has the id in
+    that comparison, the others come after all ids. Of rows with equal id and text one stays, the least in the other
+    columns; rows without an id all stay."""
+    docs = docs.select(*COLUMNS)
+    text_hash = F.xxhash64("text")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(text_hash).alias("first")).where("n > 1")
+    known = docs.where("doc_id is not null").join(repeated.select("doc_id", "first"), "doc_id", "left")
+    other = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    known = known.withColumn("own", F.when(F.col("first").isNull() | (F.col("first") == text_hash), F.col("doc_id")).otherwise(other))
+    kept = near_components(known.select(F.col("own").alias("doc_id"), "text"), NEAR).where("kept").select(F.col("doc_id").alias("own")).distinct()
+    known = known.join(kept, "own", "left_semi")
+    once = known.where("first is null").select(*COLUMNS)
+    least = known.where("first is not null").groupBy("own").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return once.unionByName(least).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
