@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mixclust.llm.components import components
 from mixclust.llm.near_dedup import _set_hashes
-from mixclust.llm.set_links import cross_links, partners, verified_links, with_counts
+from mixclust.llm.set_links import MANY, cross_links, partners, verified_links, with_counts
 from mixclust.llm.setsketch import shingle_sets
 from mixclust.llm.words import Words, join_ids, mix, row_blocks
 from mixclust.session import written
@@ -42,10 +42,13 @@ WORDS = 4
 PERCENT = 85
 RARE = 8
 SHORT = 128
+BROADCAST = 32 << 20
+ROW_BYTES = 64  # of a row of two ids in a broadcast, at most
 
 _NODE = "doc_id long, n long, h long, h2 long, shingles binary"
 _SET = "d long, k long, shingles binary"
-_INDEX = "d long, k long, n long, most long, own long, keys binary, shingles binary"
+_INDEX = "d long, k long, n long, own long, keys binary, shingles binary"
+_ROWS = "key long, most long, doc long, h long, n long, own long"
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -96,24 +99,30 @@ def _promising(percent: int):
     return use
 
 
-def keys_of(tokens: np.ndarray, count: np.ndarray, percent: int, rare: int, short: int) -> np.ndarray:
-    """Index keys of one set. ``count``: the number of sets that hold each token."""
+def keys_of(tokens: np.ndarray, count: np.ndarray, percent: int, rare: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set, and for each the most tokens that the set can have in common with another if the key is among
+    the first that they have in common. ``count``: the number of sets that hold each token."""
     order = np.lexsort((tokens, count))
     tokens, count = tokens[order], count[order]
     n = len(tokens)
     least = int(needed(np.int64(n), percent))
-    keys = []
+    keys, common = [], []
     combined = percent * n <= 100 * short and 2 * (100 - percent) <= percent  # the smaller of a pair can be short, and has two in common
     if combined:
-        prefix = slice(0, min(n, n - least + 2))
-        few, many = tokens[prefix][count[prefix] <= rare], tokens[prefix][count[prefix] > rare]
-        keys.append(mix(few[count[prefix][: len(few)] > 1] ^ np.uint64(0x5851F42D4C957F2D)))
+        own, some, end = (int(np.searchsorted(count, c, "right")) for c in (1, rare, n + MANY))
+        end = min(end, n - least + 2)
+        few = np.arange(own, max(own, min(some, end)))
+        keys.append(mix(tokens[few] ^ np.uint64(0x5851F42D4C957F2D)))
+        common.append(n - few + 1)  # one more can come before
+        many = np.arange(min(some, end), end)
         i, j = np.triu_indices(len(many), 1)
-        keys.append(join_ids(many[i], many[j]))
+        keys.append(join_ids(tokens[many[i]], tokens[many[j]]))
+        common.append(n - many[j] + 1)
     if n > short or not combined:
-        prefix = slice(0, n - least + 1)
-        keys.append(mix(tokens[prefix][count[prefix] > 1] ^ np.uint64(0x14057B7EF767814F)))
-    return np.unique(np.concatenate(keys))
+        at = np.arange(int(np.searchsorted(count, 1, "right")), n - least + 1)
+        keys.append(mix(tokens[at] ^ np.uint64(0x14057B7EF767814F)))
+        common.append(n - at)
+    return np.concatenate(keys), np.concatenate(common)
 
 
 def _indexed(percent: int, rare: int, short: int):
@@ -122,22 +131,30 @@ def _indexed(percent: int, rare: int, short: int):
         n = np.diff(offs)
         shared = total[offs[1:]] - total[offs[:-1]]
         ok, most = partners(percent, n, shared)
-        keys = [keys_of(elements[a:b], count[a:b], percent, rare, short).tobytes() if good else None for a, b, good in zip(offs[:-1], offs[1:], ok, strict=True)]
-        out = pa.table({"d": own["d"], "k": own["k"], "n": pa.array(n, pa.int64()), "most": pa.array(most, pa.int64()), "own": pa.array(1000 * (n - shared) // np.maximum(n, 1), pa.int64()), "keys": pa.array(keys, pa.binary()), "shingles": own["shingles"]})
+        keys = []
+        for a, b, good, best in zip(offs[:-1], offs[1:], ok, most, strict=True):
+            if good:
+                key, common = keys_of(elements[a:b], count[a:b], percent, rare, short)
+                reach = np.minimum(common * (100 + percent) // percent - (b - a), best)
+                keys.append(key.tobytes() + reach.astype(np.uint64).tobytes())
+            else:
+                keys.append(None)
+        out = pa.table({"d": own["d"], "k": own["k"], "n": pa.array(n, pa.int64()), "own": pa.array(1000 * (n - shared) // np.maximum(n, 1), pa.int64()), "keys": pa.array(keys, pa.binary()), "shingles": own["shingles"]})
         return out.filter(pa.array(ok))
 
     return use
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each key of a set."""
+    """One row for each key of a set; most: the largest partner that can have that key among the first in common."""
     for b in batches:
         for at in range(0, b.num_rows, 512):
             some = b.slice(at, 512)
             parts = some["keys"].to_pylist()
-            row = np.repeat(np.arange(len(parts)), [len(p) // 8 for p in parts])
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(parts), np.int64)), *(some[c].take(take) for c in ("d", "k", "n", "most", "own"))], names=["key", "doc", "h", "n", "most", "own"])
+            size = [len(p) // 16 for p in parts]
+            take = pa.array(np.repeat(np.arange(len(parts)), size))
+            both = [np.concatenate([np.empty(0, np.int64), *(np.frombuffer(p, np.int64, k, f * 8 * k) for p, k in zip(parts, size, strict=True))]) for f in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), *(some[c].take(take) for c in ("d", "k", "n", "own"))], names=["key", "most", "doc", "h", "n", "own"])
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, rare: int = RARE, short: int = SHORT) -> DataFrame:
@@ -150,14 +167,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     named = nodes.select("d", F.col("h").alias("k"), "n", "shingles")
     promising = written(with_counts(named, _promising(percent), "d long, k long"), "promising")
 
-    sets = docs.join(promising.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(_full_sets(words), _SET)
+    promising = promising.withColumnRenamed("d", "doc_id")
+    if promising.count() * ROW_BYTES <= BROADCAST:
+        promising = F.broadcast(promising)  # else both are shuffled
+    sets = docs.join(promising, "doc_id").mapInArrow(_full_sets(words), _SET)
     sets = written(sets.dropDuplicates(["d", "k"]), "sets")
     sets = written(with_counts(sets, _indexed(percent, rare, short), _INDEX), "indexed")
-    index = sets.select("d", "k", "n", "most", "own", "keys").mapInArrow(_rows, "key long, doc long, h long, n long, most long, own long")
-    index = written(index, "index")
+    index = written(sets.select("d", "k", "n", "own", "keys").mapInArrow(_rows, _ROWS), "index")
 
-    head = index.groupBy("key").agg(F.min(F.struct("own", "doc", "h", "n", "most")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    members = written(index.join(head, "key"), "buckets")
+    head = index.groupBy("key").agg(F.min(F.struct("own", "doc", "h", "n", "most")).alias("first"), F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1").drop("size")
+    members = written(index.join(head, "key").where("most >= least").drop("least"), "buckets")
     star = members.where("first.h <> h and n <= first.most and first.n <= most").select(F.col("first.doc").alias("a"), F.col("first.h").alias("ha"), F.col("doc").alias("b"), F.col("h").alias("hb")).distinct()
     links = verified_links(star, sets, percent)
     labels = components(links)
