@@ -18,6 +18,7 @@ from mixclust.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = 0.8
+MOST_BROADCAST = 500_000  # rows of an id and a hash; more are shuffled
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     docs = docs.select(*COLUMNS)
     text_hash = F.xxhash64("text")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(text_hash).alias("first")).where("n > 1")
-    known = docs.where("doc_id is not null").join(repeated.select("doc_id", "first"), "doc_id", "left")
+    repeated = written(repeated.select("doc_id", "first"), "repeated-ids")
+    known, n = docs.where("doc_id is not null"), repeated.count()
+    if n == 0:
+        known = known.withColumn("first", F.lit(None).cast("long"))
+    else:
+        known = known.join(F.broadcast(repeated) if n <= MOST_BROADCAST else repeated, "doc_id", "left")
     other = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
     known = known.withColumn("own", F.when(F.col("first").isNull() | (F.col("first") == text_hash), F.col("doc_id")).otherwise(other))
     kept = near_components(known.select(F.col("own").alias("doc_id"), "text"), NEAR).where("kept").select(F.col("doc_id").alias("own")).distinct()
