@@ -245,6 +245,40 @@ def _assign_columns(points: DataFrame, centroids: list[dict], geom: Geometry, di
 def assign_2d(points: DataFrame, centroids: list[tuple[int, float, float]], x: str = "x", y: str = "y",
               id_col: str = "cluster_id", distance_col: str | None = None) -> DataFrame:
     """Euclidean nearest of (cluster_id, cx, cy) centroids, ties to the later one."""
-    cands = [(point_distance(F.col(x), F.col(y), F.lit(float(cx)), F.lit(float(cy))), int(cid))
-             for cid, cx, cy in centroids]
-    return _with_best(points, _argmin(cands), id_col, distance_col)
+    return _with_best(points, _argmin(_candidates_2d(centroids, x, y)), id_col, distance_col)
+
+
+def _candidates_2d(centroids: list[tuple[int, float, float]], x: str, y: str) -> list[tuple[Column, int]]:
+    return [(point_distance(F.col(x), F.col(y), F.lit(float(cx)), F.lit(float(cy))), int(cid)) for cid, cx, cy in centroids]
+
+
+def anchor_2d(points: DataFrame, centroids: list[tuple[int, float, float]], x: str = "x", y: str = "y") -> DataFrame:
+    """x, y, anchor_id (as by assign_2d), nearest and second: the distances of the nearest centroid and of the next
+    (infinite for a single centroid). They are the bounds that assign_bounded_2d loosens."""
+    each = [(F.col(f"__d{j}"), cid) for j, (_, cid) in enumerate(_candidates_2d(centroids, x, y))]
+    apart = points.select(x, y, *[d.alias(f"__d{j}") for j, (d, _) in enumerate(_candidates_2d(centroids, x, y))])
+    ranked = _with_best(apart, _argmin(each), "anchor_id", "nearest")
+    others = [F.when(F.col("anchor_id") != cid, d) for d, cid in each]
+    return ranked.select(x, y, "anchor_id", "nearest", F.least(F.lit(float("inf")), *others).alias("second"))
+
+
+def assign_bounded_2d(anchored: DataFrame, anchors: list[tuple[int, float, float]], centroids: list[tuple[int, float, float]],
+                      x: str = "x", y: str = "y", id_col: str = "cluster_id", certain_col: str = "certain") -> DataFrame:
+    """J2 with bounds (Euclid only): ``anchored`` holds the distances to the centroids ``anchors``, which have moved to
+    ``centroids`` since. By the triangle inequality a point is at most nearest + (way of its centroid) from its own, and
+    at least second - (longest way) from any other. Where the former is less, ``certain_col`` is true and no distance is
+    computed; the other points are compared with all centroids. Same ids as assign_2d."""
+    where = {cid: (cx, cy) for cid, cx, cy in centroids}
+    way = {cid: float(np.hypot(where[cid][0] - cx, where[cid][1] - cy)) for cid, cx, cy in anchors}
+    own = F.lit(0.0)
+    for cid, w in way.items():
+        if w:
+            own = F.when(F.col("anchor_id") == cid, F.lit(w)).otherwise(own)
+    longest = F.lit(max(way.values()))
+    below, above = F.col("nearest") + own, F.col("second") - longest
+    # the margin covers the rounding of distances, so that a tie is never decided by the bounds
+    sure = F.coalesce((above - below > (below + longest) * 1e-9) & ~F.isnan("second"), F.lit(False)) & F.col("anchor_id").isNotNull()
+    best = _argmin(_candidates_2d(centroids, x, y))
+    df = anchored.withColumn(certain_col, sure).withColumn("__best", F.when(~F.col(certain_col), best))
+    found = F.when(~F.isnan("__best.d"), -F.col("__best.o")).cast("int")
+    return df.withColumn(id_col, F.when(F.col(certain_col), F.col("anchor_id")).otherwise(found)).drop("anchor_id", "nearest", "second", "__best")

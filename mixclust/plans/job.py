@@ -23,6 +23,7 @@ from ..sources.sinks import centroid_text, report_lines, run_label, write_run
 from .geometry import Geometry
 from .kmeans import KMeansResult, kmeans_mixed
 from .params import JOB_KEYS, PARAMETER_KEYS, SPAM_FEATURES, ClusterParams, require_keys, suggest_k_value
+from .progress import Progress
 
 
 @dataclass
@@ -48,11 +49,14 @@ class JobResult:
     assignments: DataFrame          # lazy: every element (un-scaled) with cluster_id and distance
 
 
-def prepare_points(elements: DataFrame, geom: Geometry, log: JobLog) -> tuple[DataFrame, Limits]:
+def prepare_points(elements: DataFrame, geom: Geometry, log: JobLog, earlier: dict | None = None) -> tuple[DataFrame, Limits]:
     """K1 on the elements. They are persisted (memory, spilling to disk; a small source is dealt to all
     cores first) before the limits are
-    taken, so the input is parsed once; a lost partition is rebuilt from the scan."""
+    taken, so the input is parsed once; a lost partition is rebuilt from the scan. `earlier`: the start of
+    the run that is resumed, which holds the limits."""
     elements = spread(elements).persist(StorageLevel.MEMORY_AND_DISK)
+    if earlier:
+        return elements, {c: tuple(v) for c, v in earlier["limits"].items()}
     limits = log.timed("limits", lambda: fetch_limits(elements, geom.numeric_columns))
     return elements, limits
 
@@ -69,20 +73,40 @@ def read_records(spark: SparkSession, path: str, featurizer=featurize_spam, nume
 
 def run_job_on(elements: DataFrame, params: ClusterParams, features=SPAM_FEATURES, out_root: str | None = None,
                label: str | None = None, evaluate_output: bool = True, init: list[dict] | None = None,
-               rejects: DataFrame | None = None, source: str = "", empty: str = "drop", geometry: Geometry | None = None) -> JobResult:
+               rejects: DataFrame | None = None, source: str = "", empty: str = "drop", geometry: Geometry | None = None,
+               progress_dir: str | None = None) -> JobResult:
     """K8 on elements (an `id` column, the features' coordinates and terms): scale, seed (or start
-    from `init`: rows of un-scaled coordinates and terms), cluster, un-scale, evaluate, write."""
+    from `init`: rows of un-scaled coordinates and terms), cluster, un-scale, evaluate, write.
+
+    With `progress_dir`, a shared folder of this job alone, seeds, limits and each iteration's centroids are kept there. A run that finds
+    them goes on after the last whole iteration, and ends with the same centroids as a run without a break; it must have
+    the same input, number of points and parameters, except that max_iter may be raised (ValueError otherwise)."""
     spark = elements.sparkSession
     for k, v in JOB_CONF.items():  # runtime SQL options; a spark-submit session has none of them
         spark.conf.set(k, v)
     geom = geometry or Geometry(features, params.validate(features), params.samples_for_medoid)
     log = JobLog()
-    elements, limits = prepare_points(elements.select("id", *geom.numeric_columns, *geom.categorical_columns), geom, log)
+    progress = Progress(spark, progress_dir, geom) if progress_dir else None
+    settings = {"mode": params.mode, "k": params.k, "epsilon": params.epsilon, "seed": params.seed,
+                "samples_for_medoid": params.samples_for_medoid, "weights": params.weights, "input": source, "empty": empty, "init": init}
+    settings = json.loads(json.dumps(settings))
+    earlier = progress.started() if progress else None
+    if earlier and earlier["parameters"] != settings:
+        raise ValueError(f"{progress_dir} holds the iterations of a job with other parameters")
+    elements, limits = prepare_points(elements.select("id", *geom.numeric_columns, *geom.categorical_columns), geom, log, earlier)
     points = minmax_scale(elements, limits)  # a narrow projection of what is persisted
     dictionaries: dict = {}
     try:
         n = log.timed("count", points.count)
-        if init is None:
+        done = progress.last() if earlier else None
+        if earlier and earlier["n"] != n:
+            raise ValueError(f"{progress_dir} holds the iterations of a job on {earlier['n']} points, not {n}")
+        if done is not None and done.iterations > params.max_iter:
+            raise ValueError(f"{progress_dir} holds {done.iterations} iterations already, more than max_iter = {params.max_iter}")
+        if done is not None:
+            seeds = done.centroids
+            log.lines.append(f"Resumed after iteration:\t{done.iterations}")
+        elif init is None:
             k = suggest_k_value(n) if params.k == "auto" else int(params.k)
             seeds = log.timed("seeds", lambda: [r.asDict() for r in sample_seeds(points, k, "id", params.seed).collect()])
             for s in seeds:
@@ -90,9 +114,11 @@ def run_job_on(elements: DataFrame, params: ClusterParams, features=SPAM_FEATURE
         else:
             start = minmax_scale(centroids_frame(spark, [dict(c, cluster_id=i) for i, c in enumerate(init)], geom), limits)
             seeds = sorted((r.asDict() for r in start.collect()), key=lambda r: r["cluster_id"])
+        if progress and not earlier:
+            progress.begin(settings, n, limits, seeds)
         dictionaries = log.timed("dictionaries", lambda: build_dictionaries(points, geom, params.assign_plan, n, k=len(seeds)))
         res = kmeans_mixed(points, seeds, geom, params.mode, params.epsilon, params.max_iter, n_points=n,
-                           empty=empty, dictionaries=dictionaries)
+                           empty=empty, dictionaries=dictionaries, done=done, after=progress.save if progress else None)
         for i, secs in enumerate(res.seconds, start=1):
             log.lines.append(f"Job finished: iteration {i}, took {secs:.6f} s")
         cents_df = unscale(centroids_frame(spark, res.centroids, geom), limits)

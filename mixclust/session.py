@@ -74,10 +74,10 @@ def fresh_dir(spark: SparkSession, stem: str) -> str:
     return shared_dir(spark, f"{stem}-{uuid.uuid4().hex[:12]}")
 
 
-def written(df: DataFrame, stem: str) -> DataFrame:
+def written(df: DataFrame, stem: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: its lineage is one scan, which
     any executor can repeat after another is lost."""
     spark = df.sparkSession
     path = fresh_dir(spark, stem)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ order as the library's expressions so that doubles agree bit for bit before roun
 from __future__ import annotations
 
 from workloads import (
-    CONVERGE_EPSILON, HICARD_WEIGHTS, INIT_2D, ITERATIONS, JOB_ITERATIONS, JOB_K, JOB_WEIGHTS, LINE_COLS, LOCAL_INIT_POSITIONS, CUSTOM_K, MANY_K, ORDERS_WEIGHTS,
+    CONVERGE_EPSILON, HICARD_WEIGHTS, INIT_2D, IP_STRETCH, ITERATIONS, JOB_ITERATIONS, JOB_K, JOB_WEIGHTS, LINE_COLS, LOCAL_INIT_POSITIONS, CUSTOM_K, MANY_K, ORDERS_WEIGHTS,
     PART_K, PART_WEIGHTS, R,
 )
 
@@ -259,6 +259,12 @@ def oracle_sql() -> dict[str, str]:
        "round((a.acc / len(s.s1) + a.acc / len(s.s2)) / 2.0, 9) AS set_sim, "
        "round(a.acc / (len(s.s1) * len(s.s2)), 9) AS set_sim_norm FROM sets s JOIN acc a USING (o_orderkey)")
 
+    q["ip_set_similarity_large"] = with_([
+        f"base AS (SELECT CAST(floor(o_orderkey / {IP_STRETCH}) AS BIGINT) AS stretch, {ipa} AS ia, {ipb} AS ib FROM orders)",
+        "s1 AS (SELECT DISTINCT stretch, ia FROM base)", "s2 AS (SELECT DISTINCT stretch, ib FROM base)",
+        f"acc AS (SELECT stretch, sum({ip_sim('ia', 'ib')}) AS acc, count(DISTINCT ia) AS na, count(DISTINCT ib) AS nb FROM s1 JOIN s2 USING (stretch) GROUP BY stretch)",
+    ], "SELECT stretch, round((acc / na + acc / nb) / 2.0, 6) AS set_sim, round(acc / (na * nb), 9) AS set_sim_norm FROM acc")
+
     dot = _list_sum("v[i] * w[i]", N)
     norm = lambda a: f"sqrt({_list_sum(f'{a}[i] * {a}[i]', f'len({a})')})"
     q["vec_algebra"] = (f"WITH {EMB} SELECT vec_id, "
@@ -329,7 +335,7 @@ def oracle_sql() -> dict[str, str]:
     q["kmeans_partialsums"] = kmeans_mixed_sql(part_pts_ctes(), PART, PART_WEIGHTS, 1, "PartialSums", PART_K, ITERATIONS)
     q["kmeans_numeric_only"] = kmeans_mixed_sql(orders_pts_ctes(), ORDERS, ORDERS_WEIGHTS, 0, "Standard", 5, ITERATIONS)
     q["kmeans2d_step"] = kmeans_2d_sql(line_2d_ctes(), fixed_init(INIT_2D), 1)
-    q["kmeans2d_run"] = kmeans_2d_sql(line_2d_ctes(), fixed_init(INIT_2D), ITERATIONS)
+    q["kmeans2d_run"] = q["kmeans2d_cells"] = kmeans_2d_sql(line_2d_ctes(), fixed_init(INIT_2D), ITERATIONS)
     pos = ", ".join(str(p) for p in LOCAL_INIT_POSITIONS)
     init = ("c0 AS (SELECT CAST(list_position([" + pos + "], CAST(rn - 1 AS INTEGER)) - 1 AS INTEGER) AS cluster_id, x, y "
             "FROM (SELECT x, y, row_number() OVER (ORDER BY id) AS rn FROM pts2) WHERE rn - 1 IN (" + pos + "))")
@@ -435,6 +441,7 @@ def oracle_sql() -> dict[str, str]:
         q[f"full_job_{name}"] = with_(kmeans_mixed_ctes(job_pts, spam, weights, m, mode, JOB_K, JOB_ITERATIONS),
                                       f"SELECT cluster_id, {shown}, bot, uri FROM c{JOB_ITERATIONS} c, lim l")
     job = kmeans_mixed_ctes(job_pts, spam, weights, 1, "Standard", JOB_K, JOB_ITERATIONS) + quality_ctes(spam, weights, 1, f"c{JOB_ITERATIONS}")
+    q["full_job_resumed"] = q["full_job_standard"]
     q["full_job_quality"] = with_(job, "SELECT 'inter' AS item, num_centroids AS n, round(inter, 9) AS value FROM qr "
                                        "UNION ALL SELECT 'intra', num_points, round(intra, 9) FROM qr "
                                        "UNION ALL SELECT 'radius ' || CAST(cluster_id AS VARCHAR), n, round(radius, 9) FROM st "

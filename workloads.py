@@ -22,7 +22,7 @@ from mixclust.operators.seeds import sample_seeds, suggest_k
 from mixclust.operators.update import centroids_frame
 from mixclust.plans.geometry import Geometry, cols
 from mixclust.plans.job import run_job, run_job_on
-from mixclust.plans.kmeans import kmeans_2d, kmeans_mixed, local_init
+from mixclust.plans.kmeans import kmeans_2d, kmeans_2d_cells, kmeans_mixed, local_init
 from mixclust.plans.params import SPAM_FEATURES, ClusterParams, FeatureSpec, categorical, numeric
 from mixclust.session import fresh_dir, spread
 from mixclust.sources.json_lines import CORRUPT, SPAM_SCHEMA, read_json_lines
@@ -44,6 +44,7 @@ ORDERS_FEATURES = (numeric("price", "o_totalprice"), numeric("cust", "o_custkey"
 ORDERS_WEIGHTS = {"price": 0.5, "cust": 0.5}
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ITERATIONS = 3
+IP_STRETCH = 400
 INIT_2D = [(0.1, 0.1), (0.5, 0.5), (0.9, 0.9)]
 LOCAL_INIT_POSITIONS = (0, 2, 6)
 MANY_K = 300
@@ -239,6 +240,15 @@ def q_ip_set_similarity(spark, d):
                     rnd(MF.ip_set_similarity(s1, s2, normalize=True), 9).alias("set_sim_norm"))
 
 
+def q_ip_set_similarity_large(spark, d):
+    """P28 on sets of up to some hundred addresses: the orders of each stretch of keys."""
+    o = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / IP_STRETCH).alias("stretch")).agg(
+        F.concat_ws("-", F.collect_list(_orders_ip("o_orderkey", "o_custkey"))).alias("a"),
+        F.concat_ws("-", F.collect_list(_orders_ip("o_custkey", "o_orderkey"))).alias("b"))
+    return o.select("stretch", rnd(MF.ip_set_similarity("a", "b"), 6).alias("set_sim"),
+                    rnd(MF.ip_set_similarity("a", "b", normalize=True), 9).alias("set_sim_norm"))
+
+
 def q_ip_similarity_edges(spark, d):
     """P27 and P28 with short addresses, a trailing dot, and text that is no address."""
     o = table(spark, d, "orders")
@@ -546,6 +556,11 @@ def q_kmeans2d_run(spark, d):
     return out
 
 
+def q_kmeans2d_cells(spark, d):
+    """The same iterations on cell summaries."""
+    return _out_2d(spark, kmeans_2d_cells(line_points_2d(spark, d), INIT_2D, epsilon=-1.0, max_iter=ITERATIONS, per_cell=1 << 12))
+
+
 def q_kmeans2d_local_init(spark, d):
     pts = orders_points(spark, d).select("id", F.col("o_totalprice").alias("x"), F.col("o_custkey").alias("y"))
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
@@ -620,9 +635,12 @@ def q_run_compare(spark, d):
 
 # --- the full job (K8) -----------------------------------------------------------------------
 
+def _job_params(mode: str, m: int, max_iter: int = JOB_ITERATIONS) -> ClusterParams:
+    return ClusterParams(mode=mode, k=JOB_K, epsilon=-1.0, max_iter=max_iter, samples_for_medoid=m, weights=JOB_WEIGHTS)
+
+
 def _full_job(spark, d, mode: str, m: int):
-    params = ClusterParams(mode=mode, k=JOB_K, epsilon=-1.0, max_iter=JOB_ITERATIONS, samples_for_medoid=m, weights=JOB_WEIGHTS)
-    return run_job(spark, events_lines(spark, d, False), params)
+    return run_job(spark, events_lines(spark, d, False), _job_params(mode, m))
 
 
 def _job_centroids(spark, result) -> DataFrame:
@@ -641,6 +659,13 @@ def q_full_job_partialsums(spark, d):
     return _job_centroids(spark, _full_job(spark, d, "PartialSums", 1))
 
 
+def q_full_job_resumed(spark, d):
+    """A job that ended after its first iteration, taken up from its folder by a second one."""
+    lines, folder = events_lines(spark, d, False), fresh_dir(spark, "progress")
+    run_job(spark, lines, _job_params("Standard", 3, 1), progress_dir=folder, evaluate_output=False)
+    return _job_centroids(spark, run_job(spark, lines, _job_params("Standard", 3), progress_dir=folder, evaluate_output=False))
+
+
 def q_full_job_quality(spark, d):
     """Quality and statistics of the full job, and the sizes that its assignments add up to."""
     res = _full_job(spark, d, "Standard", 1)
@@ -710,4 +735,7 @@ QUERIES: dict[str, Query] = {
     "full_job_quality": q_full_job_quality,
     "run_report": q_run_report,
     "run_compare": q_run_compare,
+    "kmeans2d_cells": q_kmeans2d_cells,
+    "full_job_resumed": q_full_job_resumed,
+    "ip_set_similarity_large": q_ip_set_similarity_large,
 }
