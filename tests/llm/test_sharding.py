@@ -2,9 +2,10 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from mixclust.llm.queries import QUERIES
-from mixclust.llm.sharding import write_shards
+from mixclust.llm.sharding import scattered, write_shards
 from mixclust.session import fresh_dir
 
 from .conftest import SF
@@ -35,6 +36,21 @@ def test_repeatable_seeded_and_mixed(spark):
     assert abs(sum(one[:third]) / third - 1499.5) < 120  # ids are spread evenly
 
 
+def test_repeated_records_are_dealt_to_all_buckets(spark):
+    """A third of the rows are one record, a sixth others of null id and one text."""
+    docs = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 6 = 1 THEN NULL ELSE id END AS doc_id",
+        "CASE WHEN id % 3 = 0 THEN repeat('copy ', 20) WHEN id % 6 = 1 THEN 'same' ELSE concat('text ', id, repeat(' x', 40)) END AS text")
+    rows = scattered(docs.select("doc_id", "text"), 16, 42, 32_000)
+    sizes = [r.n for r in rows.groupBy("bucket").agg(F.sum("copies").alias("n")).collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 16 and max(sizes) < 2 * min(sizes)
+    assert rows.where("doc_id = 7").count() == 16 and rows.where("doc_id IS NULL").count() == 16  # no row for each copy
+    one = write_shards(docs, fresh_dir(spark, "shards"), 8, bucket_bytes=32_000).collect()
+    check(one, docs.collect(), 8)
+    two = write_shards(docs.repartition(5), fresh_dir(spark, "shards"), 8, bucket_bytes=32_000).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
+
+
 def test_empty_and_reserved_names(spark, none, rough):
     assert write_shards(none, fresh_dir(spark, "shards")).collect() == []
     with pytest.raises(ValueError):
