@@ -9,7 +9,9 @@
    group's distance bound for the cell.
 3. Queries of neighbouring cells form groups of at most GROUP. Each vector goes only to the groups whose bound
    it reaches, in tiles of about TILE vectors; each (group, tile) is solved alone by a block product, and the tiles'
-   k best are merged. No task holds more than one tile and one group, however large a cell is.
+   k best are merged. No task holds more than one tile and one group, however large a cell is. Tiles are
+   numbered along the cells, so a tile holds few cells, and a group's queries go, as one packed block, only to tiles that got
+   a vector for it.
 
 Defined cases: a vector that is null, or holds a null or a non-finite component, or has a null id takes no
 part. Of rows with one id the one with the least vector stands for it. Shorter vectors count as padded with
@@ -23,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,13 +133,19 @@ def groups(pivots: np.ndarray, queries: np.ndarray, most: int) -> tuple[np.ndarr
     return first, parts
 
 
+def _block(t: pa.Table) -> pa.Table:
+    """The queries of a group as one row."""
+    t = t.sort_by("vec_id").combine_chunks()
+    ids = t["vec_id"].to_numpy().astype(np.int64).tobytes()
+    return pa.table({"grp": t["grp"].slice(0, 1), "ids": pa.array([ids], pa.binary()), "v": pa.array([b"".join(t["v"].to_pylist())], pa.binary())})
+
+
 def _solve(dims: int, k: int) -> Callable[[pa.Table], pa.Table]:
     def one(t: pa.Table) -> pa.Table:
-        asked = t["asked"].to_numpy()
-        rows = t.filter(pa.array(~asked)).sort_by("vec_id")
+        rows = t.filter(pc.is_null(t["ids"])).sort_by("vec_id")
         ids, x = rows["vec_id"].to_numpy(), matrix(rows["v"].combine_chunks(), dims)
-        rows = t.filter(pa.array(asked))
-        own, q = rows["vec_id"].to_numpy(), matrix(rows["v"].combine_chunks(), dims)
+        rows = t.filter(pc.is_valid(t["ids"]))  # one
+        own, q = np.frombuffer(rows["ids"][0].as_py(), np.int64), matrix(rows["v"].combine_chunks(), dims)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(own) if len(ids) else 0, AT_ONCE):
             scores = products(q[at : at + AT_ONCE], x)
@@ -180,16 +189,18 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = K, pivots: int | None
     near = cells.select("cell", "vec_id", "distance", F.row_number().over(Window.partitionBy("cell").orderBy("distance", "vec_id")).alias("at")).where(F.col("at") <= k + 1)
     near = near.select("cell", "vec_id", "distance").toArrow()  # at most k + 1 rows a cell
     radius = np.full(len(p), -np.inf)
-    number = np.zeros(len(p), np.int64)
-    for r in cells.groupBy("cell").agg(F.max("distance").alias("radius"), F.count_if(queries).alias("asked")).collect():
-        radius[r["cell"]], number[r["cell"]] = r["radius"], r["asked"]
+    number, held = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    for r in cells.groupBy("cell").agg(F.max("distance").alias("radius"), F.count_if(queries).alias("asked"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r["cell"]], number[r["cell"]], held[r["cell"]] = r["radius"], r["asked"], r["n"]
     first, parts = groups(p, number, group)
 
     bounds = asked.mapInArrow(_bounds(p, near["cell"].to_numpy(), near["vec_id"].to_numpy(), near["distance"].to_numpy(), radius, first, parts, k), "grp int, cell int, least double")
     routes = bounds.groupBy("grp", "cell").agg(F.min("least").alias("least"))
-    tiles = max(1, -(-size["n"] // tile))
-    sent = cells.join(routes, "cell").where(F.col("distance") >= F.col("least"))
-    sent = sent.select("grp", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"), F.lit(False).alias("asked"), "vec_id", "v")
+    # vectors are numbered along the cells, at a hashed place within their own; `tile` numbers make a tile
+    along = spark.createDataFrame([(c, int(held[c]), int(held[:c].sum())) for c in range(len(p))], "cell int, held long, begin long")
+    reached = cells.join(F.broadcast(along), "cell").join(routes, "cell").where(F.col("distance") >= F.col("least"))
+    at = F.col("begin") + F.pmod(F.xxhash64("vec_id"), "held")
+    sent = reached.select("grp", F.floor(at / tile).cast("int").alias("tile"), "vec_id", F.lit(None).cast("binary").alias("ids"), "v")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +208,9 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = K, pivots: int | None
             yield pa.RecordBatch.from_arrays([pa.array(first[c] + split(own, parts[c]), pa.int32()), b["vec_id"], b["v"]], names=["grp", "vec_id", "v"])
 
     placed = asked.select("cell", "vec_id", "v").mapInArrow(place, "grp int, vec_id long, v binary")
-    placed = placed.select("grp", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(True).alias("asked"), "vec_id", "v")
-    solved = sent.union(placed).groupBy("grp", "tile").applyInArrow(_solve(dims, k), "query_id long, vec_id long, score long")
+    blocks = placed.groupBy("grp").applyInArrow(_block, "grp int, ids binary, v binary")
+    # reads no vector: which tiles of each group got one
+    blocks = sent.select("grp", "tile").distinct().join(blocks, "grp").select("grp", "tile", F.lit(None).cast("long").alias("vec_id"), "ids", "v")
+    solved = sent.union(blocks).groupBy("grp", "tile").applyInArrow(_solve(dims, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return solved.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -83,3 +83,14 @@ def test_query(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op10_top_k"](spark, SF).collect())) == brute(rows, lambda q: q % 50 == 0, 5)
     assert "op10_top_k" in ORACLE_SQL
+
+
+def test_queries_go_to_reached_tiles_only(spark):
+    """Two far lumps, each in tiles of its own: a group's block is in the tiles of its lump, and no row is a query times a tile."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (np.array([9.0, 0, 0]) if i % 2 else np.array([-9.0, 0, 0])) + rng.normal(0, 0.01, 3)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = top_k(df, F.col("vec_id") % 10 == 1, 3, pivots=8, tile=40)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" not in plan and plan.count("FlatMapGroupsInArrow") >= 2
+    assert sorted(map(tuple, out.collect())) == brute(rows, lambda q: q % 10 == 1, 3)
