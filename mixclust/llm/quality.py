@@ -9,9 +9,10 @@ The fit takes a bounded sample of the labelled rows (``sample``, a parameter): t
 least hash of their id. Their distinct features (at most DIMS each) go to the driver; scoring is one
 pass over the texts, in the tasks, with the weights sent along.
 
-Defined cases: null text counts as empty, and an empty text has no features: the score is the curve
-at the bias. Labels that are null, or without a document, or for the held-out fold are not used; an id
-with several labels takes their majority (a tie: 1), and of several texts all. Without labels of both
+Defined cases: null text counts as empty; an empty text has no n-grams, only the steps for no word and no
+repeat, and is scored by these. Labels that are null, or without a document, or for the held-out fold are not used; an id
+with several labels takes their majority (a tie: 1). An id may have several texts: their distinct features all count, up to
+``sample`` in the whole. Without labels of both
 classes every score is the share of label 1 (0.5 without labels). An empty table gives an empty result.
 """
 
@@ -159,7 +160,8 @@ def score_rows(col: pa.Array, model: dict) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> dict:
-    """Fit on at most ``sample`` labelled rows of ``docs`` outside the held-out fold."""
+    """Fit on at most ``sample`` labelled rows of ``docs`` outside the held-out fold, equal ones of an id taken once. Both the ids
+    and the rows are bounded, so an id that repeats over much of the table brings no more than ``sample`` to the driver."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).alias("label")).where("doc_id is not null and label is not null")
     ids = ids.where(fold() != 0).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: ids and labels only
@@ -170,8 +172,9 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["label"], pa.array([x.astype(np.int32).tobytes() for x in feature_rows(rows["text"])], pa.binary())], names=["doc_id", "label", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    got = rows.mapInArrow(features, "doc_id long, label int, x binary").collect()
-    got = sorted({(r["doc_id"], r["label"], bytes(r["x"])) for r in got})
+    found = rows.mapInArrow(features, "doc_id long, label int, x binary").distinct()  # map-side first
+    got = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(sample).collect()
+    got = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in got)
     return fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([label for _, label, _ in got]))
 
 

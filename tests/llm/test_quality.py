@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from mixclust.llm import quality
 from mixclust.llm.quality import DIMS, feature_rows, fit, learn, score, score_rows
 from mixclust.llm.queries import QUERIES
 
@@ -57,3 +58,17 @@ def test_machine_separates_and_orders():
     assert s[0] > 0.7 > 0.3 > s[1]
     with pytest.raises(KeyError):
         model["constant"]
+
+
+def test_an_id_that_repeats_over_a_third_of_the_rows_is_bounded(spark, monkeypatch):
+    hot = next(d for d in range(1000, 1100) if zlib.crc32(str(d).encode()) % 5)
+    docs = spark.range(900).selectExpr(f"CASE WHEN id % 3 = 0 THEN {hot} ELSE id END AS doc_id",
+                                       "CASE WHEN id % 6 = 0 THEN 'one text' ELSE concat('text ', id) END AS text")
+    labels = spark.createDataFrame([(d, d % 2) for d in [hot, *range(1, 900, 40)]], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y: seen.append(len(rows)) or {"constant": 0.5})
+    learn(docs, labels, sample=40)
+    learn(docs, labels, sample=3000)
+    learn(docs.repartition(7), labels, sample=40)
+    assert seen[0] == seen[2] == 40
+    assert 100 < seen[1] < 200  # 150 texts of the hot id and the one that repeats, not 300
