@@ -15,11 +15,12 @@ one beyond 39.
 A window is fingerprinted only if the shingles that it shares with items of its size could reach the
 threshold by weight, a bound that loses nothing that the exact check would accept.
 
-The benchmark goes to the tasks in blocks of at most ``block`` items, one pass over the documents each, with
+The benchmark's distinct texts go to the tasks in blocks of about ``block`` texts and BLOCK_BYTES bytes at most, one pass over the documents each, with
 the weights of the whole benchmark; documents are never shuffled.
 
 Defined cases: null texts and items count as empty; an item without words is never found; an item of fewer
-words than a shingle is one shingle; of items with the same id each counts alone; rows are judged alone, so
+words than a shingle is one shingle; of items with the same id each text counts alone, an item
+without an id is returned with a null one; rows are judged alone, so
 copies and null ids need no care (a null doc_id is carried); empty tables give empty results (or all
 documents as clean).
 """
@@ -42,6 +43,7 @@ from mixclust.session import written
 THRESHOLD = 0.8
 BITS, BLOCKS, RADIUS = 128, 8, 39
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 8 << 20
 WINDOWS_AT_ONCE = 4096
 _WIDTH = BITS // BLOCKS
 _LOW = np.uint64((1 << _WIDTH) - 1)
@@ -76,7 +78,7 @@ class Size:
     """The items of one size (in words)."""
 
     words: int
-    items: list[int]  # item ids
+    items: list  # of each text: what came with it, the ids of its items
     ids: np.ndarray  # (items, shingles)
     weights: np.ndarray  # of them; a repeated shingle counts once
     prints: np.ndarray  # (items, BLOCKS)
@@ -100,8 +102,8 @@ class Index:
 _LEADING = np.uint64(64 - 18)
 
 
-def build_index(items: list[tuple[int, str]], threshold: float, counts: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
-    """The index of some items (id, text); ``counts``: shingles that several texts of the benchmark hold, sorted,
+def build_index(items: list[tuple], threshold: float, counts: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
+    """The index of some texts (ids, text); ``counts``: shingles that several texts of the benchmark hold, sorted,
     and how many do (none: ``items`` are the benchmark)."""
     words = Words(pa.array([t for _, t in items], pa.string()), lower=True)
     ids = words.hashes()
@@ -172,14 +174,15 @@ def within_radius(size: Size, prints: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return w[ok], i[ok]
 
 
-def find(rows: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """(row, item id, first word, words, similarity) of the best window of each row and item that reaches
+def find(rows: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple[int, tuple, int, int, float]]:
+    """(row, ids, first word, words, similarity) of the best window of each row and text that reaches
     ``threshold``."""
     words = Words(rows["text"], lower=True)
     ids = words.hashes()
     grams = {n: windows(ids, n) for n in {min(WORDS, s.words) for s in index.sizes}}
     known = {n: hits(g, index) for n, g in grams.items()}
-    best: dict[tuple[int, int, int], tuple[float, int, int]] = {}
+    best: dict[tuple[int, int, int], tuple[float, int]] = {}  # of (row, words of the text, its number among these)
+    items = {size.words: size.items for size in index.sizes}
     for size in index.sizes:
         k = size.ids.shape[1]
         g, (place, key) = grams[min(WORDS, size.words)], known[min(WORDS, size.words)]
@@ -207,10 +210,10 @@ def find(rows: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple
                 alike = common / (whole + others * whole / np.count_nonzero(size.weights[b]))
                 if alike >= threshold - 1e-9:
                     row, first = int(words.row[s[a]]), int(s[a] - words.first[words.row[s[a]]])
-                    name, value = (row, size.items[b], b), (alike, -first, size.words)
+                    name, value = (row, size.words, b), (alike, -first)
                     best[name] = max(best.get(name, value), value)
-    for (row, item, _), (alike, first, n) in sorted(best.items()):
-        yield row, item, -first, n, round(alike, 9)
+    for (row, n, b), (alike, first) in sorted(best.items()):
+        yield row, items[n][b], -first, n, round(alike, 9)
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
@@ -241,13 +244,19 @@ def indexes(items: DataFrame, threshold: float, block: int) -> Iterator[Index]:
         yield build_index(some, threshold, (h[order], n[order]))
 
 
-def item_blocks(items: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[tuple[list[tuple[int, str]], DataFrame]]:
-    """The benchmark's items in lists of about ``block`` at most, by a hash of id and text, and as tables."""
+def item_blocks(items: DataFrame, block: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[tuple, str]], DataFrame]]:
+    """The distinct texts of the benchmark, each with the ids of its items, in lists of about ``block`` texts and ``block_bytes``
+    bytes at most, by a hash of the text, and as tables. A null id is an id as others (None)."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, -(-items.count() * 5 // (4 * block)))  # a quarter more blocks than needed: hashes fill unevenly
+    texts = items.groupBy("text").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("nameless"))
+    texts = written(texts, "item-texts")
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text") + 8 * F.size("ids")).alias("bytes")).first()
+    # a quarter more blocks than needed: hashes fill unevenly
+    n = max(1, -(-size["n"] * 5 // (4 * block)), -(-(size["bytes"] or 0) * 5 // (4 * block_bytes)))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted({(r[0] if r[0] is not None else -1, r[1]) for r in part.collect()}), part
+        part = texts if n == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        rows = sorted(part.collect(), key=lambda r: r["text"])
+        yield [((*sorted(r["ids"]), *([None] if r["nameless"] else [])), r["text"]) for r in rows], part
 
 
 _FOUND = "doc_id long, item_id long, first_word long, n_words long, similarity double"
@@ -258,14 +267,18 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block
     least ``threshold``."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
+    parts: list[DataFrame] = []
+    index = None
     for own in indexes(items, threshold, block):
+        if index is not None:  # one index at a time, on the driver and the executors
+            parts[-1] = written(parts[-1], "leaks")
+            index.destroy()
         index = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows in row_blocks(batch, "text"):
-                    if found := list(find(rows, index.value, threshold)):
+                    if found := [(row, item, *rest) for row, ids, *rest in find(rows, index.value, threshold) for item in ids]:
                         row, *cols = zip(*found, strict=True)
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                         yield pa.RecordBatch.from_arrays([rows["doc_id"].take(pa.array(row)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mixclust.llm.decontaminate import BLOCKS, RADIUS, build_index, clean, fingerprints, leaks, within_radius
+from mixclust.llm.decontaminate import BLOCKS, RADIUS, build_index, clean, fingerprints, item_blocks, leaks, within_radius
 from mixclust.llm.queries import QUERIES
 
 from .conftest import LOWER, SF, WORD, sentence
@@ -102,7 +102,9 @@ def test_rough_documents(spark, rough, none):
     long_text = next(r.text for r in rough.where("doc_id = 11").collect())
     part = " ".join(long_text.split()[15_000:15_030])
     bench = spark.createDataFrame([(1, part), (None, part), (2, None)], "item_id long, text string")
-    assert {(r.doc_id, r.first_word) for r in leaks(rough, bench).collect()} == {(11, 15_000), (12, 15_000)}
+    bench = bench.union(spark.createDataFrame([(-1, part), (1, part)], bench.schema))  # a repeated row, and an id that is no null
+    found = [(r.doc_id, r.item_id, r.first_word) for r in leaks(rough, bench).collect()]
+    assert sorted(found, key=repr) == sorted([(d, i, 15_000) for d in (11, 12) for i in (1, None, -1)], key=repr)
     left = clean(rough, bench)
     assert left.columns == rough.columns and left.count() == rough.count() - 2
     assert clean(rough, bench.where("false")).count() == rough.count()
@@ -152,3 +154,14 @@ def test_pairs_at_the_threshold_are_within_the_radius(shingles, other):
     b[:, :other] = rng.integers(0, 1 << 63, (4000, other)).astype(np.uint64)
     far = np.bitwise_count(fingerprints(a, np.ones(a.shape), shingles) ^ fingerprints(b, np.ones(b.shape), shingles)).sum(1)
     assert (far <= RADIUS).all()
+
+
+def test_blocks_are_bounded_by_bytes_and_hold_a_text_once(spark):
+    rng = random.Random(4)
+    same = sentence(rng, 30)
+    items = [(i, same) for i in range(500)] + [(1000 + i, sentence(rng, 40)) for i in range(60)]
+    blocks = [some for some, _ in item_blocks(spark.createDataFrame(items, "item_id long, text string"), block_bytes=6000)]
+    assert len(blocks) > 2
+    assert sorted(((i, t) for some in blocks for ids, t in some for i in ids)) == sorted(items)
+    assert sum(len(some) for some in blocks) == 61
+    assert max(sum(len(t) for _, t in some) for some in blocks) < 12_000
