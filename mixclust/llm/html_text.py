@@ -1,11 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one classifies each block by the container it
-stands in (menus, footers, adverts, comments and the like are boilerplate), then by length, link
-density and stop-word density. Pass two gives each ambiguous block the label of its nearest decided
-neighbours: good if both are, or if the nearest one is. On a page with an ``article`` (or ``main``)
-blocks outside it are boilerplate, and inside it only containers and link lists are left out; of its short
-blocks only those of links inherit.
+A page is cut into blocks at block-level tags. Containers of menus, footers, adverts, comments and the like are
+boilerplate with all they hold. Pass one classifies every other block by length, link density and stop-word density.
+Pass two gives each ambiguous block the label of its nearest decided neighbours: good if both are, or if the nearest
+one is.
+
+Stop words are the fixed lists where a page's words of that script hold enough of them. For any other language they
+are the page's own frequent words, and a block is dense with at least half of the page's mean; too few words for
+that leave length and links to decide. Scripts without spaces are read by characters, wide characters count twice.
+
+On a page with an ``article`` (or ``main``) blocks outside it are boilerplate, but for an h1 before an article that has
+none, unless the rules find much more text outside. Inside it only containers, marked blocks of links and lists of
+links like a menu's (few words, no stop words) are decided as boilerplate; the others inherit from text only, so
+linked references, code and tables stay.
 
 A class, id or role marks boilerplate, unless it only tells what the page has (has-sidebar, header-fixed). An
 article (or main) in a container closed by such a mark alone is open again, and counts if the page has no
@@ -24,15 +31,21 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
+LENGTH_PAGE = 1000  # good text outside an article, and OUTSIDE times its own, from which the article is not the page's text
+OUTSIDE = 4
 STOPS_LOW, STOPS_HIGH = 0.10, 0.20
 MOST_LINKS = 0.4
+MENU_WORDS = 3  # a word list of links has at most that many a link
+OWN_WORDS, OWN_SHARE = 60, 0.01  # running words from which a page's own frequent words count; their share
 
 #: Frequent words of English, French, German and Spanish.
 STOP_WORDS = frozenset("""
@@ -49,6 +62,7 @@ CONTAINERS = frozenset("nav header footer aside form menu dialog fieldset figure
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+FENCES = ("ul", "ol", "table", "div", "article", "section", "main", "dl")
 
 #: Words of class, id and role that mark boilerplate.
 MARKS = frozenset("""
@@ -67,7 +81,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _MARKED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _PARTS = re.compile(r"[^0-9a-z]+")
-_WORD = re.compile(r"[^\W\d_]+")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff"
+_LETTER, _WORD, _SPACED = re.compile(f"[{_UNSPACED}]"), re.compile(rf"[{_UNSPACED}]|[^\W\d_]+"), re.compile(r"[^\W\d_]+")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 @dataclass
@@ -84,6 +100,15 @@ class Block:
     weak: bool = False
     doubt: bool = False
 
+    @property
+    def links(self) -> float:
+        return self.linked / len(self.text)
+
+    @property
+    def size(self) -> int:
+        """Length, wide characters twice."""
+        return len(self.text) if self.text.isascii() else len(self.text) + len(_WIDE.findall(self.text))
+
 
 @dataclass
 class _Open:
@@ -109,6 +134,8 @@ def marks_of(attributes: str) -> list[tuple[str, list[str]]]:
 class _Parser:
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False)])
+    at: dict[str, list[int]] = field(default_factory=dict)  # places in the stack of the open elements of a name
+    blocks_at: list[int] = field(default_factory=list)  # and of all block-level ones
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -124,7 +151,7 @@ class _Parser:
         if self.parts:
             if said := " ".join("".join(self.parts).split()):
                 top = self.stack[-1]
-                tag = next((x.name for x in reversed(self.stack) if x.name in BLOCKS), "")
+                tag = self.stack[self.blocks_at[-1]].name if self.blocks_at else ""
                 self.blocks.append(Block(top.boiler, top.main, tag, said, self.linked, "", top.weak, top.doubt))
             self.parts, self.linked = [], 0
 
@@ -137,7 +164,7 @@ class _Parser:
                     self.close_one(bar)
                 top = self.stack[-1]
             if name in ("p", *HEADINGS, "li", "tr", "td", "th", "dt", "dd"):  # these end an open one of their kind
-                self.close_one(name, ("ul", "ol", "table", "div", "article", "section", "main", "dl"))
+                self.close_one(name, self.innermost(FENCES))
                 top = self.stack[-1]
         if name in VOID or attributes.endswith("/"):
             if name == "br":
@@ -151,6 +178,9 @@ class _Parser:
             doubt = True
         elif found:
             boiler, mark = True, found == "mark" and (mark or not boiler)
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks_at.append(len(self.stack))
         self.stack.append(_Open(name, boiler, top.main or (name in ("article", "main") and not boiler), top.link or name == "a", mark, weak, doubt))
 
     def verdict(self, name: str, attributes: str, main: bool) -> str:
@@ -172,20 +202,26 @@ class _Parser:
             return "doubt"
         return "mark"
 
-    def close_one(self, name: str, fence: tuple[str, ...] = ()) -> None:
-        """Close the innermost open element of that name, and what is open inside it."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == name:
-                del self.stack[i:]
-                return
-            if self.stack[i].name in fence:
-                return
+    def innermost(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of those names; 0: none."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+
+    def close_one(self, name: str, fence: int = 0) -> None:
+        """Close the innermost open element of that name, and what is open inside it, if it is not outside ``fence``."""
+        place = self.innermost((name,))
+        if place and place >= fence:
+            for x in self.stack[place:]:
+                self.at[x.name].pop()
+                if x.name in BLOCKS:
+                    self.blocks_at.pop()
+            del self.stack[place:]
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.cut()
-        inline = name not in BLOCKS
-        self.close_one(name, tuple(BLOCKS) if inline else ())
+            self.close_one(name)
+        else:
+            self.close_one(name, self.blocks_at[-1] if self.blocks_at else 0)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -210,8 +246,8 @@ def blocks_of(page: str) -> list[Block]:
         if slash:
             parser.close(name)
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
         elif name not in SKIPPED:
             parser.open(name, attributes)
@@ -219,41 +255,94 @@ def blocks_of(page: str) -> list[Block]:
     return parser.blocks
 
 
-def classify(blocks: list[Block]) -> None:
-    """Set each block's label to good or bad."""
-    has_main = any(b.main and not b.boiler for b in blocks)
-    if any(b.main and not b.boiler and not b.weak and len(b.text) >= LENGTH_LOW for b in blocks):
-        for b in blocks:
-            b.boiler |= b.weak
+def _words(text: str) -> list[str]:
+    return (_WORD if not text.isascii() and _LETTER.search(text) else _SPACED).findall(text.lower())
+
+
+def _latin(text: str, words: list[str]) -> bool:
+    return text.isascii() or 2 * sum(w[0] < "\u0250" for w in words) >= len(words)
+
+
+def stop_grades(blocks: list[Block]) -> list[int]:
+    """How dense with stop words each block is (0 to 2), by the fixed lists or by the blocks' own frequent words."""
+    words = [_words(b.text) for b in blocks]
+    latin = [_latin(b.text, w) for b, w in zip(blocks, words, strict=True)]
+    hits = [sum(map(STOP_WORDS.__contains__, w)) for w in words]
+    own = {}
+    for script in set(latin):
+        mine = [i for i, x in enumerate(latin) if x == script]
+        n = sum(len(words[i]) for i in mine)
+        if not script or sum(hits[i] for i in mine) < STOPS_LOW / 2 * n:
+            count = Counter(w for i in mine for w in words[i])
+            often = {w for w, k in count.items() if k >= max(3, OWN_SHARE * n)} if n >= OWN_WORDS else set()
+            own[script] = often, sum(count[w] for w in often) / max(1, n)
+    out = []
+    for w, script, k in zip(words, latin, hits, strict=True):
+        if not w:
+            out.append(0)
+        elif script in own:
+            often, mean = own[script]
+            out.append(2 if 2 * sum(map(often.__contains__, w)) >= mean * len(w) else 1)
+        else:
+            out.append(2 if k >= STOPS_HIGH * len(w) else 1 if k >= STOPS_LOW * len(w) else 0)
+    return out
+
+
+def _first_pass(blocks: list[Block]) -> None:
+    """good, bad or unsure by length, link density and stop-word density."""
+    long = []
     for b in blocks:
-        links = b.linked / len(b.text)
-        if b.boiler or (has_main and not b.main):
-            b.label = "bad"
-        elif links > MOST_LINKS and (b.tag == "li" or b.doubt or not has_main):
+        if b.boiler or (b.links > MOST_LINKS and (b.doubt or not b.main)):
             b.label = "bad"
-        elif b.main:
-            b.label = "good" if len(b.text) >= LENGTH_LOW or links <= MOST_LINKS else "unsure"
-        elif len(b.text) < LENGTH_LOW:
+        elif b.links > MOST_LINKS or b.size < LENGTH_LOW:
             b.label = "unsure"
         else:
-            words = _WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.label = "good" if stops >= STOPS_HIGH or (stops >= STOPS_LOW and len(b.text) >= LENGTH_HIGH) else "unsure" if stops >= STOPS_LOW else "bad"
-    decided = [b.label if b.label != "unsure" and not (has_main and not b.main) and not b.boiler else "" for b in blocks]
-    before = after = None
-    left, right = [], []
-    for i, label in enumerate(decided):
-        left.append(before)
-        before = (i, label) if label else before
+            long.append(b)
+    for b, dense in zip(long, stop_grades(long), strict=True):
+        b.label = "good" if dense == 2 or (dense == 1 and b.size >= LENGTH_HIGH) else "unsure" if dense or b.main else "bad"
+    for is_list, items in groupby(blocks, lambda b: b.main and b.label == "unsure" and b.tag == "li" and b.links > MOST_LINKS):
+        if is_list:
+            lists = list(items)
+            words = [w for b in lists for w in _words(b.text)]
+            if len(words) <= MENU_WORDS * len(lists) and STOP_WORDS.isdisjoint(words):
+                for b in lists:
+                    b.label = "bad"
+
+
+def _inherit(blocks: list[Block], decided: list[str], otherwise: str) -> None:
+    """Unsure blocks take the label of the nearest decided one, before or after; a tie goes to the one before, of a
+    heading to the one after."""
+    before, after, right = None, None, []
     for i in range(len(blocks) - 1, -1, -1):
         right.append(after)
         after = (i, decided[i]) if decided[i] else after
-    for i, (b, low, high) in enumerate(zip(blocks, left, reversed(right), strict=True)):
+    for i, (b, high) in enumerate(zip(blocks, reversed(right), strict=True)):
+        low, before = before, (i, decided[i]) if decided[i] else before
         if b.label == "unsure":
-            if low and high and low[1] != high[1]:
-                b.label = low[1] if i - low[0] <= high[0] - i else high[1]
-            else:
-                b.label = (low or high or (0, "good" if b.main or not has_main else "bad"))[1]
+            sides = (high, low) if b.tag in HEADINGS else (low, high)
+            b.label = min((x for x in sides if x), key=lambda x: abs(x[0] - i), default=(0, otherwise))[1]
+
+
+def classify(blocks: list[Block]) -> None:
+    """Set each block's label to good or bad."""
+    if any(b.main and not b.boiler and not b.weak and len(b.text) >= LENGTH_LOW for b in blocks):
+        for b in blocks:
+            b.boiler |= b.weak
+    _first_pass(blocks)
+    main = [b for b in blocks if b.main and not b.boiler]
+    within = sum(b.size for b in main if b.label != "bad")
+    outside = sum(b.size for b in blocks if not b.main and b.label == "good")
+    if not main or outside >= max(LENGTH_PAGE, OUTSIDE * within):
+        _inherit(blocks, ["" if b.label == "unsure" or b.boiler else b.label for b in blocks], "good")
+        return
+    _inherit(main, [b.label if b.label == "good" else "" for b in main], "good")
+    first = next(i for i, b in enumerate(blocks) if b.main and not b.boiler)
+    title = next((b for b in reversed(blocks[:first]) if b.tag == "h1" and not b.boiler and b.links <= MOST_LINKS), None)
+    for b in blocks:
+        if not b.main:
+            b.label = "bad"
+    if title and not any(b.tag == "h1" for b in main):
+        title.label = "good"
 
 
 def main_text(page: str | None) -> str:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -58,6 +59,56 @@ def test_marks_of_wrappers_and_within_articles(page, expected):
     assert main_text(page) == expected
 
 
+RUSSIAN = ["В начале лета мы поехали на дачу, и там было так хорошо, что не хотелось уезжать обратно в город до самой осени.",
+           "На другой день мы пошли в лес и на реку, а потом сидели на веранде и пили чай, и никто не думал о работе.",
+           "Вечером в доме было тихо, и только на кухне шумел старый чайник, а в саду пели птицы и стрекотали кузнечики."]
+JAPANESE = ["昨日の朝、私は友達と一緒に山の上にある古い寺に行きました。そこの庭はとても静かで、花がたくさん咲いていました。",
+            "帰りの電車の中で、私たちは次の旅行の話をしました。海の近くの町に行くのがいいと思いますが、まだ決めていません。"]
+GREEK = ["Το πρωί πήγαμε με τα παιδιά στη θάλασσα και μείναμε εκεί μέχρι το βράδυ, γιατί ο καιρός ήταν πολύ καλός και το νερό ζεστό."]
+FINNISH = ["Kesän alussa matkustimme mökille järven rannalle, emmekä halunneet palata kaupunkiin ennen syksyn ensimmäisiä sateita.",
+           "Seuraavana päivänä kävelimme metsässä ja joella, joimme kahvia kuistilla, eikä kukaan ajatellut työtä tai kiirettä."]
+MENU = '<div><ul><li><a href="/1">Главная</a></li><li><a href="/2">Νέα</a></li><li><a href="/3">会社</a></li></ul></div>'
+
+
+@pytest.mark.parametrize("paragraphs", [RUSSIAN, JAPANESE, GREEK, FINNISH, RUSSIAN * 4, JAPANESE * 6, FINNISH * 5, [LONG] * 3])
+def test_any_language_without_article(paragraphs):
+    """Long text stays and short text between it inherits; menus go, and paragraphs of links."""
+    page = f"{MENU}<h1>{paragraphs[0][:12]}</h1><p>{'</p><p>'.join(paragraphs)}</p><p><a href=9>{paragraphs[0]}</a></p>{MENU}"
+    assert main_text(page) == " ".join([paragraphs[0][:12].strip(), *paragraphs])
+
+
+def test_densities_outside_articles():
+    """Without stop words long text of a covered language goes; an article far smaller than the page's text is not all of it."""
+    names = "Paris London Berlin Madrid Vienna Prague Lisbon Dublin Warsaw Athens Oslo Rome Bern"
+    assert main_text(f"<p>{LONG}</p><p>{LONG}</p><p>{names}</p>") == f"{LONG} {LONG}"
+    assert main_text(f"<article><p>{LONG}</p><p>{LONG}</p><p>{names}</p><pre>x = 1</pre></article>") == f"{LONG} {LONG} {names} x = 1"
+    assert main_text(f"<article><p>Teaser.</p></article><div>{f'<p>{LONG}</p>' * 20}</div>") == " ".join(["Teaser."] + [LONG] * 20)
+    assert main_text(f"<article><p>Text.</p></article><div><p>{LONG}</p></div>") == "Text."
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<article><p>{LONG}</p><ul><li><a href=1>A reference that is linked</a></li></ul></article>", f"{LONG} A reference that is linked"),
+        (f"<article><p>{LONG}</p><ol><li><a href=1>Smith, Letters to a young reader, 1999</a></li><li><a href=2>Jones</a></li></ol></article>", f"{LONG} Smith, Letters to a young reader, 1999 Jones"),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>Home</a></li><li><a href=2>Contact us</a></li></ul></article>", LONG),
+        (f"<h1>Head</h1><article><p>{LONG}</p></article>", f"Head {LONG}"),
+        (f'<h1>Head</h1><div class="ad">{LONG}</div><p>By me</p><article><h2>Part</h2><p>{LONG}</p></article><h1>After</h1>', f"Head Part {LONG}"),
+        (f"<h1>Site</h1><article><h1>Head</h1><p>{LONG}</p></article>", f"Head {LONG}"),
+        (f"<header><h1>Site</h1></header><h1><a href=1>Home page</a></h1><article><p>{LONG}</p></article>", LONG),
+    ],
+)
+def test_linked_references_and_headings(page, expected):
+    assert main_text(page) == expected
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</p>" * 20_000 + "x", "<p><b>" + "<div>" * 20_000 + "</b></i>" * 20_000 + "x", "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000 + "x", "<div><p>" * 20_000 + "x", "<svg/>" * 20_000 + "x", "<ul><li>" * 20_000 + "</a>" * 20_000 + "x"])
+def test_time_of_nested_pages(page):
+    start = time.process_time()
+    assert main_text(page) == "x"
+    assert time.process_time() - start < 1
+
+
 @pytest.mark.parametrize("page,expected", CASES)
 def test_pages(page, expected):
     assert main_text(page) == expected
