@@ -91,7 +91,43 @@ def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_near_dedup, op5_quality, op6_sharding, op7_sentencepiece, op8_html_text, op9_lm_scoring, op10_top_k, op11_periodic_runs, op12_whitening, op13_jaccard_join)}
 
+#: Words of every text, as lists: unchanged, and with A-Z in lower case.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _components_sql(size: int, percent: int) -> str:
+    """The CTEs ``n`` (doc_id, n_shingles) and ``c`` (doc_id, component_id) of documents linked by their shingle sets."""
+    return f"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_LOWER} AS w FROM documents WHERE doc_id IS NOT NULL),
+             s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {size - 1}], ' ') AS x
+                   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM w WHERE len(w) > 0)),
+             n AS MATERIALIZED (SELECT w.doc_id, count(s.x) AS n_shingles FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+             l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id
+                   JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+                   GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (min(na.n_shingles) + min(nb.n_shingles) - count(*))),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+             c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+        WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+             p AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS x
+                   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+             f AS (SELECT x, min(doc_id) AS least FROM p GROUP BY x),
+             h AS (SELECT DISTINCT p.doc_id, p.i FROM p JOIN f ON f.x = p.x AND f.least < p.doc_id),
+             k AS (SELECT t.doc_id, t.j, t.word, max(h.i) OVER (PARTITION BY t.doc_id ORDER BY t.j) >= t.j - 49 AS gone
+                   FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w) t
+                   LEFT JOIN h ON h.doc_id = t.doc_id AND h.i = t.j),
+             o AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+                          string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone IS NOT TRUE) AS kept FROM k GROUP BY doc_id)
+        SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(o.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
+        FROM w LEFT JOIN o ON o.doc_id = w.doc_id""",
+    "op4_near_dedup": f"""{_components_sql(5, 85)}
+        SELECT n.doc_id, n.n_shingles::BIGINT AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c ON c.doc_id = n.doc_id""",
+    "op13_jaccard_join": f"""{_components_sql(4, 85)}
+        SELECT n.doc_id, n.n_shingles::BIGINT AS n_shingles, c.component_id FROM n JOIN c ON c.doc_id = n.doc_id""",
     "op10_top_k": """
         WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
