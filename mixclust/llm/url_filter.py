@@ -35,20 +35,20 @@ LABELLED = (
     *((f"{scheme}{host}.example{end}", 1) for host, end in (
         ("casino-royal", ".com/play"), ("www.online-casino", ".org/en/1"), ("win-casino", ".net/bonus"), ("big-win", ".com/fr/jackpot"),
         ("poker-win", ".org/en/12"), ("free-poker", ".com/de/9"), ("free-spins", ".net/slots"), ("best-bets", ".com/en/77"),
-        ("www.sport-bets", ".org/es/4"), ("bets-online", ".com/odds"), ("cheap-pills", ".com/buy"), ("www.pills-online", ".org/en/8"),
+        ("www.sport-bets", ".org/es/4"), ("bets-online", ".com/odds"), ("budget-pills", ".com/buy"), ("www.pills-online", ".org/en/8"),
         ("cheap-meds", ".net/fr/44"), ("cheap-watches", ".com/sale"), ("pharma-pills", ".com/en/310"), ("ads-server", ".com/en/5"),
         ("ads-click", ".org/banner"), ("click-track", ".com/px"), ("track-pixel", ".net/en/2"), ("m.adtrack", ".com/t"),
         ("spam-mail", ".com/en/91"), ("blog.link-farm", ".org/links"), ("spam-links", ".com/fr/6"), ("seo-farm", ".net/en/3"),
         ("adult-cams", ".com/en/18"), ("www.adult-video", ".org/x"), ("xxx-video", ".net/de/7"), ("adult-x-tube", ".com/en/40"),
     ) for scheme in ("https://", "http://www.")),
     *((f"{scheme}{host}.example{end}", 0) for host, end in (
-        ("news", ".com/en/825"), ("www.weather", ".org/fr/12"), ("blog.garden", ".com/en/4.html"), ("thethin", ".com/en/671"),
-        ("thanion", ".org/en/9"), ("herand", ".com/es/75"), ("m.theatre", ".com/en/33"), ("library", ".org/de/8"),
-        ("www.museum", ".com/fr/201"), ("tionder", ".org/en/50"), ("blog.ention", ".com/en/612"), ("thering", ".com/fr/14"),
+        ("news", ".com/en/825"), ("www.weather", ".org/fr/12"), ("blog.garden", ".com/en/4.html"), ("harbour-notes", ".com/en/671"),
+        ("northfield", ".org/en/9"), ("ferrand", ".com/es/75"), ("m.theatre", ".com/en/33"), ("library", ".org/de/8"),
+        ("www.museum", ".com/fr/201"), ("stanmore", ".org/en/50"), ("blog.inventions", ".com/en/612"), ("gathering", ".com/fr/14"),
         ("recipes", ".org/es/99"), ("history", ".com/en/7"), ("science", ".org/en/400"), ("blog.travel", ".com/de/31"),
-        ("thath", ".com/en/88"), ("m.ntthe", ".org/en/5"), ("shandon", ".com/fr/66"), ("www.school", ".org/en/2"),
-        ("music", ".com/en/314"), ("ereston", ".org/es/20"), ("wiki", ".org/en/1000"), ("forum.bikes", ".com/en/16"),
-        ("thandre", ".com/en/940"), ("ingter", ".org/fr/3"), ("readers", ".com/en/57"), ("thbleen", ".org/de/44"),
+        ("bathstone", ".com/en/88"), ("m.winterly", ".org/en/5"), ("merchant", ".com/fr/66"), ("www.school", ".org/en/2"),
+        ("music", ".com/en/314"), ("everton-choir", ".org/es/20"), ("wiki", ".org/en/1000"), ("forum.bikes", ".com/en/16"),
+        ("andrews", ".com/en/940"), ("printers", ".org/fr/3"), ("readers", ".com/en/57"), ("theology", ".org/de/44"),
     ) for scheme in ("https://", "http://www.")),
 )
 

@@ -1,11 +1,15 @@
+import math
 import re
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mixclust.llm.queries import QUERIES
-from mixclust.llm.url_filter import LABELLED, LOWER, RULES, UPPER, host_and_path, judge, scores, train
+from mixclust.llm.url_filter import DIMS, LABELLED, LOWER, RULES, UPPER, host_and_path, judge, scores, train
+from mixclust.llm.words import mix
 
 from .conftest import SF
 
@@ -52,6 +56,46 @@ def test_held_out_hosts():
     assert right / total >= 0.8
 
 
+def plain_features(host, path):
+    """The counts of a url's hashed n-grams, scaled to length 1, gram by gram."""
+    count = Counter()
+    for salt, text in enumerate((host, path)):
+        data = f"^{text}$".encode()
+        for n in (3, 4, 5):
+            for i in range(len(data) - n + 1):
+                h = n * 2 + salt
+                for byte in data[i : i + n]:
+                    h = (h * 0x100000001B3 + byte) % 2**64
+                count[int(mix(np.array([h], np.uint64))[0]) % DIMS] += 1
+    norm = math.sqrt(sum(k * k for k in count.values()))
+    return {f: k / norm for f, k in count.items()}
+
+
+def test_regression_against_a_plain_one():
+    rows = [(*parts(u), y) for u, y in LABELLED[::5]] + [("", "", 0)]
+    plain = [(plain_features(h, p), y) for h, p, y in rows]
+    w, bias = defaultdict(float), 0.0
+    for _ in range(20):
+        errors = [(x, 1 / (1 + math.exp(-(bias + sum(w[f] * v for f, v in x.items())))) - y) for x, y in plain]
+        slope = defaultdict(float)
+        for x, e in errors:
+            for f, v in x.items():
+                slope[f] += e * v / len(plain)
+        w = defaultdict(float, {f: w[f] - 4.0 * (slope[f] + 1e-4 * w[f]) for f in {*w, *slope}})
+        bias -= 4.0 * sum(e for _, e in errors) / len(plain)
+    weights, b = train(rows, rounds=20)
+    assert b == pytest.approx(bias) and {f: weights[f] for f in w} == pytest.approx(dict(w))
+    assert np.count_nonzero(weights) == sum(v != 0 for v in w.values())
+    probe = [*rows, ("new.example.com", "/a/b"), ("Æ.org", "/" + "é9" * 300)]
+    got = scores(pa.array([r[0] for r in probe]), pa.array([r[1] for r in probe]), weights, b)
+    assert list(got) == pytest.approx([bias + sum(w[f] * v for f, v in plain_features(h, p).items()) for h, p, *_ in probe])
+
+
+def test_labels_are_not_of_the_table(spark):
+    hosts = {parts(u)[0].removeprefix("www.") for u, _ in LABELLED}
+    assert not hosts & {parts(r.url)[0].removeprefix("www.") for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()}
+
+
 def test_own_table_and_bounds(spark):
     own = spark.createDataFrame([("http://aaaa.com/", 0), ("http://zzzz.com/", 1), ("http://none.com/", None)], "url string, label int")
     pages = spark.createDataFrame([(1, "http://zzzz.org/"), (2, "http://aaaa.org/")], "page_id long, url string")
