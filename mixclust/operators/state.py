@@ -4,6 +4,9 @@ Each task keeps, for every cluster it meets, the number of points, the coordinat
 the shortest term and the sums of the signed bytes up to it, and the first m points in the given order. A state
 merges with others in any order: lengths by their minimum, byte sums cut to it, samples by taking the first m
 again. So only a row per cluster and task is shuffled, nothing is persisted, and no byte becomes a row.
+
+Where a cluster can hold few different terms (grouped_states), points are first counted and summed by cluster and terms on
+the JVM, and the states are made of those groups.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+_STATE = "cluster_id int, n long, sums array<double>, seen array<long>, shortest array<long>, bytes array<binary>, mean_bytes array<binary>"
+
+
 def term_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signed UTF-8 bytes of a string column without nulls, end to end, with each term's start and length."""
     col = col.cast(pa.large_binary())
@@ -29,9 +35,9 @@ def term_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offs[:-1], np.diff(offs)
 
 
-def byte_sums(col: pa.Array, group: np.ndarray, groups: int, shortest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def byte_sums(col: pa.Array, group: np.ndarray, groups: int, shortest: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(shortest, sums): per group the least length, at most what is passed in (-1: none yet), and the position-wise
-    byte sums of its terms up to that length. Nulls count nowhere."""
+    byte sums of its terms up to that length. Nulls count nowhere; ``times``: how often each term counts."""
     known = col.is_valid().to_numpy(zero_copy_only=False)
     data, start, size = term_bytes(col.drop_null())
     group = group[known]
@@ -44,7 +50,8 @@ def byte_sums(col: pa.Array, group: np.ndarray, groups: int, shortest: np.ndarra
     at = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
     if not len(row):
         return least, np.zeros((groups, max(width, 0)), np.int64)
-    total = np.bincount(group[row] * width + at, weights=data[start[row] + at], minlength=groups * width)  # exact below 2^53
+    value = data[start[row] + at] if times is None else data[start[row] + at] * times[known][row]
+    total = np.bincount(group[row] * width + at, weights=value, minlength=groups * width)  # exact below 2^53
     return least, total.astype(np.int64).reshape(groups, width)
 
 
@@ -152,12 +159,40 @@ def cluster_states(assigned: DataFrame, numerics: Sequence[str], strings: Sequen
     kept = list(dict.fromkeys(["cluster_id", *order, *sampled])) if m else ["cluster_id"]
     points = assigned.select(*dict.fromkeys([*kept, *numerics, *strings]))
     inner = ", ".join(f"`{c}`: {points.schema[c].dataType.simpleString()}" for c in kept if c != "cluster_id") or "none: int"
-    spark_schema = f"cluster_id int, n long, sums array<double>, seen array<long>, shortest array<long>, bytes array<binary>, mean_bytes array<binary>, sample array<struct<{inner}>>"
+    spark_schema = f"{_STATE}, sample array<struct<{inner}>>"
     schema = to_arrow_schema(assigned.sparkSession.createDataFrame([], spark_schema).schema)
     parts = points.mapInArrow(_partial(numerics, strings, order, kept, m, schema), spark_schema)
     return parts.groupBy("cluster_id").applyInArrow(_merged(len(numerics), len(strings), order, kept, m, schema), spark_schema)
 
 
+def _of_groups(numerics: int, strings: list[str], schema: pa.Schema):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in strings]).combine_chunks()
+        out, times = State(numerics, len(strings)), t["__n"].to_numpy()
+        out.n = int(times.sum())
+        for i in range(numerics):
+            out.sums[i] = pc.fill_null(t[f"__sum_{i}"], 0.0).to_numpy().sum()
+            out.seen[i] = t[f"__seen_{i}"].to_numpy().sum()
+        for i, c in enumerate(strings):
+            terms = pa.concat_arrays(t[c].chunks)
+            least, sums = byte_sums(terms, np.zeros(len(terms), np.int64), 1, np.array([-1]), times)
+            out.add_bytes(i, int(least[0]), sums[0][: max(int(least[0]), 0)])
+        return pa.Table.from_batches([_record({t["cluster_id"][0].as_py(): out}, ["cluster_id"], schema)])
+
+    return run
+
+
+def grouped_states(assigned: DataFrame, numerics: Sequence[str], strings: Sequence[str]) -> DataFrame:
+    """cluster_states without a sample, by way of one row per cluster and combination of terms. The combinations of a
+    cluster meet in one task: for dictionaries whose sizes bound them (see plans/kmeans.few_groups)."""
+    numerics, strings = list(numerics), list(strings)
+    spark_schema = _STATE + ", sample array<struct<none: int>>"
+    schema = to_arrow_schema(assigned.sparkSession.createDataFrame([], spark_schema).schema)
+    sums = [x for i, c in enumerate(numerics) for x in (F.sum(F.col(c).cast("double")).alias(f"__sum_{i}"), F.count(c).alias(f"__seen_{i}"))]
+    groups = assigned.groupBy("cluster_id", *strings).agg(F.count(F.lit(1)).alias("__n"), *sums)
+    return groups.groupBy("cluster_id").applyInArrow(_of_groups(len(numerics), strings, schema), spark_schema)
+
+
 def means(states: DataFrame, numerics: Sequence[str]) -> list:
     """Columns of the mean centroid: sum / n, NULL if no point has a value."""
     return [F.when(F.col("seen")[i] > 0, F.col("sums")[i] / F.col("n")).alias(c) for i, c in enumerate(numerics)]

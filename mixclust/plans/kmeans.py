@@ -12,6 +12,7 @@ import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark import StorageLevel
@@ -20,11 +21,15 @@ from pyspark.sql import functions as F
 
 from ..operators.assign import TermDictionary, anchor_2d, assign, assign_2d, assign_bounded_2d, build_dictionaries
 from ..operators.cells import PER_CELL, build_cells
-from ..operators.state import byte_means_of, cluster_states, means
+from ..operators.state import byte_means_of, cluster_states, grouped_states, means
 from ..operators.update import centroids_frame, cluster_sums, keep_empty, mean_centroids, medoids_of, with_movement
 from .geometry import Geometry
 
 
+# combinations of cluster and terms up to which points are summed by them first: far below a task's points at scale
+MOST_GROUPS = 50_000
+
+
 @dataclass
 class KMeansResult:
     centroids: list[dict]            # scaled space, sorted by cluster_id
@@ -60,12 +65,19 @@ def update_standard(assigned: DataFrame, geom: Geometry, order_cols: Sequence[st
     return states.select("cluster_id", "n", *means(states, geom.numeric_columns)).join(medoids_of(sample, geom), "cluster_id", "left")
 
 
-def update_partial_sums(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str], scratch: list[DataFrame]) -> DataFrame:
-    """K4 update: one pass that keeps sums, counts and byte sums cut to the shortest term per cluster and task."""
+def few_groups(geom: Geometry, dictionaries: dict[str, TermDictionary], k: int) -> bool:
+    """Whether the dictionaries bound the combinations of cluster and terms by MOST_GROUPS."""
+    cats = geom.categorical_columns
+    return all(c in dictionaries for c in cats) and k * math.prod(dictionaries[c].n_terms for c in cats) <= MOST_GROUPS
+
+
+def update_partial_sums(assigned: DataFrame, geom: Geometry, order_cols: Sequence[str], scratch: list[DataFrame], grouped: bool = False) -> DataFrame:
+    """K4 update: one pass that keeps sums, counts and byte sums cut to the shortest term per cluster and task; with
+    ``grouped`` by cluster and terms on the JVM first."""
     cats = geom.categorical_columns if geom.use_categoricals else []
     if not cats:
         return mean_centroids(cluster_sums(assigned, geom.numeric_columns), geom.numeric_columns)
-    states = cluster_states(assigned, geom.numeric_columns, cats)
+    states = (grouped_states if grouped else cluster_states)(assigned, geom.numeric_columns, cats)
     return states.select("cluster_id", "n", *means(states, geom.numeric_columns), *byte_means_of(cats))
 
 
@@ -95,6 +107,8 @@ def kmeans_mixed(points: DataFrame, seeds: list[dict], geom: Geometry, mode: str
     own = dictionaries is None
     if own:
         dictionaries = build_dictionaries(points, geom, plan, n_points, k=len(seeds))
+    if update is update_partial_sums and few_groups(geom, dictionaries, len(seeds)):
+        update = partial(update_partial_sums, grouped=True)
     columns = [*geom.numeric_columns, *geom.categorical_columns]
     goes_on = lambda it, moves: it < max_iter and any(m is not None and m > epsilon for m in moves.values())
     centroids = sorted(seeds, key=lambda c: c["cluster_id"])

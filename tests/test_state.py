@@ -6,10 +6,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mixclust.operators.state import byte_means_of, byte_sums, cluster_states, mean_bytes, means
+from mixclust.operators.assign import build_dictionaries
+from mixclust.operators.state import byte_means_of, byte_sums, cluster_states, grouped_states, mean_bytes, means
 from mixclust.operators.update import byte_means, first_m_per_cluster
+from mixclust.plans import kmeans
 from mixclust.plans.geometry import Geometry
-from mixclust.plans.kmeans import kmeans_mixed, update_partial_sums, update_standard
+from mixclust.plans.kmeans import few_groups, kmeans_mixed, update_partial_sums, update_standard
 from mixclust.plans.params import categorical, numeric
 
 
@@ -37,6 +39,33 @@ def test_state_equals_the_operators(spark, parts):
     assert first == {c: [(v.id, v.s, v.t) for v in r.sample] for c, r in out.items()}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_states_by_way_of_groups(spark, parts):
+    df = spark.createDataFrame(rows(random.Random(8), 400), "id long, cluster_id int, x double, y double, s string, t string").repartition(parts)
+    df = df.withColumn("y", F.when(F.col("cluster_id") != 2, F.col("y")))
+    read = lambda states: {r.cluster_id: r for r in states.select("cluster_id", "n", "seen", "shortest", "bytes", *means(states, ["x", "y"]), *byte_means_of(["s", "t"])).collect()}
+    got, expected = read(grouped_states(df, ["x", "y"], ["s", "t"])), read(cluster_states(df, ["x", "y"], ["s", "t"]))
+    assert got.keys() == expected.keys() and got[2].y is None
+    for c, r in got.items():
+        assert [r[k] for k in ("n", "seen", "shortest", "bytes", "s", "t")] == [expected[c][k] for k in ("n", "seen", "shortest", "bytes", "s", "t")]
+        assert (r.x, r.y) == pytest.approx((expected[c].x, expected[c].y))
+    assert grouped_states(df.where("false"), ["x"], ["s"]).collect() == []
+
+
+def test_groups_only_where_dictionaries_bound_them(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i / 9, "ab" * (1 + i % 3), f"u{i % 7}") for i in range(60)], "id int, x double, t string, u string").persist()
+    geom = Geometry((numeric("x"), categorical("t"), categorical("u")), {"x": 0.4, "t": 0.3, "u": 0.3}, 1)
+    seeds = [{"cluster_id": i, "x": i / 2, "t": "ab", "u": f"u{i}"} for i in range(3)]
+    dicts = build_dictionaries(df, geom, "dictionary", 60, k=3)
+    assert few_groups(geom, dicts, 3) and not few_groups(geom, {"t": dicts["t"]}, 3)
+    first = kmeans_mixed(df, seeds, geom, "PartialSums", -1.0, 2, dictionaries=dicts)
+    monkeypatch.setattr(kmeans, "MOST_GROUPS", 62)
+    assert not few_groups(geom, dicts, 3)
+    second = kmeans_mixed(df, seeds, geom, "PartialSums", -1.0, 2, dictionaries=dicts)
+    for a, b in zip(first.centroids, second.centroids, strict=True):
+        assert {**a, "x": 0} == {**b, "x": 0} and a["x"] == pytest.approx(b["x"])
+
+
 def test_byte_sums_merge_in_any_order():
     col = pa.array(["abc", None, "ab", "zz", "é", ""])
     least, sums = byte_sums(col, np.array([0, 0, 0, 1, 1, 2]), 4, np.full(4, -1))
