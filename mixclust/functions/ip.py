@@ -1,20 +1,26 @@
 """IPv4 helpers as Column expressions.
 
-All of them are built from JVM-side functions, so they stay inside whole-stage codegen
-(P6, P7, P27) or run as SQL higher-order functions (P28); no Python per row.
+P6, P7 and P27 are built from JVM-side functions; no Python per row. The sets of P28 are summed by an Arrow
+function, a block of rows at a time.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_col
 
 # A strict dotted quad; anything else (host names, IPv6) is rejected.
 _QUAD = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
 
-FEW_PAIRS = 64  # up to here forming the pairs is cheaper than sorting
+BLOCK_BYTES = 4 << 20  # text of sets that is summed at once (at least one row)
 
 
 def ip_to_long(s) -> Column:
@@ -62,54 +68,103 @@ def ip_similarity(a, b) -> Column:
     return _similarity_of_octets(_octets(as_col(a)), _octets(as_col(b)))
 
 
-def _first_unknown(octets: Column) -> Column:
-    """Position (from 1) of an address's first part that is no number; NULL if there is none."""
-    return F.nullif(F.array_position(F.transform(octets, lambda o: o.isNull()), F.lit(True)), F.lit(0).cast("bigint"))
-
-
-def _level_gain(members: Column, level: Column) -> Column:
-    """256 times the gain of one octet level over all pairs of the two sets that agree on the octets before it.
-
-    ``members`` are sorted by their octets, so those that share a prefix are neighbours and ascend in the octet.
-    Each member meets all smaller ones of the other set through their number and their sum."""
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("gain"), F.array().cast("array<bigint>").alias("prefix"),
-                     zero.alias("n0"), zero.alias("s0"), zero.alias("n1"), zero.alias("s1"))
-
-    def step(acc: Column, m: Column) -> Column:
-        v, prefix = F.get(m["octets"], level - 1), F.slice(m["octets"], F.lit(1), level - 1)
-        same, second = acc["prefix"] == prefix, m["second"]
-        n0, s0, n1, s1 = (F.when(same, acc[c]).otherwise(zero) for c in ("n0", "s0", "n1", "s1"))
-        n, s = F.when(second, n0).otherwise(n1), F.when(second, s0).otherwise(s1)
-        return F.struct((acc["gain"] + n * 256 - (v * n - s)).alias("gain"), prefix.alias("prefix"),
-                        (n0 + F.when(second, zero).otherwise(1)).alias("n0"), (s0 + F.when(second, zero).otherwise(v)).alias("s0"),
-                        (n1 + F.when(second, 1).otherwise(zero)).alias("n1"), (s1 + F.when(second, v).otherwise(zero)).alias("s1"))
-
-    return F.aggregate(F.filter(members, lambda m: F.size(m["octets"]) >= level), start, step)["gain"]
+# a number as a cast to int takes it; it has no minus, which parts the members
+_NUMBER = re.compile(r"[\x00-\x20\x7f]*\+?([0-9]+)[\x00-\x20\x7f]*")
+# dots at the end, or before a last line break, as `$` of a JVM pattern finds them
+_LAST_DOTS = r"\.+(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"
+_NEVER = np.iinfo(np.int64).max
+
+
+def _number(part: str) -> int:
+    """An octet's number; -1 if it is none."""
+    found = _NUMBER.fullmatch(part)
+    return value if found and (value := int(found[1])) < 2**31 else -1
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _gains(row: np.ndarray, second: np.ndarray, begin: np.ndarray, length: np.ndarray, octets: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows 256 times the gain of all octet levels over all pairs of its two sets.
+
+    A member is one entry of ``row`` (ascending), ``second`` (which set), ``begin`` and ``length`` (its octets). On each
+    level the members are sorted by octet among those that share the octets before it; each meets all smaller ones of the
+    other set through their number and their sum. Who shares its octets with no member of the other set is done."""
+    gain, group, level = np.zeros(n, np.int64), row, 0
+    while len(group):
+        long = np.flatnonzero(length > level)
+        v = octets[begin[long] + level]
+        order = np.lexsort((v, group[long]))
+        v, at = v[order], long[order]
+        row, second, begin, length, group = (x[at] for x in (row, second, begin, length, group))
+        if not len(group):
+            break
+        new = np.append(True, group[1:] != group[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+
+        def before(x: np.ndarray) -> np.ndarray:
+            """The sum of x over the earlier members of the group."""
+            total = np.cumsum(x) - x
+            return total - total[first]
+
+        met = np.where(second, before(1 - second), before(second))
+        np.add.at(gain, row, met * 256 - (v * met - np.where(second, before(v * (1 - second)), before(v * second))))
+        group = np.cumsum(new | np.append(True, v[1:] != v[:-1])) - 1
+        seconds = np.bincount(group, weights=second)
+        on = ((seconds > 0) & (seconds < np.bincount(group)))[group]
+        row, second, begin, length, group = (x[on] for x in (row, second, begin, length, group))
+        level += 1
+    return gain
+
+
+def _block_sums(a: pa.Array, b: pa.Array) -> pa.Array:
+    """For each row the sum of P27 over all pairs of its two sets, and the sizes of the sets; NULL if a set is NULL
+    or a compared octet is no number."""
+    n = len(a)
+    lists = [pc.split_pattern(side, "-") for side in (a, b)]
+    sides = np.concatenate([np.repeat(2 * np.arange(n) + i, _lengths(x)) for i, x in enumerate(lists)])
+    codes, addresses = _coded(pa.concat_arrays([x.flatten() for x in lists]))
+    side, code = np.divmod(np.unique(sides * len(addresses) + codes), max(len(addresses), 1))
+    sizes = np.bincount(side, minlength=2 * n).reshape(n, 2)
+
+    # addresses and octets are read once for each distinct text of the block
+    parts = pc.split_pattern(pc.replace_substring_regex(addresses, _LAST_DOTS, r"\1"), ".")
+    part, texts = _coded(parts.flatten())
+    octets = np.array([_number(t) for t in texts.to_pylist()], np.int64)[part]
+    length = _lengths(parts)
+    begin = np.cumsum(length) - length
 
+    # an unknown part makes the value NULL if an address of the other set is long enough to be compared with it
+    unknown = np.flatnonzero(octets < 0)
+    owner = np.repeat(np.arange(len(length)), length)[unknown]
+    position = np.full(len(length), _NEVER)
+    np.minimum.at(position, owner, unknown - begin[owner] + 1)
+    longest, earliest = np.zeros(2 * n, np.int64), np.full(2 * n, _NEVER)
+    np.maximum.at(longest, side, length[code])
+    np.minimum.at(earliest, side, position[code])
+    none = (earliest.reshape(n, 2) <= longest.reshape(n, 2)[:, ::-1]).any(axis=1) | (sizes == 0).any(axis=1)
 
-def _pair_sum(one: Column, other: Column) -> Column:
-    """Sum of P27 over all pairs of two sets, pair by pair."""
-    return F.aggregate(one, F.lit(0.0), lambda acc, x: acc + F.aggregate(other, F.lit(0.0), lambda inner, y: inner + _similarity_of_octets(x, y)))
+    gain = _gains(side >> 1, side & 1, begin[code], length[code], octets, n)
+    return pa.StructArray.from_arrays([pa.array(gain / 1024.0, mask=none), *(pa.array(sizes[:, i].astype(np.int32), mask=none) for i in (0, 1))],
+                                      ["total", "one", "other"])
 
 
-def _level_sum(one: Column, other: Column) -> Column:
-    """The same sum level by level, without forming the pairs."""
-    # an unknown part makes the value NULL if an address of the other set is long enough to be compared with it
-    longest = [F.array_max(F.transform(s, F.size)) for s in (one, other)]
-    unknown = [F.array_min(F.transform(s, _first_unknown)) for s in (one, other)]
-    ok = ~(F.coalesce(unknown[0] <= longest[1], F.lit(False)) | F.coalesce(unknown[1] <= longest[0], F.lit(False)))
-    known = lambda o: F.coalesce(o, F.lit(0)).cast("bigint")  # noqa: E731  # an unknown part that meets no other counts nowhere
+def _set_sums(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``_block_sums`` in blocks of rows bounded by the bytes of their texts."""
+    size = sum(pc.binary_length(side).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (a, b))
+    block = (np.cumsum(size) - 1) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(a)]
+    return pa.concat_arrays([_block_sums(a.slice(i, j - i), b.slice(i, j - i)) for i, j in zip(cuts, cuts[1:])])
 
-    def tagged(side: Column, second: bool) -> Column:
-        return F.transform(side, lambda o: F.struct(F.transform(o, known).alias("octets"), F.lit(second).alias("second")))
 
-    members = F.array_sort(F.concat(tagged(one, False), tagged(other, True)))
-    levels = F.sequence(F.lit(1), F.least(*longest))
-    zero = F.lit(0).cast("bigint")
-    # members enter a fold a level: as the argument of a lambda they are computed once
-    total = F.transform(F.array(members), lambda m: F.aggregate(levels, zero, lambda acc, n: acc + _level_gain(m, n)))[0]
-    return F.when(ok, total / F.lit(1024.0))
+_SET_SUMS = F.arrow_udf(_set_sums, T.StructType([T.StructField("total", T.DoubleType()), T.StructField("one", T.IntegerType()),
+                                                 T.StructField("other", T.IntegerType())]))
 
 
 def ip_set_similarity(a, b, normalize: bool = False) -> Column:
@@ -118,16 +173,9 @@ def ip_set_similarity(a, b, normalize: bool = False) -> Column:
     is divided by |A|*|B| instead, which keeps the value in [0, 1]. NULL if a member is
     no address (P27).
 
-    Beyond FEW_PAIRS the pairs are not formed: the members of both sets are sorted by their octets once, and the sum
-    is taken level by level with running counts and sums, so a row costs a sort and a pass for each octet over |A| + |B|
-    members. Both ways give the same value (sums of multiples of 1/1024)."""
-    octets = [F.transform(F.array_distinct(F.split(as_col(s), "-")), _octets) for s in (a, b)]
-
-    def value(sides: Column) -> Column:
-        one, other = sides["one"], sides["other"]
-        na, nb = F.size(one).cast("double"), F.size(other).cast("double")
-        acc = F.when(na * nb <= FEW_PAIRS, _pair_sum(one, other)).otherwise(_level_sum(one, other))
-        return acc / (na * nb) if normalize else (acc / na + acc / nb) / F.lit(2.0)
-
-    # the argument of a lambda is computed once, however often it is used
-    return F.transform(F.array(F.struct(octets[0].alias("one"), octets[1].alias("other"))), value)[0]
+    The pairs are not formed: the members of both sets are sorted octet by octet, and the sum is taken level by level
+    with running counts and sums, in numpy for a block of rows at once (exact: sums of multiples of 1/1024). Both forms
+    of two sets in a projection are computed from one call. As an Arrow function it cannot be used in a lambda."""
+    sums = _SET_SUMS(as_col(a).cast("string"), as_col(b).cast("string"))
+    acc, na, nb = sums["total"], sums["one"].cast("double"), sums["other"].cast("double")
+    return acc / (na * nb) if normalize else (acc / na + acc / nb) / F.lit(2.0)

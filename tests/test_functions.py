@@ -150,3 +150,36 @@ def test_ip_sets_of_thousands_of_members(spark):
     got = df.select(MF.ip_set_similarity("a", "b")).first()[0]
     assert time.perf_counter() - began < 20  # 9 million pairs
     assert got == pytest.approx(pair_by_pair("-".join(big), "-".join(big)))
+
+
+def test_ip_sets_with_odd_members(spark):
+    """Signs, blanks, line breaks, long numbers, empty members and more than four parts; a NULL set beside others."""
+    rows = [("1.2.3.4", "+1. 2.3.4 "), ("1.2.3..", "1.2.3"), ("1.2.\n", "1.2"), ("", "1.2"), ("1.2-", "1.2"), ("1.2.3.4.5", "1.2.3.4.7"),
+            ("2147483647.1", "0.1"), ("2147483648.1", "0.1"), ("1.2.x", "1.2"), ("1.2.x", "1.2-1.2.3"), ("9.2.x", "1.2.3"), (".1", "1"), (None, "1.2"), ("1.2", None)]
+    got = [r.s for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(MF.ip_set_similarity("a", "b").alias("s")).collect()]
+    assert got == [1.0, 0.75, 0.5, None, None, (4 + 1 - 2 / 256) / 4, (1 - 2147483647 / 256) / 4, None, 0.5, None, None, None, None, None]
+
+
+def test_ip_sets_in_several_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    from mixclust.functions import ip
+
+    a = pa.array(["1.2.3.4-1.2.3.5", None, "9.9.9.9", "1.2.3.4"] * 5)
+    b = pa.array(["1.2.3.4", "1.2", "9.9.9.9-9.9.9.8-9.9.9.8", "x"] * 5)
+    whole = ip._set_sums(a, b).to_pylist()
+    assert whole[:4] == [{"total": 2 - 1 / 1024, "one": 2, "other": 1}, dict.fromkeys(("total", "one", "other")),
+                         {"total": 2 - 1 / 1024, "one": 1, "other": 2}, dict.fromkeys(("total", "one", "other"))]
+    monkeypatch.setattr(ip, "BLOCK_BYTES", 20)
+    assert ip._set_sums(a, b).to_pylist() == whole
+    assert len(ip._set_sums(a.slice(0, 0), b.slice(0, 0))) == 0
+
+
+def test_both_forms_of_ip_sets_cost_one_pass(spark):
+    """No fold per member, and one call for both forms of the same two sets."""
+    df = spark.createDataFrame([("1.2.3.4", "1.2.3.5")], "a string, b string").select(
+        MF.ip_set_similarity("a", "b").alias("s"), MF.ip_set_similarity("a", "b", normalize=True).alias("t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    line = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
+    assert line.count("_set_sums(") == 1
