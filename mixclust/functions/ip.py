@@ -64,8 +64,19 @@ def _similarity_of_octets(x: Column, y: Column) -> Column:
 
 
 def ip_similarity(a, b) -> Column:
-    """P27 on two addresses."""
-    return _similarity_of_octets(_octets(as_col(a)), _octets(as_col(b)))
+    """P27 on two addresses: spelled out for up to four compared octets, folded beyond."""
+
+    def value(both: Column) -> Column:
+        n = F.least(F.size(both["x"]), F.size(both["y"]))
+        known, total = F.lit(True), F.lit(0.0)
+        for i in reversed(range(4)):
+            x, y = F.get(both["x"], F.lit(i)), F.get(both["y"], F.lit(i))
+            known = (n <= i) | (x.isNotNull() & y.isNotNull() & known)
+            total = F.when(n <= i, F.lit(0.0)).when(x == y, F.lit(1.0) + total).otherwise(F.lit(1.0) - F.abs(x - y) / F.lit(256.0))
+        return F.when(n > 4, _similarity_of_octets(both["x"], both["y"])).when(known, total / F.lit(4.0))
+
+    # the argument of a lambda is computed once, however often it is used
+    return F.transform(F.array(F.struct(_octets(as_col(a)).alias("x"), _octets(as_col(b)).alias("y"))), value)[0]
 
 
 # a number as a cast to int takes it; it has no minus, which parts the members

@@ -183,3 +183,21 @@ def test_both_forms_of_ip_sets_cost_one_pass(spark):
     assert "lambda" not in plan
     line = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
     assert line.count("_set_sums(") == 1
+
+
+def test_ip_similarity_reads_each_address_once(spark):
+    df = spark.createDataFrame([("1.2.3.4.5", "1.2.3.4.6"), ("1.2.3.4.x", "1.2.3.4.6"), ("1.2.3.4", "1.2.3.4.x"), (None, "1")], "a string, b string")
+    out = df.select(MF.ip_similarity("a", "b").alias("s"))
+    assert [r.s for r in out.collect()] == [(5 - 1 / 256) / 4, None, 1.0, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+
+@pytest.mark.parametrize("name", ["ip_set_similarity"])
+def test_ip_queries_use_all_cores_on_one_file(spark, tmp_path, name):
+    import workloads
+
+    keys = spark.range(0, 2000, 1, 1).selectExpr("id AS o_orderkey", "id % 77 AS o_custkey")
+    keys.write.parquet(str(tmp_path / "orders.parquet"))
+    got = workloads.QUERIES[name](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert got.count() == 2000

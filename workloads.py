@@ -227,8 +227,12 @@ def q_long_to_ip(spark, d):
     return o.select("o_orderkey", MF.long_to_ip(n).alias("ip_text"))
 
 
+def _order_keys(spark, d) -> DataFrame:
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+
+
 def q_ip_set_similarity(spark, d):
-    o = table(spark, d, "orders")
+    o = _order_keys(spark, d)
     s1 = F.when(F.col("o_orderkey") % 3 == 0, _orders_ip("o_orderkey", "o_custkey")).otherwise(
         F.concat_ws("-", _orders_ip("o_orderkey", "o_custkey"), _orders_ip("o_custkey", "o_orderkey")))
     s2 = F.concat_ws("-", _orders_ip("o_custkey", "o_orderkey"), _orders_ip("o_orderkey", "o_orderkey"))
