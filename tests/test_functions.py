@@ -192,7 +192,7 @@ def test_ip_similarity_reads_each_address_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
 
 
-@pytest.mark.parametrize("name", ["ip_set_similarity"])
+@pytest.mark.parametrize("name", ["ip_set_similarity", "ip_similarity_edges"])
 def test_ip_queries_use_all_cores_on_one_file(spark, tmp_path, name):
     import workloads
 
