@@ -201,3 +201,20 @@ def test_ip_queries_use_all_cores_on_one_file(spark, tmp_path, name):
     got = workloads.QUERIES[name](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert got.count() == 2000
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_assignment_by_ip_sets(spark, k):
+    """Few centroids are literals; beyond MOST_LITERALS the Arrow function puts points beside centroids."""
+    from mixclust.operators.assign import assign
+    from mixclust.plans.geometry import Geometry
+    from mixclust.plans.params import FeatureSpec
+
+    ips = [f"10.{i % 7}.{i % 5}.{i}-10.{i % 3}.1.{i}" for i in range(60)]
+    cents = [{"cluster_id": j, "s": f"10.{j % 7}.{j % 4}.{j}"} for j in range(k)]
+    geom = Geometry((FeatureSpec("s", "categorical", ("s",), "ip"),), {"s": 1.0}, 1)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(ips)], "id long, s string").repartition(2)
+    got = {r.id: r for r in assign(df, cents, geom).collect()}
+    for i, s in enumerate(ips):
+        want = min((1 - pair_by_pair(s, c["s"]), -c["cluster_id"]) for c in cents)
+        assert (got[i].cluster_id, got[i].distance) == (-want[1], pytest.approx(want[0]))
